@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,10 @@ class Codec:
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
+        # regex counts a few control characters as white space, which the encoder does not
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.decimal = [str(i) for i in range(max(ranks.values()) + 1)]
-        self.parts = PartCache(lambda parts: [np.array(self.bpe.encode_ordinary(p), "<u4").tobytes() for p in parts])
+        self.parts = PartCache(lambda parts: [array("I", self.bpe.encode_ordinary(p)).tobytes() for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""

@@ -1,6 +1,7 @@
 """Tokenising documents and packing them into sequences by bounded-space online best-fit.
 
-A document's ids are followed by an end id. A longer document than a sequence is cut from its end into pieces of full
+The rank file holds the vocabulary; special tokens' strings in a text are ordinary text. A document's ids are followed by
+an end id. A longer document than a sequence is cut from its end into pieces of full
 length, so that only its first piece can be shorter; full pieces fill sequences of their own. The rest are packed:
 each partition keeps a fixed number of open bins in a bitset keyed by free space. A piece goes to the open bin with the
 least free space that holds it; if none does, a bin is opened, and when too many are open, the fullest closes first.
@@ -14,7 +15,6 @@ one piece, repeated and null doc_ids included; other columns are not read.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -23,41 +23,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import PartCache
+from .bpe import codec
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 OPEN_BINS = 512
 ROWS_AT_ONCE = 512
-_loaded: dict[str, PartCache] = {}
-
-
-def token_cache(tokenizer_file: str) -> PartCache:
-    """The tokenizer behind a cache of parts, once per Python worker. Special tokens' strings are ordinary text."""
-    if tokenizer_file not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        _loaded[tokenizer_file] = PartCache(lambda parts: [np.array(x.ids, "<u4").tobytes() for x in encode(parts, add_special_tokens=False)])
-    return _loaded[tokenizer_file]
-
-
-def pieces(docs: DataFrame, tokenizer_file: str, length: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, rank_file: str, pattern: str, length: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        cache = token_cache(tokenizer_file)
+        coder = codec(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 rows, piece, start, size, crc = [], [], [], [], []
-                for row, parts in enumerate(cache.encode(part.column(1).to_pylist())):
-                    ids = b"".join(parts) + end
+                for row, ids in enumerate(coder.encode(part.column(1).to_pylist())):
+                    ids += end
                     n = len(ids) // 4
                     head = n % length or length
                     bounds = [0, *range(head, n + 1, length)]
@@ -125,6 +109,6 @@ def pack(rows: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = SEQUENCE_TOKENS, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, rank_file: str, pattern: str, length: int = SEQUENCE_TOKENS, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:
     """pieces() of the documents, packed."""
-    return pack(pieces(docs, tokenizer_file, length, end_id), length, open_bins)
+    return pack(pieces(docs, rank_file, pattern, length, end_id), length, open_bins)

@@ -35,7 +35,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # the vocabulary of byte_bpe_50k.json as ranks
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op3_langid, op6_bpe, op7_quality, op9_pii, op10_packing)}
