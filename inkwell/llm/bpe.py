@@ -68,7 +68,9 @@ def codec(rank_file: str, pattern: str) -> Codec:
 
 
 def stitch(chunks: list[tuple[int, str, np.ndarray]], coder: Codec) -> list[str]:
-    """Pieces of a text whose every cut is a true pre-token boundary.
+    """Pieces of a text whose every cut is a true pre-token boundary behind a character that isn't white space.
+
+    (A run of white space is split by what follows it, so a piece must not end in one.)
 
     ``chunks``: for each chunk its place in the text, its characters (the overlap with the next one included) and the
     starts of its pre-tokens, found as if the text began there.
@@ -82,7 +84,7 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], coder: Codec) -> list[str]
         both = np.intersect1d(true[true < end], found[found >= after], assume_unique=True)
         if len(both):
             true = found[found >= both[0]]
-            cuts.append(int(both[0]))
+            cuts += [b for b in both.tolist() if not text[b - 1].isspace()][:1]
         else:
             known, wanted, fresh = int(true[-1]) if len(true) else cuts[-1], set(found.tolist()), []
             for b in coder.boundaries(text, known):
@@ -91,7 +93,7 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], coder: Codec) -> list[str]
                     break
             met = fresh[-1] if fresh and fresh[-1] in wanted and fresh[-1] > end else None
             true = found[found >= met] if met is not None else np.array(fresh or [known], dtype=np.int64)
-            if met is not None:
+            if met is not None and not text[met - 1].isspace():
                 cuts.append(met)
     return [text[a:b] for a, b in zip(cuts, cuts[1:] + [len(text)]) if a < b]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, packing, pii, quality
+from . import bpe, langid, licenses, nearjoin, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.jaccard_links(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_langid, op6_bpe, op7_quality, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op3_langid, op6_bpe, op7_quality, op8_near_join, op9_pii, op10_packing)}
 ORACLES: dict[str, str] = {}
