@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files of a finished job are of no more use, as its result is a table.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only in local mode and only if none is set."""
@@ -31,7 +34,12 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
