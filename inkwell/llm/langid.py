@@ -140,3 +140,17 @@ def identify(docs: DataFrame) -> DataFrame:
     """Profiles learned from the documents whose id remainder modulo 4 is not 2; all documents predicted."""
     profiles = learn_profiles(docs.where(id_remainder(4) != 2))
     return predict(docs.withColumn("held_out", id_remainder(4) == 2), profiles, ["doc_id", "held_out"])
+
+
+def recognised(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
+    """The documents whose language is told with a score of at least ``min_score``.
+
+    Undetermined documents go, and those that share next to nothing with any learned language. If no language can be
+    learned at all, every document stays.
+    """
+    profiles = learn_profiles(docs.where(id_remainder(4) != 2))
+    if not profiles.languages:
+        return docs
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    judged = predict(docs.select("text", *[F.col(c).alias(n) for c, n in names.items()]), profiles, list(names.values()))
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*[F.col(n).alias(c) for c, n in names.items()])

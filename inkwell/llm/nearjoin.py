@@ -199,3 +199,9 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (~has_id | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without those that a smaller doc_id of their component stands for."""
+    dropped = jaccard_links(docs, n, threshold).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -214,5 +214,28 @@ def pii_digests(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """The documents with personal data in their texts replaced; n_chars, if there, counts the new text."""
+    at = docs.columns.index("text")
+    names = docs.columns
+    counted = names.index("n_chars") if "n_chars" in names else None
+
+    def scan(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                columns, new = list(part.columns), []
+                for t in part.column(at).to_pylist():
+                    spans = all_spans(t, plain_spans(t)) if t else []
+                    new.append(redact(t, spans) if spans else t)
+                columns[at] = pa.array(new, pa.string())
+                if counted is not None:
+                    old = part.column(counted).to_pylist()
+                    columns[counted] = pa.array([n if t is None else len(t) for t, n in zip(new, old)], part.column(counted).type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

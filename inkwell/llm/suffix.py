@@ -198,8 +198,12 @@ def _covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
-    """One row per document: doc_id, place (hash of its text), n_bytes, spans (removed bytes), kept (remaining bytes)."""
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START, as_text: bool = False) -> DataFrame:
+    """One row per document: its columns, n_bytes, spans (removed bytes) and kept (remaining bytes, or with
+    ``as_text`` the whole characters among them).
+
+    A document's column of one of these names is left out.
+    """
     if not 0 < start < length:
         raise ValueError("start must be shorter than length")
     scratch = Scratch(docs.sparkSession, "repeats")
@@ -221,11 +225,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START) ->
     scratch.drop(stretches)
     scratch.drop(holders)
     marked = runs.unionByName(copies.select("doc_id", "place", F.lit(True).alias("copy")), allowMissingColumns=True)
+    marked = marked.select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("runs").alias("_runs"), F.col("copy").alias("_copy"))
+    made = {"n_bytes": "long", "spans": "array<struct<begin:int,end:int>>", "kept": "string" if as_text else "binary"}
+    carried = {c: t for c, t in docs.dtypes if c not in made}
 
     def remove(batches):
         for batch in batches:
             spans, kept, sizes = [], [], []
-            for text, runs, copy in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            for text, runs, copy in zip(*(batch.column(c).to_pylist() for c in ("_text", "_runs", "_copy"))):
                 raw = text.encode()
                 own = [(0, len(raw))] if copy and len(raw) >= length else _covered(runs or [], length)
                 at, left = 0, []
@@ -236,14 +243,29 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START) ->
                 kept.append(b"".join([*left, raw[at:]]))
                 sizes.append(len(raw))
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "place", "n_bytes", "spans", "kept"])
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(sizes, pa.int64()), pa.array(spans, kind), left], names=[*carried, *made])
 
+    rows = docs.select(*carried, F.coalesce("text", F.lit("")).alias("_text"), F.xxhash64("text").alias("_here"))
     return (
-        texts.join(marked, ["doc_id", "place"], "left").select("doc_id", "place", "text", "runs", "copy")
-        .mapInArrow(remove, f"doc_id {id_type}, place long, n_bytes long, spans array<struct<begin:int,end:int>>, kept binary")
+        rows.join(marked, F.expr("doc_id = _id and _here = _place"), "left").select(*carried, "_text", "_runs", "_copy")
+        .mapInArrow(remove, ", ".join(f"`{c}` {t}" for c, t in {**carried, **made}.items()))
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with their repeated bytes removed; those with nothing but white space left are removed whole.
+
+    What is left of a character that was cut goes with it. n_chars, if there, counts the new text; null texts stay.
+    """
+    kept = repeated_bytes(docs, length, as_text=True)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    emptied = (F.size("spans") > 0) & (F.length(F.btrim(F.regexp_replace("kept", r"\s+", " "))) == 0)
+    return kept.where(~emptied).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
