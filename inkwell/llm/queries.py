@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, nearjoin, packing, pii, quality, suffix
+from . import bpe, hamming, langid, licenses, nearjoin, packing, pii, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
 
+def op2_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_langid, op4_suffix_dedup, op6_bpe, op7_quality, op8_near_join, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming, op3_langid, op4_suffix_dedup, op6_bpe, op7_quality, op8_near_join, op9_pii, op10_packing)}
 ORACLES: dict[str, str] = {}
