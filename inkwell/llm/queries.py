@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, licenses, nearjoin, packing, pii, quality, suffix
+from . import bpe, graphdedup, hamming, langid, licenses, nearjoin, packing, pii, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphdedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -52,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming, op3_langid, op4_suffix_dedup, op6_bpe, op7_quality, op8_near_join, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming, op3_langid, op4_suffix_dedup, op5_graph_dedup, op6_bpe, op7_quality, op8_near_join, op9_pii, op10_packing)}
 ORACLES: dict[str, str] = {}
