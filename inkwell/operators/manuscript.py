@@ -33,7 +33,6 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-@F.pandas_udf("double")
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
@@ -51,7 +50,7 @@ def pair_similarity(paras: DataFrame, metric: str = "jaccard") -> DataFrame:
     similarity = {
         "jaccard": lambda: _jaccard(F.col("a"), F.col("b")),
         "levenshtein": lambda: 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")),
-        "ratio": lambda: _ratio("a", "b"),
+        "ratio": lambda: F.pandas_udf(_ratio, "double")("a", "b"),
     }[metric]()
     return pairs.select("doc_id", "i", "j", similarity.alias("similarity"))
 

@@ -44,7 +44,6 @@ def corpus_facts(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", word_count(text).alias("word_count"), F.length(text).alias("character_count"), F.when(F.length(strip(text)) == 0, "error").otherwise("success").alias("status"))
 
 
-@F.pandas_udf("string")
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
@@ -52,7 +51,7 @@ def _nfc(text: pd.Series) -> pd.Series:
 def normalize_text(df: DataFrame, column: str = "text") -> DataFrame:
     """The column in NFC with plain line ends and spaces; only rows that aren't ASCII pass through Python."""
     plain = df.where(~F.col(column).rlike(r"[^\x00-\x7f]") | F.col(column).isNull())
-    other = df.where(F.col(column).rlike(r"[^\x00-\x7f]")).withColumn(column, _nfc(column))
+    other = df.where(F.col(column).rlike(r"[^\x00-\x7f]")).withColumn(column, F.pandas_udf(_nfc, "string")(column))
     return plain.unionByName(other).withColumn(column, _tidy(F.col(column)))
 
 
