@@ -13,6 +13,7 @@ are not read; texts of any length are scanned whole.
 
 from __future__ import annotations
 
+import json
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -25,30 +26,33 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 #: Every rule and base phrase holds one of these, so a text without them has no detection.
 GATE = r"licen|gpl|spdx|public domain|permission is hereby|redistribution and use|creative|copyleft|cc0|cc" + SEPARATORS + "by"
 
-#: family: (label, names, keyword, versions)
+#: label, names (each the keyword of its own rules), versions
 FAMILIES = [
-    ("apache", ["apache", "apache software"], "apache", ["1", "1 0", "1 1", "2", "2 0"]),
-    ("gpl", ["gnu general public", "gnu gpl", "gpl"], "g", ["1", "1 0", "2", "2 0", "3", "3 0"]),
-    ("lgpl", ["gnu lesser general public", "gnu library general public", "lgpl"], "l", ["2", "2 0", "2 1", "3", "3 0"]),
-    ("agpl", ["gnu affero general public", "affero general public", "agpl"], "a", ["1", "1 0", "3", "3 0"]),
-    ("gfdl", ["gnu free documentation", "gfdl"], "g", ["1 1", "1 2", "1 3"]),
-    ("mpl", ["mozilla public", "mpl"], "m", ["1 0", "1 1", "2 0"]),
-    ("epl", ["eclipse public", "epl"], "e", ["1 0", "2 0"]),
-    ("eupl", ["european union public", "eupl"], "e", ["1 0", "1 1", "1 2"]),
-    ("cddl", ["common development and distribution", "cddl"], "c", ["1 0", "1 1"]),
-    ("cpl", ["common public"], "common public", ["1 0"]),
-    ("afl", ["academic free"], "academic free", ["1 1", "1 2", "2 0", "2 1", "3 0"]),
-    ("osl", ["open software"], "open software", ["1 0", "1 1", "2 0", "2 1", "3 0"]),
-    ("artistic", ["artistic"], "artistic", ["1 0", "2 0"]),
-    ("bsl", ["boost software", "business source"], "s", ["1 0", "1 1"]),
-    ("lppl", ["latex project public"], "latex", ["1 0", "1 1", "1 2", "1 3"]),
-    ("zpl", ["zope public"], "zope", ["1 1", "2 0", "2 1"]),
-    ("odbl", ["open data commons open database", "open database"], "open", ["1 0"]),
-    ("ofl", ["sil open font", "open font"], "font", ["1 0", "1 1"]),
-    ("php", ["php"], "php", ["3 0", "3 01"]),
-    ("cecill", ["cecill"], "cecill", ["1 0", "1 1", "2 0", "2 1"]),
+    ("apache", ["apache", "apache software"], ["1", "1 0", "1 1", "2", "2 0"]),
+    ("gpl", ["gnu general public", "gnu gpl", "gpl"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
+    ("lgpl", ["gnu lesser general public", "gnu library general public", "lgpl"], ["2", "2 0", "2 1", "3", "3 0"]),
+    ("agpl", ["gnu affero general public", "affero general public", "agpl"], ["1", "1 0", "3", "3 0"]),
+    ("gfdl", ["gnu free documentation", "gfdl"], ["1 1", "1 2", "1 3"]),
+    ("mpl", ["mozilla public", "mpl"], ["1 0", "1 1", "2 0"]),
+    ("epl", ["eclipse public", "epl"], ["1 0", "2 0"]),
+    ("eupl", ["european union public", "eupl"], ["1 0", "1 1", "1 2"]),
+    ("cddl", ["common development and distribution", "cddl"], ["1 0", "1 1"]),
+    ("cpl", ["common public"], ["1 0"]),
+    ("afl", ["academic free"], ["1 1", "1 2", "2 0", "2 1", "3 0"]),
+    ("osl", ["open software"], ["1 0", "1 1", "2 0", "2 1", "3 0"]),
+    ("artistic", ["artistic"], ["1 0", "2 0"]),
+    ("bsl", ["boost software", "business source"], ["1 0", "1 1"]),
+    ("lppl", ["latex project public"], ["1 0", "1 1", "1 2", "1 3"]),
+    ("zpl", ["zope public"], ["1 1", "2 0", "2 1"]),
+    ("odbl", ["open database"], ["1 0"]),
+    ("ofl", ["open font"], ["1 0", "1 1"]),
+    ("php", ["php"], ["3 0", "3 01"]),
+    ("cecill", ["cecill"], ["1 0", "1 1", "2 0", "2 1"]),
 ]
-VERSION_FORMS = ["{name} licen[cs]e version {v}", "{name} licen[cs]e v ?{v}", "{name} licen[cs]e {v}", "{name} {v} licen[cs]e", "{name}licen[cs]e as published by the free software foundation (?:either )?version {v}"]
+VERSION_FORMS = [
+    "{name} licen[cs]e version {v}", "{name} licen[cs]e v ?{v}", "{name} licen[cs]e {v}", "{name} {v} licen[cs]e",
+    "{name} licen[cs]e as published by the free software foundation (?:either )?version {v}",
+]
 #: short names that are known without the word license
 SHORT = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl", "mpl": "mpl", "epl": "epl", "eupl": "eupl", "cddl": "cddl"}
 #: pattern, keyword, tier, label
@@ -90,28 +94,35 @@ def dotted(version: str) -> str:
 def signature_rules() -> list[tuple[str, str, int, str]]:
     """(pattern, keyword, tier, label) of every rule, from the families, their versions and the forms of a mention."""
     rules = list(NOTICES)
-    for family, names, keyword, versions in FAMILIES:
-        any_name = "(?:" + "|".join(names) + ")"
+    for family, names, versions in FAMILIES:
         for version in versions:
-            # "2" also stands before "0", which the longer rule of the same label covers
-            for form in VERSION_FORMS:
-                name = any_name + " " if form.startswith("{name}l") else any_name
-                rules.append((form.format(name=name, v=version), "licen", 1, f"{family}-{dotted(version)}"))
-            if family in SHORT:
-                rules.append((f"{SHORT[family]} ?(?:version )?v? ?{version}(?: or later| only)?", SHORT[family], 1, f"{family}-{dotted(version)}"))
-            rules.append((f"spdx licen[cs]e identifier {SHORT.get(family, family)} {version}(?: or later| only)?", "identifier", 0, f"{family}-{dotted(version)}"))
-        rules.append((any_name + " licen[cs]e", "licen", 2, family))
+            label = f"{family}-{dotted(version)}"
+            rules += [(form.format(name=name, v=version), name, 1, label) for name in names for form in VERSION_FORMS]
+            short = SHORT.get(family)
+            if short:
+                rules.append((f"{short} ?(?:version )?v? ?{version}(?: or later| only)?", short, 1, label))
+            rules.append((f"spdx licen[cs]e identifier {short or family} {version}(?: or later| only)?", "identifier", 0, label))
+        rules += [(f"{name} licen[cs]e", name, 2, family) for name in names]
     for (short, long), version in product(CC_PARTS.items(), CC_VERSIONS):
         label = f"cc-{short.replace(' ', '-')}-{version.replace(' ', '.')}"
-        rules.append((f"(?:cc|creative commons) {short} {version}(?: international| unported)?", "c", 1, label))
-        rules.append((f"(?:cc|creative commons) {long} {version}(?: international| unported)?", "commons", 1, label))
+        rules.append((f"cc {short} {version}(?: international| unported)?", "cc by", 1, label))
+        rules.append((f"creative commons (?:{short}|{long}) {version}(?: international| unported)?", "creative commons", 1, label))
         rules.append((f"spdx licen[cs]e identifier cc {short} {version}", "identifier", 0, label))
     for short, long in CC_PARTS.items():
         rules.append((f"cc {short}", "cc by", 2, "cc-" + short.replace(" ", "-")))
         rules.append((f"creative commons {long}(?: licen[cs]e)?", "creative commons", 2, "cc-" + short.replace(" ", "-")))
     for name in ("mit", "isc", "zlib", "unlicense", "wtfpl", "bsd 2 clause", "bsd 3 clause", "cc0 1 0"):
         rules.append((f"spdx licen[cs]e identifier {name}", "identifier", 0, name.replace(" ", "-").removesuffix("-1-0")))
-    return [(pattern, keyword if len(keyword) > 1 else "", tier, label) for pattern, keyword, tier, label in rules]
+    return rules
+
+
+def rule_groups() -> Column:
+    """The rules by keyword, as a constant."""
+    groups: dict[str, list[dict]] = {}
+    for pattern, keyword, tier, label in signature_rules():
+        groups.setdefault(keyword, []).append({"pattern": f"(?<= )(?:{pattern})(?= )", "tier": tier, "label": label})
+    written = json.dumps([{"keyword": k, "rules": r} for k, r in groups.items()])
+    return F.from_json(F.lit(written), "array<struct<keyword:string,rules:array<struct<pattern:string,tier:int,label:string>>>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -125,9 +136,8 @@ def _words_in(text: Column) -> Column:
 
 def _places(words: Column, pattern: Column) -> Column:
     """start and end (exclusive), in words, of every match of a pattern of whole words in ' a b c '."""
-    whole = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    hits = F.regexp_extract_all(words, whole, F.lit(0))
-    gaps = F.slice(F.split(words, whole, F.lit(-1)), F.lit(1), F.size(hits))
+    hits = F.regexp_extract_all(words, pattern, F.lit(0))
+    gaps = F.slice(F.split(words, pattern, F.lit(-1)), F.lit(1), F.size(hits))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 
     def step(state, pair):
@@ -158,15 +168,16 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     ``base``: array of (start, end, label); ``detections``: array of (start, end, tier, label); places count words.
     """
-    rules = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(k).alias("keyword"), F.lit(t).alias("tier"), F.lit(x).alias("label")) for p, k, t, x in signature_rules()])
-    phrases = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(x).alias("label")) for p, x in BASE.items()])
+    groups = rule_groups()
+    phrases = F.from_json(F.lit(json.dumps([{"pattern": f"(?<= ){p}(?= )", "label": x} for p, x in BASE.items()])), "array<struct<pattern:string,label:string>>")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.coalesce("text", F.lit(""))
     joined = F.translate(F.concat(F.lit(" "), F.btrim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" ")), upper, upper.lower())
 
     def scan(words):
         found = F.flatten(F.transform(phrases, lambda p: F.transform(_places(words, p.pattern), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), p.label.alias("label")))))
-        tried = F.filter(rules, lambda r: F.contains(words, r.keyword))
+        gated = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(words, g.keyword)), lambda g: g.rules))
+        tried = F.filter(gated, lambda r: F.regexp_like(words, r.pattern))
         hits = F.flatten(F.transform(tried, lambda r: F.transform(_places(words, r.pattern), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), r.tier.alias("tier"), r.label.alias("label")))))
         return F.struct(F.array_sort(found).alias("base"), _resolved(hits).alias("detections"))
 
