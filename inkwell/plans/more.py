@@ -96,7 +96,12 @@ _TOP = "sc AS (SELECT query_id, id, list_cosine_similarity(embedding::DOUBLE[],
 _STOP = "[" + ", ".join(f"'{w}'" for w in graph.STOPWORDS) + "]"
 _ENT = r"""e0 AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\p{L}\p{N}_])', '\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)', 1) AS x FROM documents)"""
 _MEMBER = "SELECT '{m}' AS module, query_id, '{n}' AS name, round_even(({c})::DECIMAL(18, 8), 4)::DOUBLE AS score FROM r"
+_LETTERED = f"list_filter({WORDS.format('line')}, lambda w: regexp_matches(w, '\\p{{L}}'))"
 ORACLES = {
+    "r8_text_lint": rf"""WITH {LINES} SELECT doc_id, line_no, line, coalesce(array_to_string(list_filter([CASE WHEN len({_LETTERED}) >= 4 AND len(list_filter({_LETTERED}, lambda w: length(w) = 1)) / len({_LETTERED})::DOUBLE >= 0.5 THEN 'char_spaced' END,
+ CASE WHEN length(regexp_replace(line, '[^A-Za-z]', '', 'g')) <= 2 THEN 'too_short' END, CASE WHEN regexp_matches({STRIP.format('line')}, '(?i)^\W*(fig(ure)?|image|graphic|picture|img|pic|table|photo)?\.?\s*\d*\W*$') THEN 'bare_label' END,
+ CASE WHEN regexp_matches(line, '(?i)to\s*be\s*described|placeholder|todo|xxx|tbd') THEN 'placeholder' END, CASE WHEN (length(line) - length(replace(line, '. ', ''))) / 2 >= 2 OR len({WORDS.format('line')}) > 20 THEN 'body' END,
+ CASE WHEN regexp_matches(line, '^\s*\(?\d+[.)]\s+\S') THEN 'list_item' END], lambda x: x IS NOT NULL), ','), '') AS lint FROM lines WHERE {STRIP.format('line')} <> ''""",
     "s7_vectors_upsert": "WITH st AS (SELECT 'n' || (label % 3) AS namespace, vec_id AS id, len(embedding)::INT AS n FROM embeddings), nw AS (SELECT DISTINCT namespace, id + id % 2 * 1000 AS id, n FROM st WHERE id % 3 = 0) SELECT * FROM st WHERE (namespace, id) NOT IN (SELECT (namespace, id) FROM nw) UNION ALL SELECT * FROM nw",
     "k1_vector_top_k": f"WITH {_ST}, {_TOP.format(5)} SELECT query_id, rank, id, round(score, 6) AS score FROM top",
     "k2_retrieve_for_chapters": f"WITH {_ST}, {_TOP.format(3)}, h AS (SELECT query_id, count(*) AS n, string_agg(top.id::VARCHAR, ',' ORDER BY rank) AS c, list_sort(list_distinct(list(label::VARCHAR))) AS s FROM top JOIN st ON st.id = top.id GROUP BY 1) SELECT vec_id AS chapter_id, 'unit: t' || vec_id AS query, coalesce(n, 0) AS n_hits, coalesce(c, '') AS chunk_ids, coalesce(array_to_string(s, ','), '') AS sources, n IS NOT NULL AS grounded FROM embeddings LEFT JOIN h ON query_id = vec_id WHERE vec_id < 40",
