@@ -8,7 +8,8 @@ no other document has is unique and its position is settled. The doubling works
    equal marks. Spark sorts out the marks that only one document has; their stretches are settled.
 3. Each mark left goes, with the bytes of the stretches it marks, to the others of its name. Equal bytes merge first,
    keeping the smallest doc_id. Where a mark has several continuations left, the stretches are named by their whole
-   length, and each takes the smallest doc_id of its name.
+   length, and each takes the smallest doc_id of its name: in one task for the continuations of a mark that few documents
+   have, and by grouping and joining all named stretches for a mark that many have, so that no group outgrows a task.
 4. Stretches with a smaller doc_id than their own go back to their documents, whose covered bytes are removed.
 
 Each step is one job, whose result is a table in the shared folder; its shuffle files are removed when it ends.
@@ -32,6 +33,8 @@ from .storage import Scratch
 
 LENGTH = 50
 START = 16
+#: A mark that more documents have is resolved by Spark's own grouping, stretch by stretch, and not within one task.
+COMMON_DOCS = 2000
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -91,7 +94,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _shared_marks(texts: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """doc_id, place, found: the marks of each text that another document has too."""
+    """doc_id, place, found, common: the marks of each text that another document has too, and those that many have."""
 
     def mark(batches):
         for batch in batches:
@@ -101,17 +104,18 @@ def _shared_marks(texts: DataFrame, length: int, start: int, id_type: str) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows)], names=["name", "doc_id", "place"])
 
     named = texts.mapInArrow(mark, f"name long, doc_id {id_type}, place long").repartition("name")
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
-    return named.join(shared.hint("shuffle_hash"), "name").groupBy("doc_id", "place").agg(F.collect_set("name").alias("found"))
+    shared = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.count("*") > COMMON_DOCS).alias("common")).where("low < high").select("name", "common")
+    found = named.join(shared.hint("shuffle_hash"), "name")
+    return found.groupBy("doc_id", "place").agg(F.collect_set("name").alias("found"), F.collect_set(F.when(F.col("common"), F.col("name"))).alias("common"))
 
 
 def _stretches(texts: DataFrame, found: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """name, doc_id, place, at, body: for each shared mark, the bytes of the stretches that it marks, from ``at``."""
+    """name, doc_id, place, at, body, common: for each shared mark, the bytes of the stretches that it marks, from ``at``."""
 
     def cut(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for row, (text, mine) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+            out = [[], [], [], [], []]
+            for row, (text, mine, many) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4))):
                 raw = text.encode()
                 low, at = _placed_marks(np.frombuffer(raw, np.uint8), length, start)
                 wanted = np.isin(low, mine.values.to_numpy().view(U64))
@@ -123,17 +127,18 @@ def _stretches(texts: DataFrame, found: DataFrame, length: int, start: int, id_t
                     out[1].append(a)
                     out[2].append(raw[a : b - 1 + length])
                 out[3].append(low[first[keep]])
+                out[4].append(np.isin(low[first[keep]], many.values.to_numpy().view(U64)))
                 if len(out[0]) > 50_000:
                     yield done(batch, out)
-                    out = [[], [], [], []]
+                    out = [[], [], [], [], []]
             yield done(batch, out)
 
     def done(batch, out):
         rows = pa.array(out[0], pa.int64())
         name = np.concatenate(out[3]).view(np.int64) if out[3] else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["name", "doc_id", "place", "at", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[4]) if out[4] else [], pa.bool_())], names=["name", "doc_id", "place", "at", "body", "common"])
 
-    return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found").mapInArrow(cut, f"name long, doc_id {id_type}, place long, at int, body binary")
+    return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found", "common").mapInArrow(cut, f"name long, doc_id {id_type}, place long, at int, body binary, common boolean")
 
 
 def _first_holders(stretches: DataFrame, length: int, id_type: str) -> DataFrame:
@@ -182,9 +187,23 @@ def _first_holders(stretches: DataFrame, length: int, id_type: str) -> DataFrame
             keys = table.column("key").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(name[owner]), pa.array(keys[owner]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(holder)], names=["name", "key", "begin", "end", "holder"])
 
-    bodies = stretches.groupBy("name", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"))
-    keyed = bodies.select("name", F.xxhash64("body").alias("key"), "body", "first", "many")
-    return keyed.repartition("name").sortWithinPartitions("name").mapInArrow(hold, f"name long, key long, begin int, end int, holder {id_type}")
+    def expand(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
+                bodies = part.column(2).to_pylist()
+                full = [names(np.frombuffer(b, np.uint8), length) for b in bodies]
+                rows = pa.array(np.repeat(np.arange(len(full)), [len(f) for f in full]))
+                inside = np.concatenate([np.arange(len(f), dtype=np.int32) for f in full])
+                yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in (0, 1, 3)] + [pa.array(inside), pa.array(np.concatenate(full).view(np.int64))], names=["name", "key", "first", "begin", "full"])
+
+    result = f"name long, key long, begin int, end int, holder {id_type}"
+    bodies = stretches.groupBy("common", "name", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"))
+    keyed = bodies.select("name", F.xxhash64("body").alias("key"), "body", "first", "many", "common")
+    few = keyed.where("not common").drop("common").repartition("name").sortWithinPartitions("name").mapInArrow(hold, result)
+    named = keyed.where("common").select("name", "key", "body", "first").mapInArrow(expand, f"name long, key long, first {id_type}, begin int, full long")
+    lowest = named.groupBy("name", "full").agg(F.min("first").alias("holder"))
+    many = named.select("name", "key", "begin", "full").join(lowest, ["name", "full"]).select("name", "key", "begin", (F.col("begin") + 1).alias("end"), "holder")
+    return few.union(many)
 
 
 def _covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
