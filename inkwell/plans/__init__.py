@@ -1,6 +1,6 @@
 """Registered queries over the test tables and the SQL they are checked against."""
 
-from . import guard, more, prep, score, text
+from . import derived, guard, more, prep, score, text
 
-QUERIES = {**text.QUERIES, **prep.QUERIES, **guard.QUERIES, **score.QUERIES, **more.QUERIES}
-ORACLES = {**text.ORACLES, **prep.ORACLES, **guard.ORACLES, **score.ORACLES, **more.ORACLES}
+QUERIES = {**text.QUERIES, **prep.QUERIES, **guard.QUERIES, **score.QUERIES, **more.QUERIES, **derived.QUERIES}
+ORACLES = {**text.ORACLES, **prep.ORACLES, **guard.ORACLES, **score.ORACLES, **more.ORACLES, **derived.ORACLES}
