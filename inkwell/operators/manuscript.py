@@ -7,6 +7,7 @@ work inside a document is arrays or windows keyed by doc_id, so a corpus is only
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,15 @@ def _by_document(corpus: DataFrame, paras: DataFrame, pairs: DataFrame) -> DataF
     return corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text")).join(counted, "doc_id", "left").join(summed, "doc_id", "left").fillna(filled)
 
 
+def _originality_score() -> Column:
+    mean = (F.col("pair_sum") + F.col("external")) / (F.col("n_pairs") + F.col("n"))
+    return F.when(~F.col("has_text"), 0.0).when(F.col("n") < 2, 1.0).otherwise(py_round(1 - mean, 2))
+
+
+def _redundancy_score() -> Column:
+    return F.when(F.col("n_pairs") > 0, py_round(F.col("pair_sum") / F.col("n_pairs"), 2)).otherwise(0.0)
+
+
 def originality(corpus: DataFrame, paras: DataFrame, pairs: DataFrame, external: DataFrame | None = None) -> DataFrame:
     """doc_id, originality_score, risk_level, n_flagged.
 
@@ -75,17 +85,15 @@ def originality(corpus: DataFrame, paras: DataFrame, pairs: DataFrame, external:
     else:
         found = external.groupBy("doc_id").agg(F.sum("similarity").alias("external"), F.count_if(F.col("similarity") > FLAG_ABOVE).alias("n_external"))
         rows = rows.join(found, "doc_id", "left").fillna({"external": 0.0, "n_external": 0})
-    mean = (F.col("pair_sum") + F.col("external")) / (F.col("n_pairs") + F.col("n"))
-    score = F.when(~F.col("has_text"), 0.0).when(F.col("n") < 2, 1.0).otherwise(py_round(1 - mean, 2))
-    return rows.select("doc_id", score.alias("originality_score"), (F.col("n_flagged") + F.col("n_external")).alias("n_flagged")).select(
-        "doc_id", "originality_score", F.when(F.col("originality_score") > 0.8, "Low").when(F.col("originality_score") > 0.5, "Moderate").otherwise("High").alias("risk_level"), "n_flagged"
+    score = F.col("originality_score")
+    return rows.select("doc_id", _originality_score().alias("originality_score"), (F.col("n_flagged") + F.col("n_external")).alias("n_flagged")).select(
+        "doc_id", "originality_score", F.when(score > 0.8, "Low").when(score > 0.5, "Moderate").otherwise("High").alias("risk_level"), "n_flagged"
     )
 
 
 def redundancy(corpus: DataFrame, paras: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, redundancy_score (mean of the pair scores, 0 without pairs), n_duplicates."""
-    mean = F.when(F.col("n_pairs") > 0, py_round(F.col("pair_sum") / F.col("n_pairs"), 2)).otherwise(0.0)
-    return _by_document(corpus, paras, pairs).select("doc_id", mean.alias("redundancy_score"), F.col("n_flagged").alias("n_duplicates"))
+    return _by_document(corpus, paras, pairs).select("doc_id", _redundancy_score().alias("redundancy_score"), F.col("n_flagged").alias("n_duplicates"))
 
 
 def external_matches(paras: DataFrame, sources: DataFrame, shingle: int = 5, max_docs: int | None = None, above: float = FLAG_ABOVE) -> DataFrame:
@@ -214,9 +222,9 @@ def structure(corpus: DataFrame, required: list[str], order_mode: str = "referen
     )
 
 
-def submission_score(originality_: DataFrame, authorship: DataFrame, editorial_: DataFrame, structure_: DataFrame, redundancy_: DataFrame) -> DataFrame:
-    """doc_id, submission_score, readiness_label, editing_effort, estimated_hours, recommended_action."""
-    rows = originality_.join(authorship, "doc_id").join(editorial_, "doc_id").join(structure_, "doc_id").join(redundancy_, "doc_id")
+def submission_score(*parts: DataFrame) -> DataFrame:
+    """The results of all engines, joined, with submission_score, readiness_label, editing_effort, estimated_hours, recommended_action."""
+    rows = reduce(lambda a, b: a.join(b, "doc_id"), parts)
     status = F.col("readiness_status")
     edited = F.when(status == "Ready for Copyediting", 0.9).when(status == "Needs Structural Editing", 0.6).when(status == "Needs Major Editing", 0.3).otherwise(0.5)
     score = F.col("originality_score") * 0.25 + (1 - F.col("ai_likelihood_score")) * 0.15 + edited * 0.25 + F.col("structure_score") * 0.20 + (1 - F.col("redundancy_score")) * 0.15
@@ -234,7 +242,8 @@ def submission_score(originality_: DataFrame, authorship: DataFrame, editorial_:
 
 
 def manuscript_report(corpus: DataFrame, required: list[str], metric: str = "jaccard", order_mode: str = "reference") -> DataFrame:
-    """One row per document with the results of all engines."""
+    """One row per document with the results of all engines; the pairs are compared once for both scores made of them."""
     paras = paragraphs(corpus)
-    pairs = pair_similarity(paras, metric)
-    return submission_score(originality(corpus, paras, pairs), ai_authorship(corpus), editorial(corpus), structure(corpus, required, order_mode), redundancy(corpus, paras, pairs))
+    facts = _by_document(corpus, paras, pair_similarity(paras, metric)).withColumn("external", F.lit(0.0))
+    compared = facts.select("doc_id", _originality_score().alias("originality_score"), _redundancy_score().alias("redundancy_score"))
+    return submission_score(compared, ai_authorship(corpus), editorial(corpus), structure(corpus, required, order_mode))
