@@ -49,7 +49,7 @@ def units(s, d):
 
 
 def templates(s, d):
-    names = table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("base_"), F.lower("n_name")).alias("name"))
+    names = table(s, d, "nation").where("n_regionkey <> 2").select(F.concat(F.lit("base_"), F.lower("n_name")).alias("name"))
     asks = table(s, d, "customer").join(table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select(F.col("c_custkey").alias("request_id"), F.lit("base").alias("base"), F.initcap("n_name").alias("category"))
     return c.resolve_template(names, asks)
 
@@ -67,7 +67,7 @@ def crawls(s, d):
 
 def clones(s, d):
     master = table(s, d, "part").select(F.col("p_partkey").alias("check_code"), (F.col("p_partkey") % 3 > 0).alias("is_active"))
-    scoped = items(s, d).select(F.lit(1).cast("long").alias("org_id"), F.when(F.col("l_suppkey") % 2 == 0, F.lit(5)).cast("long").alias("project_id"), F.col("l_partkey").alias("check_code"), F.lit(True).alias("is_active")).where("check_code % 4 = 0").distinct()
+    scoped = items(s, d).select(F.lit(1).cast("long").alias("org_id"), F.when(F.col("l_suppkey") % 2 == 0, F.lit(5)).cast("long").alias("project_id"), F.col("l_partkey").alias("check_code"), F.lit(True).alias("is_active")).distinct()
     return c.clone_checks(master, scoped, 1, None)
 
 
@@ -77,13 +77,13 @@ def policy_checks(s, d):
 
 def generated(s, d):
     batch = items(s, d).select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("t"), "l_linenumber").alias("title")).distinct()
-    made = items(s, d).where("l_partkey % 3 > 0").dropDuplicates(["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit(" p"), F.col("l_linenumber"), F.lit(" ")).alias("content"), F.array(F.lit("b"), F.lit(" a "), F.lit(""), F.lit("b")).alias("source_ids"))
+    made = items(s, d).where("l_returnflag <> 'N'").dropDuplicates(["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("pos"), F.concat(F.lit(" p"), F.col("l_linenumber"), F.lit(" ")).alias("content"), F.array(F.lit("b"), F.lit(" a "), F.lit(""), F.lit("b")).alias("source_ids"))
     return c.merge_generated(batch, made).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
 def activated(s, d):
     o = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").cast("int").alias("version"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("draft").alias("status"))
-    return c.activate_version(o, c.latest_version(o.where("version % 2 = 0"), ["name"], [F.desc("version")]).select("name", "version"))
+    return c.activate_version(o, c.latest_version(o.where("status = 'draft'"), ["name"], [F.desc("version")]).select("name", "version"))
 
 
 def summary(s, d):
@@ -96,11 +96,11 @@ def summary(s, d):
 def coverage(s, d):
     rows = c.latest_version(checks(s, d), ["doc_id", "rule_id"], [F.asc("location")])
     cat = rows.select("rule_id", F.col("category").alias("analyzer")).distinct().withColumn("enabled", F.lit(True))
-    return k.executed_checks_coverage(rows.where("location % 9 > 0"), cat)[1]
+    return k.executed_checks_coverage(rows.where("status <> 'INFO'"), cat)[1]
 
 
 def upserted(s, d):
-    source = items(s, d).where("l_partkey % 2 = 0").groupBy((F.col("l_partkey") + F.col("l_partkey") % 8 * 500).alias("p_partkey")).agg(F.max("l_linenumber").cast("int").alias("p_size"))
+    source = items(s, d).groupBy((F.col("l_partkey") + F.col("l_partkey") % 8 * 500).alias("p_partkey")).agg(F.max("l_linenumber").cast("int").alias("p_size"))
     return c.upsert(table(s, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("p_size")), source, "p_partkey", ["p_size"]).groupBy("action").agg(F.count("*").alias("n"), F.sum("p_size").alias("total"))
 
 
@@ -143,8 +143,8 @@ _LEVELS = ", ".join(f"last_value(CASE WHEN level = {i} THEN line_no END IGNORE N
 _PATH = ", ".join(f"CASE WHEN p{i} IS NOT NULL{''.join(f' AND coalesce(p{j}, -1) < p{i}' for j in range(1, i))} THEN 't{i}-' || p{i} END" for i in range(1, 7))
 _STOP = "[" + ", ".join(f"'{w}'" for w in graph.STOPWORDS) + "]"
 ORACLES = {
-    "s5_upsert_checks": "WITH s AS (SELECT l_partkey + l_partkey % 8 * 500 AS k, max(l_linenumber)::INT AS v FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1), j AS (SELECT CASE WHEN p_partkey IS NULL THEN 'inserted' WHEN k IS NULL THEN 'kept' WHEN v = p_size THEN 'unchanged' ELSE 'updated' END AS action, coalesce(v, p_size) AS v FROM part FULL JOIN s ON k = p_partkey) SELECT action, count(*) AS n, sum(v)::BIGINT AS total FROM j GROUP BY 1",
-    "s6_clone_checks": "WITH sc AS (SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 5 END AS project_id, l_partkey AS check_code FROM lineitem WHERE l_partkey % 4 = 0), al AS (SELECT * FROM sc UNION ALL SELECT NULL, p_partkey FROM part WHERE p_partkey % 3 > 0 AND p_partkey NOT IN (SELECT check_code FROM sc WHERE project_id IS NULL)) SELECT project_id, count(*) AS n, sum(check_code)::BIGINT AS codes FROM al GROUP BY 1",
+    "s5_upsert_checks": "WITH s AS (SELECT l_partkey + l_partkey % 8 * 500 AS k, max(l_linenumber)::INT AS v FROM lineitem GROUP BY 1), j AS (SELECT CASE WHEN p_partkey IS NULL THEN 'inserted' WHEN k IS NULL THEN 'kept' WHEN v = p_size THEN 'unchanged' ELSE 'updated' END AS action, coalesce(v, p_size) AS v FROM part FULL JOIN s ON k = p_partkey) SELECT action, count(*) AS n, sum(v)::BIGINT AS total FROM j GROUP BY 1",
+    "s6_clone_checks": "WITH sc AS (SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 5 END AS project_id, l_partkey AS check_code FROM lineitem), al AS (SELECT * FROM sc UNION ALL SELECT NULL, p_partkey FROM part WHERE p_partkey % 3 > 0 AND p_partkey NOT IN (SELECT check_code FROM sc WHERE project_id IS NULL)) SELECT project_id, count(*) AS n, sum(check_code)::BIGINT AS codes FROM al GROUP BY 1",
     "s10_review_sheet": f"WITH {_REVIEW} SELECT project_id, kept, retitled, count(*) AS n, sum(weight)::BIGINT AS weight FROM rv GROUP BY 1, 2, 3",
     "a7_recommendations": f"WITH {_CH}, {_LATEST}, fi AS (SELECT doc_id, rule_id, string_agg(location::VARCHAR, ',' ORDER BY location) AS locations FROM (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY location) <= 2) GROUP BY 1, 2) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, affected_count DESC, rule_id) AS position, rule_id, severity, affected_count, locations FROM la JOIN fi USING (doc_id, rule_id) WHERE status = 'FAIL'",
     "a8_lint_summary": f"WITH {_CH} SELECT doc_id, count(*) AS total, count(*) FILTER (auto_fixable) AS auto_fixable, nullif(count(*) FILTER (severity = 'HIGH'), 0) AS high, nullif(count(*) FILTER (category = 'click'), 0) AS click FROM ch GROUP BY 1",
@@ -156,11 +156,11 @@ ORACLES = {
     "j1_issues_with_rules": f"WITH {_LIFE} SELECT severity, status, count(*) AS n FROM li GROUP BY 1, 2",
     "j3_resolve_checks": f"WITH {_POL} SELECT * FROM pr",
     "j3_project_wins": f"WITH {_POL} SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY org_id, agent, check_code ORDER BY project_id IS NULL) = 1",
-    "j4_resolve_template": "WITH n AS (SELECT n_nationkey, 'base_' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') AS t, 'base_' || lower(n_name) AS own FROM nation) SELECT c_custkey AS request_id, CASE WHEN t IN (SELECT own FROM n WHERE n_nationkey % 2 = 0) THEN t ELSE 'base' END AS template FROM customer JOIN n ON n_nationkey = c_nationkey",
-    "j8_merge_generated": "SELECT l_orderkey AS batch_id, l_linenumber AS pos, 't' || l_linenumber AS title, CASE WHEN bool_or(l_partkey % 3 > 0) THEN 'p' || l_linenumber ELSE '' END AS content, CASE WHEN bool_or(l_partkey % 3 > 0) THEN 'a,b' ELSE '' END AS source_ids FROM lineitem GROUP BY 1, 2",
-    "j12_checks_coverage": f"WITH {_CH}, fi AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY location) = 1), ct AS (SELECT DISTINCT rule_id, category AS analyzer FROM fi), kp AS (SELECT * FROM fi WHERE location % 9 > 0), w AS (SELECT d.doc_id, analyzer, coalesce(kp.status, 'NOT_EVALUATED') AS st FROM (SELECT DISTINCT doc_id FROM kp) d, ct LEFT JOIN kp ON kp.doc_id = d.doc_id AND kp.rule_id = ct.rule_id) SELECT doc_id, analyzer, CASE WHEN bool_and(st = 'NOT_EVALUATED') THEN 'FAILED' WHEN bool_or(st = 'NOT_EVALUATED') THEN 'PARTIAL' ELSE 'COMPLETED' END AS state FROM w GROUP BY 1, 2",
+    "j4_resolve_template": "WITH n AS (SELECT n_nationkey, n_regionkey, 'base_' || trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') AS t, 'base_' || lower(n_name) AS own FROM nation) SELECT c_custkey AS request_id, CASE WHEN t IN (SELECT own FROM n WHERE n_regionkey <> 2) THEN t ELSE 'base' END AS template FROM customer JOIN n ON n_nationkey = c_nationkey",
+    "j8_merge_generated": "SELECT l_orderkey AS batch_id, l_linenumber AS pos, 't' || l_linenumber AS title, CASE WHEN bool_or(l_returnflag <> 'N') THEN 'p' || l_linenumber ELSE '' END AS content, CASE WHEN bool_or(l_returnflag <> 'N') THEN 'a,b' ELSE '' END AS source_ids FROM lineitem GROUP BY 1, 2",
+    "j12_checks_coverage": f"WITH {_CH}, fi AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY location) = 1), ct AS (SELECT DISTINCT rule_id, category AS analyzer FROM fi), kp AS (SELECT * FROM fi WHERE status <> 'INFO'), w AS (SELECT d.doc_id, analyzer, coalesce(kp.status, 'NOT_EVALUATED') AS st FROM (SELECT DISTINCT doc_id FROM kp) d, ct LEFT JOIN kp ON kp.doc_id = d.doc_id AND kp.rule_id = ct.rule_id) SELECT doc_id, analyzer, CASE WHEN bool_and(st = 'NOT_EVALUATED') THEN 'FAILED' WHEN bool_or(st = 'NOT_EVALUATED') THEN 'PARTIAL' ELSE 'COMPLETED' END AS state FROM w GROUP BY 1, 2",
     "k4_sorted_findings": f"WITH {_CH} SELECT location, severity, location % 50 AS page_no FROM ch WHERE status = 'FAIL'",
-    "w3_activate_version": "WITH t AS (SELECT o_custkey, max(o_orderkey) AS target FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT o_custkey::VARCHAR AS name, o_orderkey::INT AS version, CASE WHEN target IS NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'active' ELSE 'draft' END WHEN o_orderkey = target THEN 'active' WHEN o_orderstatus = 'F' THEN 'archived' ELSE 'draft' END AS status FROM orders LEFT JOIN t USING (o_custkey)",
+    "w3_activate_version": "WITH t AS (SELECT o_custkey, max(o_orderkey) AS target FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT o_custkey::VARCHAR AS name, o_orderkey::INT AS version, CASE WHEN target IS NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'active' ELSE 'draft' END WHEN o_orderkey = target THEN 'active' WHEN o_orderstatus = 'F' THEN 'archived' ELSE 'draft' END AS status FROM orders LEFT JOIN t USING (o_custkey)",
     "w6_heading_breadcrumb": f"WITH {_OUT}, p AS (SELECT doc_id, line_no, {_LEVELS} FROM ol WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)) SELECT doc_id, line_no, concat_ws(' > ', {_PATH}) AS path FROM p",
     "w7_heading_levels": f"WITH {_OUT}, d AS (SELECT doc_id, count(*) FILTER (level = 1) AS h1 FROM ol GROUP BY 1), g AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, level - lag(level) OVER (PARTITION BY doc_id ORDER BY level) AS gap FROM (SELECT DISTINCT doc_id, level FROM ol)) WHERE gap > 1) SELECT doc_id, 'HDR-001' AS rule_id, 1 AS n FROM d WHERE h1 = 0 UNION ALL SELECT doc_id, 'HDR-002', 1 FROM d WHERE h1 <> 1 UNION ALL SELECT doc_id, 'HDR-003', 1 FROM g",
     "w12_running_headers": "WITH f AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, l_partkey % 97 AS t, CASE WHEN l_partkey % 97 < 60 THEN 95.0 ELSE l_quantity * 2.0 END AS y FROM lineitem), k AS (SELECT doc_id, t, count(DISTINCT page) >= 2 AND bool_and(y <= 14.000000000000002 OR y >= 86) AS fu FROM f GROUP BY 1, 2) SELECT doc_id, fu AS is_furniture, count(*) AS n FROM f JOIN k USING (doc_id, t) GROUP BY 1, 2",

@@ -17,12 +17,12 @@ def store(s, d):
 
 
 def asked(s, d):
-    return store(s, d).where("id < 20").select(F.col("id").alias("query_id"), "namespace", F.col("embedding").alias("query_vector"))
+    return store(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "namespace", F.col("embedding").alias("query_vector"))
 
 
 def upserted(s, d):
     v = store(s, d)
-    new = v.where("id % 3 = 0").withColumn("seq", F.col("id")).select("namespace", (F.col("id") + F.col("id") % 2 * 1000).alias("id"), "embedding", "metadata", "seq")
+    new = v.where("namespace = 'n1'").withColumn("seq", F.col("id")).select("namespace", (F.col("id") + F.col("id") % 2 * 1000).alias("id"), "embedding", "metadata", "seq")
     return vectors.vectors_upsert(v, new).select("namespace", "id", F.size("embedding").alias("n"))
 
 
@@ -30,17 +30,17 @@ def retrieval(s, d):
     v = store(s, d)
     hits = vectors.vector_top_k(asked(s, d), v).withColumnRenamed("id", "chunk_id")
     labels = table(s, d, "embeddings")
-    truth = labels.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
+    truth = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
     return evaluate.evaluate_retrieval(hits, truth)
 
 
 def chapters(s, d):
-    t = table(s, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("chapter_id"), F.lit("unit").alias("unit"), F.concat(F.lit("t"), "vec_id").alias("title"))
+    t = table(s, d, "embeddings").select(F.col("vec_id").alias("chapter_id"), F.lit("unit").alias("unit"), F.concat(F.lit("t"), "vec_id").alias("title"))
     return vectors.retrieve_for_chapters(t, asked(s, d), store(s, d), 3)
 
 
 def label_checks(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("label"), (F.col("item_id") % 20).alias("src"))
+    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("label"), (F.col("item_id") % 20).alias("src"))
     t = docs(s, d).select("doc_id", F.substring_index("source", "src", -1).cast("int").alias("src"), "text")
     folded = t.join(F.broadcast(b), "src").where(F.contains(fold_for_match("text"), fold_for_match("label")))
     return b.join(folded.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_sources"))
@@ -58,7 +58,7 @@ def sites(s, d):
 
 def backfilled(s, d):
     p = table(s, d, "pages").select((F.col("page_id") % 7).alias("site_id"), "url", "page_id")
-    have = p.where("page_id % 2 = 0").groupBy("site_id", F.sha2("url", 256).alias("url_hash")).agg(F.min("page_id").alias("page_id"))
+    have = p.where("site_id < 4").groupBy("site_id", F.sha2("url", 256).alias("url_hash")).agg(F.min("page_id").alias("page_id"))
     return web.backfill_pages(p, have).groupBy("site_id", "was_created").agg(F.count("*").alias("n"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
 
 
@@ -91,7 +91,7 @@ QUERIES = {
     "r12_contrast": contrasts,
     "w15_column_layout": lambda s, d: el.column_layout(table(s, d, "events").select(F.col("user_id").alias("page"), F.col("value").alias("x"))),
 }
-_ST = "st AS (SELECT 'n' || (label % 3) AS namespace, vec_id AS id, embedding, label FROM embeddings), q AS (SELECT id AS query_id, namespace, embedding AS qv FROM st WHERE id < 20)"
+_ST = "st AS (SELECT 'n' || (label % 3) AS namespace, vec_id AS id, embedding, label FROM embeddings), q AS (SELECT id AS query_id, namespace, embedding AS qv FROM st WHERE id % 100 = 0)"
 _TOP = "sc AS (SELECT query_id, id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS score FROM st JOIN q USING (namespace)), top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM sc QUALIFY rank <= {})"
 _STOP = "[" + ", ".join(f"'{w}'" for w in graph.STOPWORDS) + "]"
 _ENT = r"""e0 AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\p{L}\p{N}_])', '\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)', 1) AS x FROM documents)"""
@@ -102,9 +102,9 @@ ORACLES = {
  CASE WHEN length(regexp_replace(line, '[^A-Za-z]', '', 'g')) <= 2 THEN 'too_short' END, CASE WHEN regexp_matches({STRIP.format('line')}, '(?i)^\W*(fig(ure)?|image|graphic|picture|img|pic|table|photo)?\.?\s*\d*\W*$') THEN 'bare_label' END,
  CASE WHEN regexp_matches(line, '(?i)to\s*be\s*described|placeholder|todo|xxx|tbd') THEN 'placeholder' END, CASE WHEN (length(line) - length(replace(line, '. ', ''))) / 2 >= 2 OR len({WORDS.format('line')}) > 20 THEN 'body' END,
  CASE WHEN regexp_matches(line, '^\s*\(?\d+[.)]\s+\S') THEN 'list_item' END], lambda x: x IS NOT NULL), ','), '') AS lint FROM lines WHERE {STRIP.format('line')} <> ''""",
-    "s7_vectors_upsert": "WITH st AS (SELECT 'n' || (label % 3) AS namespace, vec_id AS id, len(embedding)::INT AS n FROM embeddings), nw AS (SELECT DISTINCT namespace, id + id % 2 * 1000 AS id, n FROM st WHERE id % 3 = 0) SELECT * FROM st WHERE (namespace, id) NOT IN (SELECT (namespace, id) FROM nw) UNION ALL SELECT * FROM nw",
+    "s7_vectors_upsert": "WITH st AS (SELECT 'n' || (label % 3) AS namespace, vec_id AS id, len(embedding)::INT AS n FROM embeddings), nw AS (SELECT DISTINCT namespace, id + id % 2 * 1000 AS id, n FROM st WHERE namespace = 'n1') SELECT * FROM st WHERE (namespace, id) NOT IN (SELECT (namespace, id) FROM nw) UNION ALL SELECT * FROM nw",
     "k1_vector_top_k": f"WITH {_ST}, {_TOP.format(5)} SELECT query_id, rank, id, round(score, 6) AS score FROM top",
-    "k2_retrieve_for_chapters": f"WITH {_ST}, {_TOP.format(3)}, h AS (SELECT query_id, count(*) AS n, string_agg(top.id::VARCHAR, ',' ORDER BY rank) AS c, list_sort(list_distinct(list(label::VARCHAR))) AS s FROM top JOIN st ON st.id = top.id GROUP BY 1) SELECT vec_id AS chapter_id, 'unit: t' || vec_id AS query, coalesce(n, 0) AS n_hits, coalesce(c, '') AS chunk_ids, coalesce(array_to_string(s, ','), '') AS sources, n IS NOT NULL AS grounded FROM embeddings LEFT JOIN h ON query_id = vec_id WHERE vec_id < 40",
+    "k2_retrieve_for_chapters": f"WITH {_ST}, {_TOP.format(3)}, h AS (SELECT query_id, count(*) AS n, string_agg(top.id::VARCHAR, ',' ORDER BY rank) AS c, list_sort(list_distinct(list(label::VARCHAR))) AS s FROM top JOIN st ON st.id = top.id GROUP BY 1) SELECT vec_id AS chapter_id, 'unit: t' || vec_id AS query, coalesce(n, 0) AS n_hits, coalesce(c, '') AS chunk_ids, coalesce(array_to_string(s, ','), '') AS sources, n IS NOT NULL AS grounded FROM embeddings LEFT JOIN h ON query_id = vec_id",
     "a13_embedding_statistics": "SELECT 'n' || (label % 3) AS namespace, count(*) AS vectors, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN min(len(embedding)) END AS dimension, avg(len(embedding)) AS average_dimension, min(len(embedding)) AS min_dimension, max(len(embedding)) AS max_dimension FROM embeddings GROUP BY 1",
     "e2_evaluate_retrieval": f"WITH {_ST}, {_TOP.format(5)}, r AS (SELECT query_id, count(*) AS k, count(*) FILTER (a.label = b.label) AS good, (SELECT count(*) FROM embeddings x WHERE x.label = any_value(a.label)) AS wanted, count(DISTINCT top.id) AS own FROM top JOIN st b ON b.id = top.id JOIN st a ON a.id = query_id GROUP BY 1), m AS ("
     + " UNION ALL ".join(_MEMBER.format(m="RETRIEVAL", n=n, c=x) for n, x in (("top_k_relevance", "good / k::DOUBLE"), ("duplicate_chunks", "own / k::DOUBLE"), ("missing_chunks", "good / wanted::DOUBLE")))
@@ -112,8 +112,8 @@ ORACLES = {
     "n2_concepts": f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-]+'), lambda w: regexp_matches(w, '^[a-z]')) AS l FROM documents), u AS (SELECT doc_id, unnest(list_transform(l, lambda w: lower(w))) AS w, generate_subscripts(l, 1) AS i FROM t), f AS (SELECT doc_id, w, min(i) AS i FROM u WHERE length(w) >= 4 AND NOT list_contains({_STOP}, w) GROUP BY 1, 2) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, w AS id, w AS label FROM f",
     "p2_page_titles": f"SELECT page_id, nullif(left(array_to_string({WORDS.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ' '), 500), '') AS title FROM pages",
     "p8_same_site": "WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM pages) SELECT page_id, h, h = 'example.com' OR ends_with(h, '.example.com') OR ends_with('example.com', '.' || h) AS in_site FROM h",
-    "j7_backfill_pages": "WITH w AS (SELECT DISTINCT page_id % 7 AS site_id, url, sha256(url) AS h FROM pages), e AS (SELECT page_id % 7 AS site_id, sha256(url) AS h, min(page_id) AS page_id FROM pages WHERE page_id % 2 = 0 GROUP BY 1, 2), j AS (SELECT w.*, e.page_id FROM w LEFT JOIN e USING (site_id, h)), n AS (SELECT site_id, page_id IS NULL AS was_created, CASE WHEN page_id IS NULL THEN (SELECT max(page_id) FROM e) + row_number() OVER (PARTITION BY page_id IS NULL ORDER BY site_id, h) ELSE page_id END AS page_id FROM j) SELECT site_id, was_created, count(*) AS n, min(page_id) AS lo, max(page_id) AS hi FROM n GROUP BY 1, 2",
-    "j9_verify_labels": r"WITH b AS (SELECT item_id, item_id % 20 AS src, lower(trim(regexp_replace(substring(text, 1, 60), '\s+', ' ', 'g'))) AS label FROM benchmark), t AS (SELECT substring(source, 4)::INT AS src, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents) SELECT item_id, count(t.src) AS n_sources FROM b LEFT JOIN t ON t.src = b.src AND contains(t.t, b.label) GROUP BY 1",
+    "j7_backfill_pages": "WITH w AS (SELECT DISTINCT page_id % 7 AS site_id, url, sha256(url) AS h FROM pages), e AS (SELECT page_id % 7 AS site_id, sha256(url) AS h, min(page_id) AS page_id FROM pages WHERE page_id % 7 < 4 GROUP BY 1, 2), j AS (SELECT w.*, e.page_id FROM w LEFT JOIN e USING (site_id, h)), n AS (SELECT site_id, page_id IS NULL AS was_created, CASE WHEN page_id IS NULL THEN (SELECT max(page_id) FROM e) + row_number() OVER (PARTITION BY page_id IS NULL ORDER BY site_id, h) ELSE page_id END AS page_id FROM j) SELECT site_id, was_created, count(*) AS n, min(page_id) AS lo, max(page_id) AS hi FROM n GROUP BY 1, 2",
+    "j9_verify_labels": r"WITH b AS (SELECT item_id, item_id % 20 AS src, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS label FROM benchmark), t AS (SELECT substring(source, 4)::INT AS src, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents) SELECT item_id, count(t.src) AS n_sources FROM b LEFT JOIN t ON t.src = b.src AND contains(t.t, b.label) GROUP BY 1",
     "r12_contrast": "WITH h AS (SELECT event_id, md5(event_id::VARCHAR) AS m FROM events), c AS (SELECT event_id, list_transform([1, 3, 5, 7, 9, 11], lambda i: ('0x' || substring(m, i, 2))::INT / 255::DOUBLE) AS v FROM h), g AS (SELECT event_id, list_transform(v, lambda x: CASE WHEN x <= 0.04045 THEN x / 12.92::DOUBLE ELSE pow((x + 0.055) / 1.055, 2.4) END) AS v FROM c), l AS (SELECT event_id, 0.2126 * v[1] + 0.7152 * v[2] + 0.0722 * v[3] AS a, 0.2126 * v[4] + 0.7152 * v[5] + 0.0722 * v[6] AS b FROM g), r AS (SELECT event_id, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 6) AS ratio FROM l) SELECT *, ratio >= 4.5 AS normal_ok, ratio >= 3 AS large_ok FROM r",
     "w15_column_layout": "WITH b AS (SELECT user_id AS page, value AS x FROM events), r AS (SELECT page, min(x) AS lo, max(x) AS hi, count(*) AS n FROM b GROUP BY 1), k AS (SELECT page, least(9, floor(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) * 10 ELSE 0 END))::INT AS bucket, any_value(n) AS n, count(*) AS c FROM b JOIN r USING (page) GROUP BY 1, 2), g AS (SELECT *, bucket - row_number() OVER (PARTITION BY page ORDER BY bucket) AS run FROM k WHERE c >= n * 0.1), u AS (SELECT page, run, any_value(n) AS n, sum(c) AS c FROM g GROUP BY 1, 2), s AS (SELECT page, count(*) FILTER (c >= greatest(3, n * 0.2)) AS columns FROM u GROUP BY 1) SELECT r.page, coalesce(columns, 0) AS columns, coalesce(columns, 0) >= 2 AS multi_column FROM r LEFT JOIN s USING (page)",
 }

@@ -38,7 +38,7 @@ def scans_and_findings(s, d):
 
 def page_findings(s, d):
     n = F.col(N)
-    return table(s, d, "events").where(n % 4 == 0).select((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("page_id"), F.col("event_type").alias("rule_code"), (n % 3).cast("string").alias("element_selector"), F.when(n % 8 == 0, "CRITICAL").when(n % 12 == 0, "SERIOUS").when(n % 5 == 0, "MODERATE").otherwise("MINOR").alias("severity"))
+    return table(s, d, "events").select((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("page_id"), F.col("event_type").alias("rule_code"), (n % 3).cast("string").alias("element_selector"), F.when(n % 8 == 0, "CRITICAL").when(n % 12 == 0, "SERIOUS").when(n % 5 == 0, "MODERATE").otherwise("MINOR").alias("severity"))
 
 
 def by_status(s, d, status):
@@ -48,8 +48,8 @@ def by_status(s, d, status):
 def versions(s, d):
     o = table(s, d, "orders")
     rank = F.row_number().over(c.Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    existing = o.where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("key"), rank.alias("version"), F.when(F.col("o_orderkey") % 2 == 0, "audit").otherwise("review").alias("sheet_type"), F.lit("current").alias("status"), (F.col("o_orderkey") % 10 == 1).alias("is_deleted"))
-    new = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 2 == 0, "audit").otherwise("review").alias("sheet_type"))
+    existing = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"), rank.alias("version"), F.when(F.col("o_orderkey") % 2 == 0, "audit").otherwise("review").alias("sheet_type"), F.lit("current").alias("status"), (F.col("o_orderkey") % 10 == 1).alias("is_deleted"))
+    new = o.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 2 == 0, "audit").otherwise("review").alias("sheet_type"))
     return existing, new
 
 
@@ -102,8 +102,8 @@ _CH = """ch AS (SELECT user_id AS doc_id, 'agent' AS agent, event_type || (event
 _KEPT = "kept AS (SELECT *, CASE WHEN internal_check OR status = 'INFO' THEN NULL WHEN status = 'PASS' THEN 1.0 WHEN status = 'WARNING' THEN CASE severity WHEN 'LOW' THEN 0.9 WHEN 'MEDIUM' THEN 0.75 WHEN 'HIGH' THEN 0.6 ELSE 0.5 END WHEN status = 'FAIL' THEN CASE severity WHEN 'LOW' THEN 0.6 WHEN 'MEDIUM' THEN 0.35 WHEN 'HIGH' THEN 0.15 ELSE 0 END ELSE 0.5 END::DOUBLE AS k FROM ch)"
 _W = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 _FL = "fl AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY location) = 1), la AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY location DESC) = 1), both_ AS (SELECT la.*, coalesce(fl.status, 'PASS') AS was, coalesce(fl.auto_fixable, la.auto_fixable) AS fixable FROM la LEFT JOIN fl USING (doc_id, agent, rule_id))"
-_VERS = """ex AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, CASE WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'review' END AS sheet_type, o_orderkey % 10 = 1 AS is_deleted FROM orders WHERE o_orderkey % 3 > 0),
- nw AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'review' END AS sheet_type FROM orders WHERE o_orderkey % 3 = 0),
+_VERS = """ex AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, CASE WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'review' END AS sheet_type, o_orderkey % 10 = 1 AS is_deleted FROM orders WHERE o_orderstatus = 'F'),
+ nw AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'audit' ELSE 'review' END AS sheet_type FROM orders WHERE o_orderstatus <> 'F'),
  al AS (SELECT key, version, sheet_type FROM ex WHERE NOT is_deleted UNION ALL SELECT nw.key, coalesce(t.top, 0) + seq, sheet_type FROM nw LEFT JOIN (SELECT key, max(version) AS top FROM ex WHERE NOT is_deleted GROUP BY 1) t ON t.key = nw.key)"""
 ORACLES = {
     "a1_validation_summary": f"WITH {_CH} SELECT doc_id, " + ", ".join(f"count(*) FILTER (status = 'FAIL' AND severity = '{x}') AS fail_{x.lower()}" for x in k.SEVERITIES) + ", count(*) FILTER (status = 'WARNING') AS warnings, count(*) FILTER (status IN ('FAIL', 'WARNING') AND auto_fixable) AS auto_fixable, count(*) FILTER (status IN ('FAIL', 'WARNING') AND NOT auto_fixable) AS manual, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END AS overall FROM ch GROUP BY 1",
@@ -113,7 +113,7 @@ ORACLES = {
     "a4_dashboard_kpis": f"WITH {_CH} SELECT doc_id, round_even((sum(CASE WHEN status = 'PASS' THEN {_W} ELSE 0 END) / sum({_W})::DOUBLE * 100)::DECIMAL(18, 8), 0)::INT AS accessibility_score, coalesce(round_even((avg((status = 'PASS')::INT) FILTER (rule_id IN ('click0', 'view1', 'purchase2', 'login3')) * 100)::DECIMAL(18, 8), 0), 100)::INT AS pdfua_compliance, count(*) FILTER (severity = 'CRITICAL' AND status IN ('FAIL', 'WARNING')) AS critical_issues, CASE WHEN bool_or(status = 'FAIL' AND severity = 'CRITICAL') THEN 'High' WHEN bool_or(status = 'FAIL' AND severity = 'HIGH') THEN 'Medium' WHEN bool_or(status = 'FAIL') THEN 'Low' ELSE 'None' END AS wcag_risk FROM ch GROUP BY 1",
     "a5_result_summary": f"WITH {_CH}, r AS (SELECT doc_id, rule_id, bool_or(status = 'FAIL') AS d, bool_or(status = 'WARNING') AS r, bool_or(status = 'INFO') AS f FROM ch GROUP BY 1, 2), t AS (SELECT doc_id, count(*) FILTER (d)::INT AS n_detected, count(*) FILTER (d AND NOT (r OR f))::INT AS fixed, count(*) FILTER (d AND (r OR f))::INT AS not_fixed, count(*) FILTER (r)::INT AS n_remaining FROM r WHERE d OR r OR f GROUP BY 1) SELECT *, CASE WHEN n_detected = 0 THEN CASE WHEN n_remaining = 0 THEN 'NO_ISSUES' ELSE 'NEW_ISSUES' END WHEN not_fixed = 0 THEN 'ALL_FIXED' WHEN fixed > 0 THEN 'PARTIALLY_FIXED' ELSE 'NOT_FIXED' END AS status FROM t",
     "a6_severity_distribution": f"WITH {_CH} SELECT s.severity, count(ch.doc_id) AS failed, coalesce(sum(affected_count), 0)::BIGINT AS occurrences FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) s(severity) LEFT JOIN ch ON ch.severity = s.severity AND status = 'FAIL' GROUP BY 1",
-    "a9_page_scan_score": "WITH f AS (SELECT user_id * 1000 + dayofyear(ts) AS page_id, event_type, event_id % 3 AS sel, CASE WHEN event_id % 8 = 0 THEN 'CRITICAL' WHEN event_id % 12 = 0 THEN 'SERIOUS' WHEN event_id % 5 = 0 THEN 'MODERATE' ELSE 'MINOR' END AS severity FROM events WHERE event_id % 4 = 0), o AS (SELECT page_id, event_type, sel, max(CASE severity WHEN 'CRITICAL' THEN 15 WHEN 'SERIOUS' THEN 10 WHEN 'MODERATE' THEN 5 ELSE 2 END) AS p, bool_or(severity IN ('CRITICAL', 'SERIOUS')) AS g FROM f GROUP BY 1, 2, 3) SELECT page_id, greatest(0, 100 - sum(p))::DOUBLE AS score, CASE WHEN bool_or(g) THEN 'FAIL' ELSE 'WARNING' END AS status FROM o GROUP BY 1",
+    "a9_page_scan_score": "WITH f AS (SELECT user_id * 1000 + dayofyear(ts) AS page_id, event_type, event_id % 3 AS sel, CASE WHEN event_id % 8 = 0 THEN 'CRITICAL' WHEN event_id % 12 = 0 THEN 'SERIOUS' WHEN event_id % 5 = 0 THEN 'MODERATE' ELSE 'MINOR' END AS severity FROM events), o AS (SELECT page_id, event_type, sel, max(CASE severity WHEN 'CRITICAL' THEN 15 WHEN 'SERIOUS' THEN 10 WHEN 'MODERATE' THEN 5 ELSE 2 END) AS p, bool_or(severity IN ('CRITICAL', 'SERIOUS')) AS g FROM f GROUP BY 1, 2, 3) SELECT page_id, greatest(0, 100 - sum(p))::DOUBLE AS score, CASE WHEN bool_or(g) THEN 'FAIL' ELSE 'WARNING' END AS status FROM o GROUP BY 1",
     "a14_llm_cost": "SELECT e.event_type AS model, count(*) AS executions, sum(event_id % 1000)::BIGINT AS input_tokens, sum(event_id % 300)::BIGINT AS output_tokens, round_even(sum((event_id % 1000) / 1e6 * i + (event_id % 300) / 1e6 * o)::DECIMAL(18, 12), 6)::DOUBLE AS cost FROM events e LEFT JOIN (VALUES ('click', 2.5::DOUBLE, 10.0::DOUBLE), ('view', 0.15, 0.6), ('purchase', 3.0, 15.0)) p(m, i, o) ON m = event_type GROUP BY 1",
     "a15_message_tokens": "SELECT conv_id, count(*) AS messages, sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4)) END + 4)::BIGINT AS tokens FROM conversations GROUP BY 1",
     "a16_review_rollup": "WITH c AS (SELECT l_orderkey AS unit, l_partkey % 14 AS h FROM lineitem) SELECT unit, count(*) AS chapters, sum(h)::BIGINT AS hits, count(*) FILTER (h = 0) AS zero_hit, round_even(avg(CASE WHEN h <= 0 THEN NULL WHEN h <= 2 THEN 2 WHEN h <= 5 THEN 3 WHEN h <= 9 THEN 4 ELSE 5 END)::DECIMAL(18, 8), 1)::DOUBLE AS mean_weight FROM c GROUP BY 1",
