@@ -75,37 +75,35 @@ def _compare_block(key: np.ndarray, sets: list[np.ndarray], bands: list[np.ndarr
     grams, where = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(where, kind="stable")
-    owner, starts = owner[order], np.searchsorted(where[order], np.arange(len(grams)))
-    holders = np.split(owner, starts[1:])
-    common = np.zeros((n, n), dtype=np.int32)
-    for h in holders:
-        if len(h) > 1:
-            common[np.ix_(h, h)] += 1
-    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common)
+    owner, where = owner[order], where[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    for begin in range(0, len(grams), 4096):
+        lo, hi = np.searchsorted(where, (begin, begin + 4096))
+        has = np.zeros((n, min(4096, len(grams) - begin)), dtype=np.float32)
+        has[owner[lo:hi], where[lo:hi] - begin] = 1
+        common += has @ has.T
+    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common.astype(np.float64))
     np.fill_diagonal(linked, False)
     side = np.array(sides)
     if side.any():
         linked &= side[:, None] != side[None, :]
-    for i in range(n):
-        for j in np.flatnonzero(linked[i, i + 1 :]) + i + 1:
-            first = np.intersect1d(bands[i], bands[j], assume_unique=True)[0]
-            if first != key:
-                linked[i, j] = linked[j, i] = False
+    smaller = [b[b < key] for b in bands]
+    keys, at = np.unique(np.concatenate(smaller), return_inverse=True)
+    if len(keys):
+        has = np.zeros((n, len(keys)), dtype=np.float32)
+        has[np.repeat(np.arange(n), [len(b) for b in smaller]), at] = 1
+        linked &= has @ has.T == 0
     totals = linked @ np.array(weights, dtype=np.int64)
-    root = list(range(n))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges = []
-    for i, j in zip(*np.nonzero(np.triu(linked))):
-        a, b = top(int(i)), top(int(j))
-        if a != b:
-            root[a] = b
-            edges.append((members[int(i)], members[int(j)]))
+    edges, free = [], np.ones(n, dtype=bool)
+    for i in range(n):
+        reached = [i] if free[i] else []
+        free[i] = False
+        while reached:
+            x = reached.pop()
+            new = np.flatnonzero(linked[x] & free)
+            free[new] = False
+            edges += [(members[x], members[j]) for j in new.tolist()]
+            reached += new.tolist()
     return totals, edges
 
 
