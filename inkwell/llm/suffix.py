@@ -33,8 +33,9 @@ from .storage import Scratch
 
 LENGTH = 50
 START = 16
-#: A mark that more documents have is resolved by Spark's own grouping, stretch by stretch, and not within one task.
-COMMON_DOCS = 2000
+#: A mark that more documents have is resolved by Spark's own grouping, stretch by stretch, and not within one task. So
+#: many continuations of a mark are a few MB of bytes and some ten MB of names.
+COMMON_DOCS = 20_000
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
 

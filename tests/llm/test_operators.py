@@ -158,7 +158,7 @@ def brute_repeats(rows, length):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed, monkeypatch):
-    monkeypatch.setattr(suffix, "COMMON_DOCS", 2000 if seed == 1 else 3)
+    monkeypatch.setattr(suffix, "COMMON_DOCS", 20_000 if seed == 1 else 3)
     r = random.Random(seed)
     shared = [prose(i, 14) for i in range(4)] + ["a" * 90, "ab" * 60]
     rows = [*ODD, (7, "same text here" * 9), (8, "same text here" * 9)]
