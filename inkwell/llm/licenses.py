@@ -5,7 +5,8 @@ that must be present before the regex is tried, a tier (0 an explicit tag, 1 a f
 2 a bare name) and a label. Detections are resolved in order of start, longer first, then tier: one that lies within an
 earlier detection of the same or a better tier is suppressed.
 
-All of it works inside a row, so nothing is shuffled. Rules are tried only on texts that hold one of a few gate words.
+All of it works inside a row, so nothing is shuffled. Every text is scanned: a rule's regex is tried where the words hold
+the rule's own keyword, which every match of it holds.
 
 Defined cases: a null text counts as empty and has no words; repeated and null doc_ids give one row each; other columns
 are not read; texts of any length are scanned whole.
@@ -20,11 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Every rule and base phrase holds one of these, so a text without them has no detection.
-GATE = r"licen|gpl|spdx|public domain|permission is hereby|redistribution and use|creative|copyleft|cc0|cc" + SEPARATORS + "by"
 
 #: label, names (each the keyword of its own rules), versions
 FAMILIES = [
@@ -169,23 +167,20 @@ def license_scan(docs: DataFrame) -> DataFrame:
     ``base``: array of (start, end, label); ``detections``: array of (start, end, tier, label); places count words.
     """
     groups = rule_groups()
-    phrases = F.from_json(F.lit(json.dumps([{"pattern": f"(?<= ){p}(?= )", "label": x} for p, x in BASE.items()])), "array<struct<pattern:string,label:string>>")
+    phrases = F.from_json(F.lit(json.dumps([{"phrase": p, "pattern": f"(?<= ){p}(?= )", "label": x} for p, x in BASE.items()])), "array<struct<phrase:string,pattern:string,label:string>>")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     text = F.coalesce("text", F.lit(""))
     joined = F.translate(F.concat(F.lit(" "), F.btrim(F.regexp_replace(text, SEPARATORS, " ")), F.lit(" ")), upper, upper.lower())
 
     def scan(words):
-        found = F.flatten(F.transform(phrases, lambda p: F.transform(_places(words, p.pattern), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), p.label.alias("label")))))
+        found = F.flatten(F.transform(F.filter(phrases, lambda p: F.contains(words, p.phrase)), lambda p: F.transform(_places(words, p.pattern), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), p.label.alias("label")))))
         gated = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(words, g.keyword)), lambda g: g.rules))
         tried = F.filter(gated, lambda r: F.regexp_like(words, r.pattern))
         hits = F.flatten(F.transform(tried, lambda r: F.transform(_places(words, r.pattern), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), r.tier.alias("tier"), r.label.alias("label")))))
-        return F.struct(F.array_sort(found).alias("base"), _resolved(hits).alias("detections"))
+        n_words = F.when(words == "  ", 0).otherwise(_words_in(words) - 1).cast("long")
+        return F.struct(n_words.alias("n_words"), F.array_sort(found).alias("base"), _resolved(hits).alias("detections"))
 
-    found = F.when(F.lower(text).rlike(GATE), _let(joined, scan))
-    none = {"base": "array<struct<start:int,end:int,label:string>>", "detections": "array<struct<start:int,end:int,tier:int,label:string>>"}
-    return docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), found.alias("found")).select(
-        "doc_id", "n_words", *[F.coalesce(F.col("found")[c], F.array().cast(t)).alias(c) for c, t in none.items()]
-    )
+    return docs.select("doc_id", _let(joined, scan).alias("found")).select("doc_id", "found.*")
 
 
 def license_labels(docs: DataFrame) -> DataFrame:

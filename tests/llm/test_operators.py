@@ -73,6 +73,26 @@ def test_license_suppression_matches_brute_force(spark):
     assert [(d.start, d.end, d.tier, d.label) for d in kept] == expected and len(words) > max(d[1] for d in expected) - 1
 
 
+def test_every_license_rule_fires_on_its_own_phrase(spark):
+    def phrase(pattern):
+        pattern = pattern.replace("[cs]", "c").replace("[0-4]", "3").replace("[^ ]+", "x").replace("(3)", "3").replace("share ?alike", "sharealike")
+        while "(?:" in pattern:
+            pattern = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\??)", lambda m: "" if m[2] else m[1], pattern)
+        return " ".join(re.sub(r"[a-z ]\?", "", pattern).split())
+
+    rules = licenses.signature_rules()
+    phrases = [phrase(p) for p, *_ in rules]
+    assert all(re.fullmatch(p, x) and k in x for (p, k, *_), x in zip(rules, phrases))
+    rows = [(i, x.upper().replace(" ", (" ", "\n", "  ", ", ")[i % 4])) for i, x in enumerate(phrases)]
+    got = by_id(licenses.license_scan(documents(spark, rows)))
+    for i, (pattern, _, tier, label) in enumerate(rules):
+        n = len(phrases[i].split())
+        assert got[i].n_words == n and any(d.start == 0 and d.end == n and d.tier <= tier for d in got[i].detections), (pattern, label)
+    short = {1: ("MPL 2.0", "mpl-2"), 2: ("EUPL 1.2", "eupl-1.2"), 3: ("BSD-3-Clause", "bsd"), 4: ("GFDL 1.3", "gfdl-1.3"), 5: ("in the public\ndomain", "public-domain"), 6: ("neither the  name of x nor the names of its contributors", "bsd-3-clause")}
+    labels = by_id(licenses.license_labels(documents(spark, [(i, t) for i, (t, _) in short.items()])))
+    assert {i: r.labels for i, r in labels.items()} == {i: x for i, (_, x) in short.items()}
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
 
 
