@@ -1,7 +1,8 @@
 """Tokenising documents and packing them into sequences by bounded-space online best-fit.
 
-The rank file holds the vocabulary; special tokens' strings in a text are ordinary text. A document's ids are followed by
-an end id. A longer document than a sequence is cut from its end into pieces of full
+The rank file holds the vocabulary, and the tokenizer's file beside it (.json, if there is one) the added tokens: a text
+is cut at these, each is its own id, and only what lies between is encoded. A document's ids are followed by an end id. A
+longer document than a sequence is cut from its end into pieces of full
 length, so that only its first piece can be shorter; full pieces fill sequences of their own. The rest are packed:
 each partition keeps a fixed number of open bins in a bitset keyed by free space. A piece goes to the open bin with the
 least free space that holds it; if none does, a bin is opened, and when too many are open, the fullest closes first.
@@ -15,7 +16,10 @@ one piece, repeated and null doc_ids included; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +27,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import Codec, codec
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 OPEN_BINS = 512
 ROWS_AT_ONCE = 512
+
+
+def added_tokens(rank_file: str) -> dict[str, bytes]:
+    """The ids, as little-endian 32-bit numbers, of the added tokens in the tokenizer's file beside a rank file."""
+    beside = Path(rank_file).with_suffix(".json")
+    if not beside.exists():
+        return {}
+    tokens = json.loads(beside.read_text(encoding="utf-8"))["added_tokens"]
+    for t in tokens:
+        if t["lstrip"] or t["rstrip"] or t["single_word"]:
+            raise ValueError(f"added tokens that take in their surroundings are not supported: {t['content']}")
+    return {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+
+
+def encode(coder: Codec, texts: list[str], added: dict[str, bytes]) -> list[bytes]:
+    """Ids of each text, in which added tokens stand for themselves."""
+    holding = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+    if not holding:
+        return coder.encode(texts)
+    # of tokens that begin at the same place the longest counts
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    split = {i: cut.split(texts[i]) for i in holding}
+    out = coder.encode(["" if i in split else t for i, t in enumerate(texts)])
+    for i, parts in split.items():
+        between = coder.encode(parts[::2])
+        out[i] = b"".join(x for k, ids in enumerate(between) for x in (ids, added[parts[2 * k + 1]] if 2 * k + 1 < len(parts) else b""))
+    return out
+
+
 def pieces(docs: DataFrame, rank_file: str, pattern: str, length: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        coder = codec(rank_file, pattern)
+        coder, added = codec(rank_file, pattern), added_tokens(rank_file)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 rows, piece, start, size, crc = [], [], [], [], []
-                for row, ids in enumerate(coder.encode(part.column(1).to_pylist())):
+                for row, ids in enumerate(encode(coder, part.column(1).to_pylist(), added)):
                     ids += end
                     n = len(ids) // 4
                     head = n % length or length

@@ -285,6 +285,19 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_knows_the_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    r, parts = random.Random(4), ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " the", "'s", "é", "7", "<|", "<|ENDOFTEXT|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(300))]
+    got = by_id(packing.pack_documents(documents(spark, list(enumerate(texts))), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    for i, text in enumerate(texts):
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        assert (got[i].start, got[i].length, got[i].ids_crc32) == (0, len(ids), zlib.crc32(ids.tobytes())), text
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 8, 3, 2)] == [(0, 0), (1, 0), (2, 0), (0, 6), (2, 8)]
