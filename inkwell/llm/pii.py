@@ -104,6 +104,12 @@ _LABEL = r"[A-Za-z0-9-]{1,63}"
 _SPELLED_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}){_AT}(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})+)", re.I)
 _SPELLED_QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_OR_DOT = re.compile(rf"(?P<dot>{_DOT})|{_AT}", re.I)
+# What every spelled address, and every quad or number with something to rewrite, holds. The transducers run where it is found.
+_HAS_ADDRESS = re.compile(rf"[@Aa](?:(?<=@)|[Tt])[ \t]*(?:[)\]}}>][ \t]*)?{_LABEL}(?:{_OPEN}(?:[Dd][Oo][Tt]|\.){_CLOSE}|[ \t]+[Dd][Oo][Tt][ \t]+|\.)[A-Za-z0-9-]")
+_HAS_QUAD = re.compile(r"[0-9](?:[ \t]*[(\[{<]|[ \t]+[Dd])")
+_HAS_NUMBER = re.compile("plus|" + "|".join(NUMBER_WORDS))
+#: What the regexes take for i, s and k besides those and their capitals.
+_SMALL = str.maketrans("İıſ\u212a", "iisk")
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + "|[0-9]+)"
 _SPELLED_NUMBER = re.compile(rf"\b(?:plus[ -]+|\+ ?)?{_NUMBER}(?:[ ,.-]{{1,2}}{_NUMBER}){{6,}}\b", re.I)
 _NUMBER_WORD = re.compile(r"\b(?:(plus)[ -]+|(" + "|".join(NUMBER_WORDS) + r")\b(?:,? |-)?)", re.I)
@@ -116,13 +122,13 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]]:
     edits: list[tuple[int, int, str]] = []
     if foreign:
         edits += [(m.start(), m.end(), "") for m in _HIDDEN.finditer(text)]
-    small = folded.lower() if folded.isascii() else folded
-    if "dot" in small or "@" in small or _near_bracket(small):
-        for m in (*_SPELLED_ADDRESS.finditer(folded), *_SPELLED_QUAD.finditer(folded)):
-            edits += [(m.start() + x.start(), m.start() + x.end(), "." if x["dot"] else "@") for x in _AT_OR_DOT.finditer(m[0]) if len(x[0]) > 1]
-    if sum(small.count(w) for w in NUMBER_WORDS) > 3:
+    spelled = [m for m in _SPELLED_ADDRESS.finditer(folded) if not _amount(m)] if _HAS_ADDRESS.search(folded) else []
+    spelled += _SPELLED_QUAD.finditer(folded) if _HAS_QUAD.search(folded) else []
+    for m in spelled:
+        edits += [(m.start() + x.start(), m.start() + x.end(), "." if x["dot"] else "@") for x in _AT_OR_DOT.finditer(m[0]) if len(x[0]) > 1]
+    if _HAS_NUMBER.search(folded.translate(_SMALL).lower() if not folded.isascii() else folded.lower()):
         for m in _SPELLED_NUMBER.finditer(folded):
-            edits += [(m.start() + x.start(), m.start() + x.end(), "+" if x[1] else NUMBER_WORDS[x[2].lower()]) for x in _NUMBER_WORD.finditer(m[0])]
+            edits += [(m.start() + x.start(), m.start() + x.end(), "+" if x[1] else NUMBER_WORDS[x[2].translate(_SMALL).lower()]) for x in _NUMBER_WORD.finditer(m[0])]
     if not edits and folded == text:
         return "", [], []
     out, starts, ends, at = [], [], [], 0
@@ -139,8 +145,10 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
-def _near_bracket(text: str) -> bool:
-    return "at" in text and re.search(r"[(\[{<][ \t]*at[ \t]*[)\]}>]", text) is not None
+def _amount(m: re.Match) -> bool:
+    """'grew at 3.5' is no address: a bare 'at', and figures with plain dots behind it."""
+    domain = m["domain"]
+    return domain.replace(".", "").isdigit() and m[0][m.end("local") - m.start() : -len(domain)].strip(" \t").lower() == "at"
 
 
 def all_spans(text: str, plain: list[Span]) -> list[Span]:

@@ -413,6 +413,39 @@ def test_disguises_map_back(text, redacted):
     assert pii.redact(text, pii.all_spans(text, pii.plain_spans(text))) == redacted
 
 
+@pytest.mark.parametrize("beside", ["", " é", " “x”", " x@y z", " dot"])
+@pytest.mark.parametrize(
+    ("text", "redacted"),
+    [
+        ("host 192[.]168[.]1[.]20 down", "host <IP> down"),
+        ("host 192 (.) 168 [DOT] 1 Dot 20 down", "host <IP> down"),
+        ("write john at example.com now", "write <EMAIL> now"),
+        ("write JOHN AT EXAMPLE DOT COM now", "write <EMAIL> now"),
+        ("write john [AT] example.com now", "write <EMAIL> now"),
+        ("write john{At}example[.]com now", "write <EMAIL> now"),
+        ("Four One One One 1111 1111 1111, ok", "<CARD>, ok"),
+        ("one 234 5678 9012 3456 78 9 0 1 two", "one 234 5678 9012 3456 78 9 0 1 two"),
+        ("call Plus 4 9 1 5 1 2 3 4 5 ok", "call <PHONE> ok"),
+        ("call Plus Four nine ONE 5 1 2 3 4 5 ok", "call <PHONE> ok"),
+        ("call plus four nıne one ſeven 1 2 3 4 5 ok", "call <PHONE> ok"),
+        ("it grew at 3.5 or so", "it grew at 3.5 or so"),
+    ],
+)
+def test_disguises_do_not_depend_on_the_rest(text, redacted, beside):
+    whole = text + beside
+    assert pii.redact(whole, pii.all_spans(whole, pii.plain_spans(whole))) == redacted + beside
+
+
+def test_gates_hold_for_every_match():
+    r = random.Random(6)
+    parts = ["at", "AT", "@", "[", "]", "(", ")", " ", "\t", "dot", "Dot", ".", "a", "b-c", "1", "22", "é", "Seven", "one", "plus", ",", "-"]
+    for _ in range(60000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(3, 22)))
+        assert pii._HAS_ADDRESS.search(text) or not pii._SPELLED_ADDRESS.search(text), text
+        if not pii._HAS_QUAD.search(text):
+            assert not any(len(x[0]) > 1 for m in pii._SPELLED_QUAD.finditer(text) for x in pii._AT_OR_DOT.finditer(m[0])), text
+
+
 def test_pii(spark):
     rows = [*ODD, (10, "a@b.c and 10.0.0.1, +1 (375) 555-4393; 4111 1111 1111 1111"), (11, "1" * 50000 + "@" + "." * 20000), (12, "é a@b.c")]
     got = by_id(pii.pii_digests(documents(spark, rows)))
