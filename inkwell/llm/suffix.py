@@ -8,8 +8,9 @@ no other document has is unique and its position is settled. The doubling works
    equal marks. Spark sorts out the marks that only one document has; their stretches are settled.
 3. Each mark left goes, with the bytes of the stretches it marks, to the others of its name. Equal bytes merge first,
    keeping the smallest doc_id. Where a mark has several continuations left, the stretches are named by their whole
-   length, and each takes the smallest doc_id of its name: in one task for the continuations of a mark that few documents
-   have, and by grouping and joining all named stretches for a mark that many have, so that no group outgrows a task.
+   length, and each takes the smallest doc_id of its name: in one task for a mark whose different continuations are few
+   bytes, and for others by sorting all named stretches, which pass through a task one by one, so that no group outgrows
+   it. Only stretches that an earlier continuation holds come out of that, and are joined to runs.
 4. Stretches with a smaller doc_id than their own go back to their documents, whose covered bytes are removed.
 
 Each step is one job, whose result is a table in the shared folder; its shuffle files are removed when it ends.
@@ -25,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import U64, mix64, stream64
@@ -33,9 +34,11 @@ from .storage import Scratch
 
 LENGTH = 50
 START = 16
-#: A mark that more documents have is resolved by Spark's own grouping, stretch by stretch, and not within one task. So
-#: many continuations of a mark are a few MB of bytes and some ten MB of names.
+#: A mark that more documents have is resolved stretch by stretch from the start.
 COMMON_DOCS = 20_000
+#: So is one whose different continuations are more bytes, however few documents hold them. A byte of a continuation costs
+#: its names and their order some 50 bytes in resolve().
+HELD_BYTES = 2_000_000
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -142,8 +145,12 @@ def _stretches(texts: DataFrame, found: DataFrame, length: int, start: int, id_t
     return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found", "common").mapInArrow(cut, f"name long, doc_id {id_type}, place long, at int, body binary, common boolean")
 
 
-def _first_holders(stretches: DataFrame, length: int, id_type: str) -> DataFrame:
-    """name, key (hash of a body), begin, end, holder: the smallest doc_id that holds stretches begin..end-1 of a body."""
+def _held(stretches: DataFrame, length: int, id_type: str) -> DataFrame:
+    """name, key (hash of a body), begin, end, holder: the smallest doc_id that holds stretches begin..end-1 of a body.
+
+    The bodies of names that are too large for a task come out as they are, with first and many in place of a run.
+    """
+    bound = HELD_BYTES
 
     def resolve(name: np.ndarray, first: np.ndarray, many: np.ndarray, bodies: list[bytes]):
         """Complete groups of a name, sorted by it."""
@@ -166,27 +173,53 @@ def _first_holders(stretches: DataFrame, length: int, id_type: str) -> DataFrame
         return owner[run], inside[run], inside[end - 1] + 1, holder[run]
 
     def hold(batches):
-        waiting: list[pa.RecordBatch] = []
+        waiting, large = None, None
         for batch in batches:
-            waiting.append(batch)
-            column = batch.column(0)
-            if column[0] == column[-1] and len(waiting) < 64:
+            table = pa.Table.from_batches([batch])
+            if large is not None:
+                same = int(np.searchsorted(table.column("name").to_numpy(), large, "right"))
+                if same:
+                    yield passed(table.slice(0, same))
+                    table = table.slice(same)
+            if not table.num_rows:
                 continue
-            table = pa.Table.from_batches(waiting)
-            name = table.column(0).to_numpy()
-            whole = int(np.searchsorted(name, name[-1]))
-            if whole:
-                yield from emit(table.slice(0, whole))
-                waiting = table.slice(whole).to_batches()
-        if waiting:
-            yield from emit(pa.Table.from_batches(waiting))
-
-    def emit(table):
+            table = pa.concat_tables([waiting, table]) if waiting is not None else table
+            name = table.column("name").to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+            size = np.add.reduceat(np.array([len(b) for b in table.column("body").to_pylist()]), edge)
+            # the last name may go on in the next batch
+            waiting, large = (None, name[-1]) if size[-1] > bound else (table.slice(edge[-1]).combine_chunks(), None)
+            yield from emit(table.slice(0, edge[-1]), np.repeat(size[:-1] > bound, np.diff(edge)))
+            if large is not None:
+                yield passed(table.slice(edge[-1]))
+        if waiting is not None:
+            yield from emit(waiting, np.zeros(waiting.num_rows, bool))
+
+    def emit(table, too_large):
+        if too_large.any():
+            yield passed(table.filter(pa.array(too_large)))
+            table = table.filter(pa.array(~too_large))
         if table.num_rows:
             name = table.column("name").to_numpy()
             owner, begin, end, holder = resolve(name, table.column("first").to_numpy(), table.column("many").to_numpy(), table.column("body").to_pylist())
-            keys = table.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(name[owner]), pa.array(keys[owner]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(holder)], names=["name", "key", "begin", "end", "holder"])
+            keys, n = table.column("key").to_numpy(), len(owner)
+            runs = [pa.array(name[owner]), pa.array(keys[owner]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(holder)]
+            yield pa.RecordBatch.from_arrays([*runs, pa.nulls(n, pa.binary()), pa.nulls(n, runs[-1].type), pa.nulls(n, pa.int64())], names=columns)
+
+    def passed(table):
+        name, key, body, first, many = (table.column(c).combine_chunks() for c in ("name", "key", "body", "first", "many"))
+        none = pa.nulls(len(name), pa.int32())
+        return pa.RecordBatch.from_arrays([name, key, none, none, pa.nulls(len(name), first.type), body, first, many], names=columns)
+
+    columns = ["name", "key", "begin", "end", "holder", "body", "first", "many"]
+    bodies = stretches.groupBy("common", "name", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"))
+    keyed = bodies.select("name", F.xxhash64("body").alias("key"), "body", "first", "many", "common")
+    few = keyed.where("not common").drop("common").repartition("name").sortWithinPartitions("name").mapInArrow(hold, f"name long, key long, begin int, end int, holder {id_type}, body binary, first {id_type}, many long")
+    return few.unionByName(keyed.where("common").drop("common"), allowMissingColumns=True)
+
+
+def _swept(held: DataFrame, length: int, id_type: str) -> DataFrame:
+    """The runs of the bodies that _held() passed on."""
 
     def expand(batches):
         for batch in batches:
@@ -197,14 +230,29 @@ def _first_holders(stretches: DataFrame, length: int, id_type: str) -> DataFrame
                 inside = np.concatenate([np.arange(len(f), dtype=np.int32) for f in full])
                 yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in (0, 1, 3)] + [pa.array(inside), pa.array(np.concatenate(full).view(np.int64))], names=["name", "key", "first", "begin", "full"])
 
-    result = f"name long, key long, begin int, end int, holder {id_type}"
-    bodies = stretches.groupBy("common", "name", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"))
-    keyed = bodies.select("name", F.xxhash64("body").alias("key"), "body", "first", "many", "common")
-    few = keyed.where("not common").drop("common").repartition("name").sortWithinPartitions("name").mapInArrow(hold, result)
-    named = keyed.where("common").select("name", "key", "body", "first").mapInArrow(expand, f"name long, key long, first {id_type}, begin int, full long")
-    lowest = named.groupBy("name", "full").agg(F.min("first").alias("holder"))
-    many = named.select("name", "key", "begin", "full").join(lowest, ["name", "full"]).select("name", "key", "begin", (F.col("begin") + 1).alias("end"), "holder")
-    return few.union(many)
+    def sweep(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, w, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "full", "first"))
+            new = np.concatenate(([last is None or (n[0], w[0]) != last[:2]], (n[1:] != n[:-1]) | (w[1:] != w[:-1])))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+            holder = f[np.maximum(at, 0)]
+            if last is not None:
+                holder[at < 0] = last[2]
+            last = n[-1], w[-1], holder[-1]
+            later = pa.array(holder < f)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(later) for c in ("name", "key", "begin")), pa.array(holder).filter(later)], names=["name", "key", "begin", "holder"])
+
+    bodies = held.where("body is not null").select("name", "key", "body", "first", "many")
+    named = bodies.select("name", "key", "body", "first").mapInArrow(expand, f"name long, key long, first {id_type}, begin int, full long")
+    earlier = named.repartition("name", "full").sortWithinPartitions("name", "full", "first").mapInArrow(sweep, f"name long, key long, begin int, holder {id_type}")
+    place = F.row_number().over(Window.partitionBy("name", "key", "holder").orderBy("begin"))
+    runs = earlier.withColumn("run", F.col("begin") - place).groupBy("name", "key", "holder", "run").agg(F.min("begin").alias("begin"), (F.max("begin") + 1).alias("end"))
+    # a body that several documents have is held by the first of them
+    copied = bodies.where("many > 1").select("name", "key", F.lit(0).alias("begin"), (F.octet_length("body") - length + 1).alias("end"), F.col("first").alias("holder"))
+    return runs.select("name", "key", "begin", "end", "holder").union(copied)
 
 
 def _covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
@@ -236,14 +284,17 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START, as
     firsts = known.where(F.octet_length("text") >= length).join(copies, ["doc_id", "place"], "left_anti").select("doc_id", "place", "text")
     found = scratch.keep(_shared_marks(firsts, length, start, id_type))
     stretches = scratch.keep(_stretches(firsts, found, length, start, id_type))
-    holders = scratch.keep(_first_holders(stretches, length, id_type))
+    held = scratch.keep(_held(stretches, length, id_type))
+    swept = scratch.keep(_swept(held, length, id_type))
+    holders = held.where("body is null").select("name", "key", "begin", "end", "holder").union(swept)
     mine = stretches.select("name", F.xxhash64("body").alias("key"), "doc_id", "place", "at")
     runs = scratch.keep(
         mine.join(holders, ["name", "key"]).where("holder < doc_id")
         .groupBy("doc_id", "place").agg(F.collect_list(F.struct((F.col("at") + F.col("begin")).alias("a"), (F.col("at") + F.col("end")).alias("b"))).alias("runs"))
     )
     scratch.drop(stretches)
-    scratch.drop(holders)
+    scratch.drop(held)
+    scratch.drop(swept)
     marked = runs.unionByName(copies.select("doc_id", "place", F.lit(True).alias("copy")), allowMissingColumns=True)
     marked = marked.select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("runs").alias("_runs"), F.col("copy").alias("_copy"))
     made = {"n_bytes": "long", "spans": "array<struct<begin:int,end:int>>", "kept": "string" if as_text else "binary"}

@@ -194,6 +194,26 @@ def test_suffix_dedup(spark, seed, monkeypatch):
     assert suffix.repeat_digests(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("docs", "size"), [(20_000, 300), (20_000, 5_000), (1, 2_000_000)])
+def test_suffix_dedup_of_marks_with_many_continuations(spark, monkeypatch, docs, size):
+    monkeypatch.setattr(suffix, "COMMON_DOCS", docs)
+    monkeypatch.setattr(suffix, "HELD_BYTES", size)
+    r, passage = random.Random(8), "the passage that every document holds many times, each time beside others"
+    rows = [(i, "".join(prose(r.randrange(1 << 30), 3) + passage[r.randrange(9) : 73 - r.randrange(9)] for _ in range(40))) for i in (3, 1, 2, 7, 9)]
+    assert sorted(map(tuple, suffix.repeat_digests(documents(spark, rows)).collect())) == sorted(brute_repeats(rows, 50))
+
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: None)
+    made, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: made.append(keep(self, df)) or made[-1])
+    suffix.repeat_digests(documents(spark, rows))
+    runs = [df for df in made if df.columns == ["name", "key", "begin", "end", "holder"]][-1].collect()
+    # runs, and not a row for each stretch; and no mark is resolved in a task beyond the bound
+    assert runs and max(x.end - x.begin for x in runs) > 5
+    assert len(runs) < sum(x.end - x.begin for x in runs) / 2
+    held = [df for df in made if "many" in df.columns][-1]
+    assert held.where("body is not null").groupBy("name").count().count() > 0
+
+
 # --- embedding graph ------------------------------------------------------------------------------------------------
 
 
