@@ -1,7 +1,7 @@
-"""Removal of byte strings that an earlier document holds, by distributed prefix doubling.
+"""Removal of byte strings that an earlier document holds, by winnowed fingerprints in place of prefix doubling.
 
 Every position is named by the bytes that follow it, first by ``START`` bytes and in the end by ``length``; a name that
-no other document has is unique and its position is settled. The doubling works on few positions:
+no other document has is unique and its position is settled. This works on few positions:
 
 1. Documents with equal texts count once; a copy is wholly repeated, if it is long enough.
 2. In every stretch of ``length`` bytes the smallest name of START bytes marks it (winnowing), so equal stretches have
