@@ -1,32 +1,39 @@
-"""Removal of byte strings that an earlier document holds, by winnowed fingerprints in place of prefix doubling.
+"""Removal of byte strings that an earlier document holds, by distributed prefix doubling over shared positions.
 
-Every position is named by the bytes that follow it, first by ``START`` bytes and in the end by ``length``; a name that
-no other document has is unique and its position is settled. This works on few positions:
+A position's name of h bytes stands for its rank among all strings of h bytes: equal strings, and only they, have equal
+names. Spark sorts positions by pairs of names at growing offsets, drops those whose pair is unique, and names the rest
+anew, until ``length`` bytes are covered:
 
-1. Documents with equal texts count once; a copy is wholly repeated, if it is long enough.
-2. In every stretch of ``length`` bytes the smallest name of START bytes marks it (winnowing), so equal stretches have
-   equal marks. Spark sorts out the marks that only one document has; their stretches are settled.
-3. Each mark left goes, with the bytes of the stretches it marks, to the others of its name. Equal bytes merge first,
-   keeping the smallest doc_id. Where a mark has several continuations left, the stretches are named by their whole
-   length, and each takes the smallest doc_id of its name: in one task for a mark whose different continuations are few
-   bytes, and for others by sorting all named stretches, which pass through a task one by one, so that no group outgrows
-   it. Only stretches that an earlier continuation holds come out of that, and are joined to runs.
-4. Stretches with a smaller doc_id than their own go back to their documents, whose covered bytes are removed.
+1. ``start`` bytes. Winnowing thins the positions out: every stretch of ``length`` bytes is marked by its smallest name
+   of start bytes, so equal stretches have equal marks. Marks that only one document has are unique; their stretches are
+   settled. A mark stands with all the stretches (positions) that it marks side by side, the block.
+2. ``2 x start`` bytes. A mark's name is paired with the name of the start bytes behind it, and with that of the start
+   bytes before it: every stretch of the block contains one of the two doubled strings. Positions of a unique pair are
+   settled.
+3. ``length`` bytes. The positions left pair the mark's name with the name of the whole stretch, made by doubling; Spark
+   sorts the pairs by name and doc_id, and those that aren't the first document of their pair are repeated.
 
-Each step is one job, whose result is a table in the shared folder; its shuffle files are removed when it ends.
+Documents with equal texts count once, and so do equal blocks of a mark: copies are wholly repeated, whatever the first
+of them turns out to be, so that only the first goes through the rounds 2 and 3. A document has a mark at most a few times,
+and a block of it at most some dozen positions, so a mark that all documents have is few rows of each document, and those
+only as narrow rows in sorted streams: no group of rows is ever gathered in memory.
+
+Names are hashes of 64 bits. Those of rounds 2 and 3 count only among blocks of one mark, which have the mark's bytes in
+common: a million blocks of one mark confuse two strings with a chance of 3 in 10^8.
+
+Each round is one job, whose result is a table in the shared folder; its shuffle files are removed when it ends.
 
 Defined cases: a null text counts as empty; a row whose doc_id is null is left whole and makes others lose nothing; rows
-that repeat a doc_id don't touch each other; strings are judged on the input, and overlaps count; other columns are not
-read.
+that repeat a doc_id don't touch each other; strings are judged on the input, and overlaps count; other columns, whatever
+their names, are carried and not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U64, mix64, stream64
@@ -34,11 +41,8 @@ from .storage import Scratch
 
 LENGTH = 50
 START = 16
-#: A mark that more documents have is resolved stretch by stretch from the start.
-COMMON_DOCS = 20_000
-#: So is one whose different continuations are more bytes, however few documents hold them. A byte of a continuation costs
-#: its names and their order some 50 bytes in resolve().
-HELD_BYTES = 2_000_000
+#: Blocks that are named at once in a task.
+BLOCKS_AT_ONCE = 4000
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -76,7 +80,7 @@ def marks(buf: np.ndarray, length: int, start: int) -> np.ndarray:
     return np.minimum(low[:-rest], low[rest:]) if rest else low
 
 
-def _placed_marks(buf: np.ndarray, length: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+def placed_marks(buf: np.ndarray, length: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """marks() and the first place of each."""
     low, size, width = names(buf, start), 1, length - start + 1
     if len(low) < width:
@@ -93,235 +97,187 @@ def _placed_marks(buf: np.ndarray, length: int, start: int) -> tuple[np.ndarray,
     return nearer(width - size) if width - size else (low, at)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+def _handle() -> Column:
+    """Tells the rows of a doc_id apart by their texts; rows that repeat both are judged alike."""
+    return F.xxhash64("doc_id", "text")
 
 
-def _shared_marks(texts: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """doc_id, place, found, common: the marks of each text that another document has too, and those that many have."""
+def _shared_marks(texts: DataFrame, length: int, start: int) -> DataFrame:
+    """Round 1. handle, found: the marks of each text that another text has too."""
 
     def mark(batches):
         for batch in batches:
-            found = [np.unique(marks(np.frombuffer(t.encode(), np.uint8), length, start)) for t in batch.column(2).to_pylist()]
+            found = [np.unique(marks(np.frombuffer(t.encode(), np.uint8), length, start)) for t in batch.column(1).to_pylist()]
             rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
             name = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows)], names=["name", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows)], names=["name", "handle"])
 
-    named = texts.mapInArrow(mark, f"name long, doc_id {id_type}, place long").repartition("name")
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.count("*") > COMMON_DOCS).alias("common")).where("low < high").select("name", "common")
-    found = named.join(shared.hint("shuffle_hash"), "name")
-    return found.groupBy("doc_id", "place").agg(F.collect_set("name").alias("found"), F.collect_set(F.when(F.col("common"), F.col("name"))).alias("common"))
+    named = texts.select("handle", "text").mapInArrow(mark, "name long, handle long").repartition("name")
+    shared = named.groupBy("name").agg(F.min("handle").alias("low"), F.max("handle").alias("high")).where("low < high").select("name")
+    return named.join(shared.hint("shuffle_hash"), "name").groupBy("handle").agg(F.collect_list("name").alias("found"))
 
 
-def _stretches(texts: DataFrame, found: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """name, doc_id, place, at, body, common: for each shared mark, the bytes of the stretches that it marks, from ``at``."""
+def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
+    """name, key, doc_id, handle, at, n, lead, body: the blocks of shared marks, of which equal ones have equal keys.
+
+    ``at``: first position; ``n``: positions; ``lead``: bytes before the mark; ``body``: the bytes of the n stretches.
+    """
+    columns = ["name", "lead", "doc_id", "handle", "at", "n", "body"]
 
     def cut(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for row, (text, mine, many) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4))):
+            for row, (text, mine) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 raw = text.encode()
-                low, at = _placed_marks(np.frombuffer(raw, np.uint8), length, start)
+                low, at = placed_marks(np.frombuffer(raw, np.uint8), length, start)
                 wanted = np.isin(low, mine.values.to_numpy().view(U64))
                 edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (wanted[1:] != wanted[:-1]))))
-                first, last = edge, np.concatenate((edge[1:], [len(at)]))
-                keep = wanted[first] if len(at) else np.zeros(0, bool)
-                for a, b in zip(first[keep].tolist(), last[keep].tolist()):
-                    out[0].append(row)
-                    out[1].append(a)
-                    out[2].append(raw[a : b - 1 + length])
-                out[3].append(low[first[keep]])
-                out[4].append(np.isin(low[first[keep]], many.values.to_numpy().view(U64)))
-                if len(out[0]) > 50_000:
-                    yield done(batch, out)
-                    out = [[], [], [], [], []]
-            yield done(batch, out)
-
-    def done(batch, out):
-        rows = pa.array(out[0], pa.int64())
-        name = np.concatenate(out[3]).view(np.int64) if out[3] else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[4]) if out[4] else [], pa.bool_())], names=["name", "doc_id", "place", "at", "body", "common"])
-
-    return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found", "common").mapInArrow(cut, f"name long, doc_id {id_type}, place long, at int, body binary, common boolean")
-
-
-def _held(stretches: DataFrame, length: int, id_type: str) -> DataFrame:
-    """name, key (hash of a body), begin, end, holder: the smallest doc_id that holds stretches begin..end-1 of a body.
-
-    The bodies of names that are too large for a task come out as they are, with first and many in place of a run.
-    """
-    bound = HELD_BYTES
-
-    def resolve(name: np.ndarray, first: np.ndarray, many: np.ndarray, bodies: list[bytes]):
-        """Complete groups of a name, sorted by it."""
-        sizes = np.array([len(b) for b in bodies])
-        buf = np.frombuffer(b"".join(bodies), np.uint8)
-        each = sizes - length + 1
-        begin = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(bodies)), each)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
-        full = names(buf, length)[begin[owner] + inside]
-        order = np.lexsort((first[owner], full, name[owner]))
-        n, w, f = name[owner][order], full[order], first[owner][order]
-        new = np.concatenate(([True], (n[1:] != n[:-1]) | (w[1:] != w[:-1])))
-        holder = np.empty(len(owner), dtype=first.dtype)
-        holder[order] = f[np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))]
-        run = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (holder[1:] != holder[:-1]))))
-        end = np.concatenate((run[1:], [len(owner)]))
-        useful = (holder[run] < first[owner[run]]) | (many[owner[run]] > 1)
-        run, end = run[useful], end[useful]
-        return owner[run], inside[run], inside[end - 1] + 1, holder[run]
-
-    def hold(batches):
-        waiting, large = None, None
+                last = np.concatenate((edge[1:], [len(at)]))[wanted[edge]]
+                edge = edge[wanted[edge]]
+                same = pa.array(np.full(len(edge), row))
+                body = [raw[a : b - 1 + length] for a, b in zip(edge.tolist(), last.tolist())]
+                counted = [pa.array((at[edge] - edge).astype(np.int32)), batch.column(0).take(same), batch.column(1).take(same), pa.array(edge.astype(np.int32)), pa.array((last - edge).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(low[edge].view(np.int64)), *counted, pa.array(body, pa.binary())], names=columns)
+
+    cut_out = texts.join(found, "handle").select("doc_id", "handle", "text", "found").mapInArrow(cut, f"name long, lead int, doc_id {id_type}, handle long, at int, n int, body binary")
+    return cut_out.withColumn("key", F.xxhash64("lead", "body"))
+
+
+def _firsts(blocks: DataFrame, id_type: str) -> DataFrame:
+    """The blocks; those that an earlier document has alike lose their body."""
+
+    def sweep(batches):
+        last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if large is not None:
-                same = int(np.searchsorted(table.column("name").to_numpy(), large, "right"))
-                if same:
-                    yield passed(table.slice(0, same))
-                    table = table.slice(same)
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            table = pa.concat_tables([waiting, table]) if waiting is not None else table
-            name = table.column("name").to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-            size = np.add.reduceat(np.array([len(b) for b in table.column("body").to_pylist()]), edge)
-            # the last name may go on in the next batch
-            waiting, large = (None, name[-1]) if size[-1] > bound else (table.slice(edge[-1]).combine_chunks(), None)
-            yield from emit(table.slice(0, edge[-1]), np.repeat(size[:-1] > bound, np.diff(edge)))
-            if large is not None:
-                yield passed(table.slice(edge[-1]))
-        if waiting is not None:
-            yield from emit(waiting, np.zeros(waiting.num_rows, bool))
-
-    def emit(table, too_large):
-        if too_large.any():
-            yield passed(table.filter(pa.array(too_large)))
-            table = table.filter(pa.array(~too_large))
-        if table.num_rows:
-            name = table.column("name").to_numpy()
-            owner, begin, end, holder = resolve(name, table.column("first").to_numpy(), table.column("many").to_numpy(), table.column("body").to_pylist())
-            keys, n = table.column("key").to_numpy(), len(owner)
-            runs = [pa.array(name[owner]), pa.array(keys[owner]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(holder)]
-            yield pa.RecordBatch.from_arrays([*runs, pa.nulls(n, pa.binary()), pa.nulls(n, runs[-1].type), pa.nulls(n, pa.int64())], names=columns)
-
-    def passed(table):
-        name, key, body, first, many = (table.column(c).combine_chunks() for c in ("name", "key", "body", "first", "many"))
-        none = pa.nulls(len(name), pa.int32())
-        return pa.RecordBatch.from_arrays([name, key, none, none, pa.nulls(len(name), first.type), body, first, many], names=columns)
-
-    columns = ["name", "key", "begin", "end", "holder", "body", "first", "many"]
-    bodies = stretches.groupBy("common", "name", "body").agg(F.min("doc_id").alias("first"), F.count("*").alias("many"))
-    keyed = bodies.select("name", F.xxhash64("body").alias("key"), "body", "first", "many", "common")
-    few = keyed.where("not common").drop("common").repartition("name").sortWithinPartitions("name").mapInArrow(hold, f"name long, key long, begin int, end int, holder {id_type}, body binary, first {id_type}, many long")
-    return few.unionByName(keyed.where("common").drop("common"), allowMissingColumns=True)
-
-
-def _swept(held: DataFrame, length: int, id_type: str) -> DataFrame:
-    """The runs of the bodies that _held() passed on."""
-
-    def expand(batches):
+            n, k, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "key", "doc_id"))
+            new = np.concatenate(([last is None or (n[0], k[0]) != last[:2]], (n[1:] != n[:-1]) | (k[1:] != k[:-1])))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+            holder = d[np.maximum(at, 0)]
+            if last is not None:
+                holder[at < 0] = last[2]
+            last = n[-1], k[-1], holder[-1]
+            body = pa.compute.if_else(pa.array(holder < d), pa.scalar(None, pa.binary()), batch.column("body"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "lead", "doc_id", "handle", "at", "n")), body], names=["name", "lead", "doc_id", "handle", "at", "n", "body"])
+
+    sent = blocks.repartition("name", "key").sortWithinPartitions("name", "key", "doc_id")
+    return sent.mapInArrow(sweep, f"name long, lead int, doc_id {id_type}, handle long, at int, n int, body binary")
+
+
+def _doubled(firsts: DataFrame, length: int, start: int) -> DataFrame:
+    """Round 2. handle, at, before, behind: whether another document has the mark with the bytes before it or behind it."""
+    step = min(start, (length - start + 1) // 2)
+    lead, size = F.col("lead"), F.octet_length("body")
+    before = F.when(lead >= step, F.xxhash64(F.substring("body", lead - step + 1, F.lit(step))))
+    behind = F.when(lead + start + step <= size, F.xxhash64(F.substring("body", lead + start + 1, F.lit(step))))
+    sides = F.array(F.struct(F.lit(True).alias("before"), before.alias("pair")), F.struct(F.lit(False).alias("before"), behind.alias("pair")))
+    pairs = firsts.where("body is not null").select("name", "doc_id", "handle", "at", F.inline(sides)).where("pair is not null").repartition("name", "before", "pair")
+    shared = pairs.groupBy("name", "before", "pair").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "before", "pair")
+    left = pairs.join(shared.hint("shuffle_hash"), ["name", "before", "pair"])
+    return left.groupBy("handle", "at").agg(F.bool_or("before").alias("before"), F.bool_or(~F.col("before")).alias("behind"))
+
+
+def _repeated(firsts: DataFrame, doubled: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
+    """Round 3. handle, at: positions whose stretch an earlier document has."""
+    step = min(start, (length - start + 1) // 2)
+
+    def name_all(batches):
         for batch in batches:
-            for part in (batch.slice(at, 2000) for at in range(0, batch.num_rows, 2000)):
-                bodies = part.column(2).to_pylist()
-                full = [names(np.frombuffer(b, np.uint8), length) for b in bodies]
-                rows = pa.array(np.repeat(np.arange(len(full)), [len(f) for f in full]))
-                inside = np.concatenate([np.arange(len(f), dtype=np.int32) for f in full])
-                yield pa.RecordBatch.from_arrays([part.column(i).take(rows) for i in (0, 1, 3)] + [pa.array(inside), pa.array(np.concatenate(full).view(np.int64))], names=["name", "key", "first", "begin", "full"])
+            for part in (batch.slice(i, BLOCKS_AT_ONCE) for i in range(0, batch.num_rows, BLOCKS_AT_ONCE)):
+                lead, at, n = (part.column(c).to_numpy() for c in ("lead", "at", "n"))
+                before, behind = (part.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("before", "behind"))
+                buf = np.frombuffer(b"".join(part.column("body").to_pylist()), np.uint8)
+                sizes = n.astype(np.int64) + length - 1
+                row = np.repeat(np.arange(len(n)), n)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                left = lead[row] - inside
+                # a stretch that holds a doubled string is open only if the string is shared
+                open_ = (before[row] | (left < step)) & (behind[row] | (length - start - left < step))
+                row, inside = row[open_], inside[open_]
+                full = names(buf, length)[(np.cumsum(sizes) - sizes)[row] + inside] if len(row) else np.zeros(0, U64)
+                taken = pa.array(row)
+                columns = [part.column("name").take(taken), pa.array(full.view(np.int64)), part.column("doc_id").take(taken), part.column("handle").take(taken), pa.array((at[row] + inside).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "full", "doc_id", "handle", "at"])
 
     def sweep(batches):
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, w, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "full", "first"))
+            n, w, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "full", "doc_id"))
             new = np.concatenate(([last is None or (n[0], w[0]) != last[:2]], (n[1:] != n[:-1]) | (w[1:] != w[:-1])))
             at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
-            holder = f[np.maximum(at, 0)]
+            holder = d[np.maximum(at, 0)]
             if last is not None:
                 holder[at < 0] = last[2]
             last = n[-1], w[-1], holder[-1]
-            later = pa.array(holder < f)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(later) for c in ("name", "key", "begin")), pa.array(holder).filter(later)], names=["name", "key", "begin", "holder"])
-
-    bodies = held.where("body is not null").select("name", "key", "body", "first", "many")
-    named = bodies.select("name", "key", "body", "first").mapInArrow(expand, f"name long, key long, first {id_type}, begin int, full long")
-    earlier = named.repartition("name", "full").sortWithinPartitions("name", "full", "first").mapInArrow(sweep, f"name long, key long, begin int, holder {id_type}")
-    place = F.row_number().over(Window.partitionBy("name", "key", "holder").orderBy("begin"))
-    runs = earlier.withColumn("run", F.col("begin") - place).groupBy("name", "key", "holder", "run").agg(F.min("begin").alias("begin"), (F.max("begin") + 1).alias("end"))
-    # a body that several documents have is held by the first of them
-    copied = bodies.where("many > 1").select("name", "key", F.lit(0).alias("begin"), (F.octet_length("body") - length + 1).alias("end"), F.col("first").alias("holder"))
-    return runs.select("name", "key", "begin", "end", "holder").union(copied)
-
-
-def _covered(runs: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte spans of runs of stretches."""
-    out: list[list[int]] = []
-    for a, b in sorted((r["a"], r["b"]) for r in runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b - 1 + length)
-        else:
-            out.append([a, b - 1 + length])
-    return [tuple(s) for s in out]
-
-
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START, as_text: bool = False) -> DataFrame:
-    """One row per document: its columns, n_bytes, spans (removed bytes) and kept (remaining bytes, or with
-    ``as_text`` the whole characters among them).
+            yield pa.RecordBatch.from_arrays([batch.column("handle"), batch.column("at")], names=["handle", "at"]).filter(pa.array(holder < d))
 
-    A document's column of one of these names is left out.
-    """
+    left = firsts.where("body is not null").join(doubled, ["handle", "at"]).select("name", "lead", "doc_id", "handle", "at", "n", "before", "behind", "body")
+    named = left.mapInArrow(name_all, f"name long, full long, doc_id {id_type}, handle long, at int")
+    return named.repartition("name", "full").sortWithinPartitions("name", "full", "doc_id").mapInArrow(sweep, "handle long, at int")
+
+
+def _covered(begin: np.ndarray, end: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal removed byte spans of runs of stretches begin..end-1."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order] - 1 + length)
+    cut = np.flatnonzero(begin[1:] > reach[:-1])
+    return list(zip(begin[np.concatenate(([0], cut + 1))].tolist(), reach[np.concatenate((cut, [len(reach) - 1]))].tolist())) if len(begin) else []
+
+
+def _removed(docs: DataFrame, length: int, start: int, as_text: bool) -> DataFrame:
+    """row (all columns of the document as a struct), n_bytes, spans, kept."""
     if not 0 < start < length:
         raise ValueError("start must be shorter than length")
     scratch = Scratch(docs.sparkSession, "repeats")
     id_type = dict(docs.dtypes)["doc_id"]
-    texts = _texts(docs)
-    known = texts.where("doc_id is not null")
-    narrow = scratch.keep(known.select("doc_id", "place", F.unhex(F.sha2("text", 256)).alias("digest")))
+    known = docs.where("doc_id is not null").select("doc_id", _handle().alias("handle"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = scratch.keep(known.select("doc_id", "handle", F.unhex(F.sha2("text", 256)).alias("digest")))
     groups = narrow.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = scratch.keep(narrow.join(groups, "digest").where("doc_id > low").select("doc_id", "place").distinct())
-    firsts = known.where(F.octet_length("text") >= length).join(copies, ["doc_id", "place"], "left_anti").select("doc_id", "place", "text")
-    found = scratch.keep(_shared_marks(firsts, length, start, id_type))
-    stretches = scratch.keep(_stretches(firsts, found, length, start, id_type))
-    held = scratch.keep(_held(stretches, length, id_type))
-    swept = scratch.keep(_swept(held, length, id_type))
-    holders = held.where("body is null").select("name", "key", "begin", "end", "holder").union(swept)
-    mine = stretches.select("name", F.xxhash64("body").alias("key"), "doc_id", "place", "at")
-    runs = scratch.keep(
-        mine.join(holders, ["name", "key"]).where("holder < doc_id")
-        .groupBy("doc_id", "place").agg(F.collect_list(F.struct((F.col("at") + F.col("begin")).alias("a"), (F.col("at") + F.col("end")).alias("b"))).alias("runs"))
-    )
-    scratch.drop(stretches)
-    scratch.drop(held)
-    scratch.drop(swept)
-    marked = runs.unionByName(copies.select("doc_id", "place", F.lit(True).alias("copy")), allowMissingColumns=True)
-    marked = marked.select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("runs").alias("_runs"), F.col("copy").alias("_copy"))
-    made = {"n_bytes": "long", "spans": "array<struct<begin:int,end:int>>", "kept": "string" if as_text else "binary"}
-    carried = {c: t for c, t in docs.dtypes if c not in made}
+    copies = scratch.keep(narrow.join(groups, "digest").where("doc_id > low").select("handle").distinct())
+    firsts = known.where(F.octet_length("text") >= length).join(copies, "handle", "left_anti").select("doc_id", "handle", "text")
+    found = scratch.keep(_shared_marks(firsts, length, start))
+    blocks = scratch.keep(_firsts(_blocks(firsts, found, length, start, id_type), id_type))
+    doubled = scratch.keep(_doubled(blocks, length, start))
+    repeated = scratch.keep(_repeated(blocks, doubled, length, start, id_type))
+    one = repeated.select("handle", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
+    runs = one.union(blocks.where("body is null").select("handle", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
+    marked = scratch.keep(runs.groupBy("handle").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")))
+    for table in (narrow, found, blocks, doubled, repeated):
+        scratch.drop(table)
+    marked = marked.unionByName(copies.select("handle", F.lit(True).alias("copy")), allowMissingColumns=True)
+    kept_type = "string" if as_text else "binary"
 
     def remove(batches):
         for batch in batches:
             spans, kept, sizes = [], [], []
-            for text, runs, copy in zip(*(batch.column(c).to_pylist() for c in ("_text", "_runs", "_copy"))):
+            for text, a, b, copy in zip(batch.column("text").to_pylist(), batch.column("a"), batch.column("b"), batch.column("copy").to_pylist()):
                 raw = text.encode()
-                own = [(0, len(raw))] if copy and len(raw) >= length else _covered(runs or [], length)
+                own = [(0, len(raw))] if copy and len(raw) >= length else _covered(a.values.to_numpy(), b.values.to_numpy(), length) if a.is_valid else []
                 at, left = 0, []
-                for a, b in own:
-                    left.append(raw[at:a])
-                    at = b
-                spans.append([{"begin": a, "end": b} for a, b in own])
+                for begin, end in own:
+                    left.append(raw[at:begin])
+                    at = end
+                spans.append([{"begin": x, "end": y} for x, y in own])
                 kept.append(b"".join([*left, raw[at:]]))
                 sizes.append(len(raw))
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(sizes, pa.int64()), pa.array(spans, kind), left], names=[*carried, *made])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, kind), left], names=["row", "n_bytes", "spans", "kept"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.when(F.col("doc_id").isNotNull(), _handle()).alias("handle"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(marked, "handle", "left").select("row", "text", "a", "b", "copy").mapInArrow(
+        remove, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<begin:int,end:int>>, kept {kept_type}"
+    )
 
-    rows = docs.select(*carried, F.coalesce("text", F.lit("")).alias("_text"), F.xxhash64("text").alias("_here"))
-    return (
-        rows.join(marked, F.expr("doc_id = _id and _here = _place"), "left").select(*carried, "_text", "_runs", "_copy")
-        .mapInArrow(remove, ", ".join(f"`{c}` {t}" for c, t in {**carried, **made}.items()))
-    )
+
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
+    """One row per document: its columns, n_bytes, spans (removed bytes) and kept (remaining bytes).
+
+    A document's column of one of these names is left out.
+    """
+    return _removed(docs, length, start, as_text=False).select(*(f"row.`{c}`" for c in docs.columns if c not in ("n_bytes", "spans", "kept")), "n_bytes", "spans", "kept")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -329,15 +285,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     What is left of a character that was cut goes with it. n_chars, if there, counts the new text; null texts stay.
     """
-    kept = repeated_bytes(docs, length, as_text=True)
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("kept"))}
+    done = _removed(docs, length, START, as_text=True)
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col("row.text").isNotNull(), F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
     emptied = (F.size("spans") > 0) & (F.length(F.btrim(F.regexp_replace("kept", r"\s+", " "))) == 0)
-    return kept.where(~emptied).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return done.where(~emptied).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
-    return repeated_bytes(docs, length).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    done = _removed(docs.select("doc_id", "text"), length, START, as_text=False)
+    return done.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

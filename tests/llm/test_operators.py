@@ -31,8 +31,12 @@ def prose(seed, n, vocabulary=400):
 ODD = [(1, None), (2, ""), (3, " "), (None, "same text here"), (4, "same text here"), (4, "same text here"), (5, "é" * 300), (6, "x " * 20000)]
 
 
+def by_id_list(rows, key="doc_id"):
+    return {r[key]: r for r in rows if r[key] is not None}
+
+
 def by_id(df, key="doc_id"):
-    return {r[key]: r for r in df.collect() if r[key] is not None}
+    return by_id_list(df.collect(), key)
 
 
 # --- licenses -------------------------------------------------------------------------------------------------------
@@ -177,8 +181,7 @@ def brute_repeats(rows, length):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup(spark, seed, monkeypatch):
-    monkeypatch.setattr(suffix, "COMMON_DOCS", 20_000 if seed == 1 else 3)
+def test_suffix_dedup(spark, seed):
     r = random.Random(seed)
     shared = [prose(i, 14) for i in range(4)] + ["a" * 90, "ab" * 60]
     rows = [*ODD, (7, "same text here" * 9), (8, "same text here" * 9)]
@@ -194,24 +197,38 @@ def test_suffix_dedup(spark, seed, monkeypatch):
     assert suffix.repeat_digests(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("docs", "size"), [(20_000, 300), (20_000, 5_000), (1, 2_000_000)])
-def test_suffix_dedup_of_marks_with_many_continuations(spark, monkeypatch, docs, size):
-    monkeypatch.setattr(suffix, "COMMON_DOCS", docs)
-    monkeypatch.setattr(suffix, "HELD_BYTES", size)
+def test_suffix_dedup_of_marks_with_many_continuations(spark):
     r, passage = random.Random(8), "the passage that every document holds many times, each time beside others"
     rows = [(i, "".join(prose(r.randrange(1 << 30), 3) + passage[r.randrange(9) : 73 - r.randrange(9)] for _ in range(40))) for i in (3, 1, 2, 7, 9)]
     assert sorted(map(tuple, suffix.repeat_digests(documents(spark, rows)).collect())) == sorted(brute_repeats(rows, 50))
 
-    monkeypatch.setattr(Scratch, "drop", lambda self, df: None)
-    made, keep = [], Scratch.keep
-    monkeypatch.setattr(Scratch, "keep", lambda self, df: made.append(keep(self, df)) or made[-1])
-    suffix.repeat_digests(documents(spark, rows))
-    runs = [df for df in made if df.columns == ["name", "key", "begin", "end", "holder"]][-1].collect()
-    # runs, and not a row for each stretch; and no mark is resolved in a task beyond the bound
-    assert runs and max(x.end - x.begin for x in runs) > 5
-    assert len(runs) < sum(x.end - x.begin for x in runs) / 2
-    held = [df for df in made if "many" in df.columns][-1]
-    assert held.where("body is not null").groupBy("name").count().count() > 0
+
+def test_suffix_dedup_of_strings_that_end_in_every_round(spark):
+    # common strings of 15 to 60 bytes between unique ones: some are unique with 16 bytes, some with 32, some with 50
+    r = random.Random(5)
+    token = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    common = [token() for _ in range(12)]
+    rows = [(i, "".join(r.choice(common)[(a := r.randrange(20)) : a + r.randrange(15, 61)] + token()[: r.randrange(30)] for _ in range(60))) for i in r.sample(range(1000), 14)]
+    brute = brute_repeats(rows, 50)
+    assert sorted(map(tuple, suffix.repeat_digests(documents(spark, rows)).collect())) == sorted(brute) and any(0 < b[2] < b[1] for b in brute)
+
+
+def test_suffix_dedup_leaves_columns_of_any_name_alone(spark):
+    text = prose(3, 40)
+    names = ["_id", "_text", "row", "handle", "at", "a", "b", "copy", "kept", "n_bytes", "spans", "name", "body"]
+    docs = spark.createDataFrame([(1, text, *["mine"] * len(names)), (2, "x" + text + "yz", *["yours"] * len(names))], ["doc_id", "text", *names])
+    kept = by_id(suffix.without_repeats(docs))
+    assert kept[1].text == text and kept[2].text == "xyz" and all(kept[1][n] == "mine" and kept[2][n] == "yours" for n in names)
+    full = by_id(suffix.repeated_bytes(docs))
+    assert full[2].n_bytes == len(text) + 3 and full[2]["_id"] == "yours" and bytes(full[2].kept) == b"xyz"
+
+
+def test_suffix_dedup_of_a_long_document_with_a_hot_mark(spark):
+    r, passage = random.Random(2), "terms and conditions apply to all offers made on this page, see below"
+    long = "".join(prose(r.randrange(1 << 30), 2, 5000) + passage for _ in range(20_000))
+    rows = [(5, long), (1, passage), (2, "z" + passage + long[:300]), (9, passage + long[1000:1200])]
+    got = suffix.repeat_digests(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows, 50)) and by_id_list(got)[5].n_removed >= 20_000 * len(passage)
 
 
 # --- embedding graph ------------------------------------------------------------------------------------------------
