@@ -14,12 +14,12 @@ anew, until ``length`` bytes are covered:
    sorts the pairs by name and doc_id, and those that aren't the first document of their pair are repeated.
 
 Documents with equal texts count once, and so do equal blocks of a mark: copies are wholly repeated, whatever the first
-of them turns out to be, so that only the first goes through the rounds 2 and 3. A document has a mark at most a few times,
-and a block of it at most some dozen positions, so a mark that all documents have is few rows of each document, and those
-only as narrow rows in sorted streams: no group of rows is ever gathered in memory.
+of them turns out to be, so that only the first goes through the rounds 2 and 3. Within a document every different block
+counts once, so a string that all documents have many times is one narrow row of each; and rows of a group pass by in a
+sorted stream, so that no group is ever gathered in memory.
 
-Names are hashes of 64 bits. Those of rounds 2 and 3 count only among blocks of one mark, which have the mark's bytes in
-common: a million blocks of one mark confuse two strings with a chance of 3 in 10^8.
+Names are hashes of 64 bits. Equal blocks are told by their bytes. Names of rounds 2 and 3 count only among blocks of one
+mark, which have the mark's bytes in common: a million blocks of one mark confuse two strings with a chance of 3 in 10^8.
 
 Each round is one job, whose result is a table in the shared folder; its shuffle files are removed when it ends.
 
@@ -97,32 +97,33 @@ def placed_marks(buf: np.ndarray, length: int, start: int) -> tuple[np.ndarray,
     return nearer(width - size) if width - size else (low, at)
 
 
-def _handle() -> Column:
+def _place() -> Column:
     """Tells the rows of a doc_id apart by their texts; rows that repeat both are judged alike."""
-    return F.xxhash64("doc_id", "text")
+    return F.hash("text")
 
 
-def _shared_marks(texts: DataFrame, length: int, start: int) -> DataFrame:
-    """Round 1. handle, found: the marks of each text that another text has too."""
+def _shared_marks(texts: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
+    """Round 1. doc_id, place, found: the marks of each text that another document has too."""
 
     def mark(batches):
         for batch in batches:
-            found = [np.unique(marks(np.frombuffer(t.encode(), np.uint8), length, start)) for t in batch.column(1).to_pylist()]
+            found = [np.unique(marks(np.frombuffer(t.encode(), np.uint8), length, start)) for t in batch.column(2).to_pylist()]
             rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
             name = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows)], names=["name", "handle"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows)], names=["name", "doc_id", "place"])
 
-    named = texts.select("handle", "text").mapInArrow(mark, "name long, handle long").repartition("name")
-    shared = named.groupBy("name").agg(F.min("handle").alias("low"), F.max("handle").alias("high")).where("low < high").select("name")
-    return named.join(shared.hint("shuffle_hash"), "name").groupBy("handle").agg(F.collect_list("name").alias("found"))
+    named = texts.mapInArrow(mark, f"name long, doc_id {id_type}, place int").repartition("name")
+    shared = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
+    return named.join(shared.hint("shuffle_hash"), "name").groupBy("doc_id", "place").agg(F.collect_list("name").alias("found"))
 
 
 def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """name, key, doc_id, handle, at, n, lead, body: the blocks of shared marks, of which equal ones have equal keys.
+    """name, doc_id, place, at, more, lead, body: the different blocks of shared marks of each document.
 
-    ``at``: first position; ``n``: positions; ``lead``: bytes before the mark; ``body``: the bytes of the n stretches.
+    ``at``: first position, and ``more``: how much further on the document has the block again, null if it doesn't;
+    ``lead``: bytes before the mark; ``body``: all bytes of the block's stretches.
     """
-    columns = ["name", "lead", "doc_id", "handle", "at", "n", "body"]
+    columns = ["name", "doc_id", "place", "at", "more", "lead", "body"]
 
     def cut(batches):
         for batch in batches:
@@ -133,53 +134,71 @@ def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type
                 edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (wanted[1:] != wanted[:-1]))))
                 last = np.concatenate((edge[1:], [len(at)]))[wanted[edge]]
                 edge = edge[wanted[edge]]
-                same = pa.array(np.full(len(edge), row))
-                body = [raw[a : b - 1 + length] for a, b in zip(edge.tolist(), last.tolist())]
-                counted = [pa.array((at[edge] - edge).astype(np.int32)), batch.column(0).take(same), batch.column(1).take(same), pa.array(edge.astype(np.int32)), pa.array((last - edge).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(low[edge].view(np.int64)), *counted, pa.array(body, pa.binary())], names=columns)
-
-    cut_out = texts.join(found, "handle").select("doc_id", "handle", "text", "found").mapInArrow(cut, f"name long, lead int, doc_id {id_type}, handle long, at int, n int, body binary")
-    return cut_out.withColumn("key", F.xxhash64("lead", "body"))
-
-
-def _firsts(blocks: DataFrame, id_type: str) -> DataFrame:
-    """The blocks; those that an earlier document has alike lose their body."""
+                lead = at[edge] - edge
+                first: dict[tuple[bytes, int], int] = {}
+                again: dict[int, list[int]] = {}
+                for i, (x, y, z) in enumerate(zip(edge.tolist(), last.tolist(), lead.tolist())):
+                    one = first.setdefault((raw[x : y - 1 + length], z), i)
+                    if one != i:
+                        again.setdefault(one, []).append(x - int(edge[one]))
+                own = np.fromiter(first.values(), dtype=np.int64, count=len(first))
+                same = pa.array(np.full(len(own), row))
+                name = pa.array(low[edge[own]].view(np.int64))
+                more = pa.array([again.get(i) for i in own.tolist()] if again else [None] * len(own), pa.list_(pa.int32()))
+                ends = [pa.array(lead[own].astype(np.int32)), pa.array([k[0] for k in first], pa.binary())]
+                yield pa.RecordBatch.from_arrays([name, batch.column(0).take(same), batch.column(1).take(same), pa.array(edge[own].astype(np.int32)), more, *ends], names=columns)
+
+    return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found").mapInArrow(cut, f"name long, doc_id {id_type}, place int, at int, more array<int>, lead int, body binary")
+
+
+def _later(batch: pa.RecordBatch, keys: list[str], last: list | None) -> tuple[np.ndarray, list]:
+    """Which rows, sorted by keys and doc_id, have an earlier document of equal keys; and what the next batch must know."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    for c in (batch.column(k) for k in keys):
+        new[1:] |= pa.compute.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    new[0] = last is None or any(batch.column(k)[0].as_py() != v for k, v in zip(keys, last))
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+    holder = ids[np.maximum(at, 0)]
+    if not new[0]:
+        holder[at < 0] = last[-1]
+    return holder < ids, [*(batch.column(k)[-1].as_py() for k in keys), holder[-1]]
+
+
+def _firsts(blocks: DataFrame, length: int, id_type: str) -> DataFrame:
+    """The blocks with n, their positions, and copy; those that an earlier document has alike are copies, without body."""
+    columns = ["name", "doc_id", "place", "at", "more", "lead"]
 
     def sweep(batches):
         last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, k, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "key", "doc_id"))
-            new = np.concatenate(([last is None or (n[0], k[0]) != last[:2]], (n[1:] != n[:-1]) | (k[1:] != k[:-1])))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
-            holder = d[np.maximum(at, 0)]
-            if last is not None:
-                holder[at < 0] = last[2]
-            last = n[-1], k[-1], holder[-1]
-            body = pa.compute.if_else(pa.array(holder < d), pa.scalar(None, pa.binary()), batch.column("body"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "lead", "doc_id", "handle", "at", "n")), body], names=["name", "lead", "doc_id", "handle", "at", "n", "body"])
-
-    sent = blocks.repartition("name", "key").sortWithinPartitions("name", "key", "doc_id")
-    return sent.mapInArrow(sweep, f"name long, lead int, doc_id {id_type}, handle long, at int, n int, body binary")
+            if batch.num_rows:
+                copy, last = _later(batch, ["name", "lead", "body"], last)
+                body = batch.column("body")
+                n = pa.compute.subtract(pa.compute.binary_length(body), pa.scalar(length - 1, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), n, pa.array(copy), pa.compute.if_else(pa.array(copy), pa.scalar(None, body.type), body)], names=[*columns, "n", "copy", "body"])
+
+    sent = blocks.repartition("name", F.xxhash64("body")).sortWithinPartitions("name", "lead", "body", "doc_id")
+    return sent.mapInArrow(sweep, f"name long, doc_id {id_type}, place int, at int, more array<int>, lead int, n int, copy boolean, body binary")
 
 
 def _doubled(firsts: DataFrame, length: int, start: int) -> DataFrame:
-    """Round 2. handle, at, before, behind: whether another document has the mark with the bytes before it or behind it."""
+    """Round 2. Those first blocks that have the mark with the bytes before it or behind it in common with others."""
     step = min(start, (length - start + 1) // 2)
-    lead, size = F.col("lead"), F.octet_length("body")
+    lead, size, keys = F.col("lead"), F.octet_length("body"), ["name", "before", "pair"]
     before = F.when(lead >= step, F.xxhash64(F.substring("body", lead - step + 1, F.lit(step))))
     behind = F.when(lead + start + step <= size, F.xxhash64(F.substring("body", lead + start + 1, F.lit(step))))
     sides = F.array(F.struct(F.lit(True).alias("before"), before.alias("pair")), F.struct(F.lit(False).alias("before"), behind.alias("pair")))
-    pairs = firsts.where("body is not null").select("name", "doc_id", "handle", "at", F.inline(sides)).where("pair is not null").repartition("name", "before", "pair")
-    shared = pairs.groupBy("name", "before", "pair").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "before", "pair")
-    left = pairs.join(shared.hint("shuffle_hash"), ["name", "before", "pair"])
-    return left.groupBy("handle", "at").agg(F.bool_or("before").alias("before"), F.bool_or(~F.col("before")).alias("behind"))
+    pairs = firsts.select("name", "doc_id", "place", "at", F.inline(sides)).where("pair is not null").repartition(*keys)
+    shared = pairs.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*keys)
+    open_ = pairs.join(shared.hint("shuffle_hash"), keys).groupBy("doc_id", "place", "at").agg(F.bool_or("before").alias("before"), F.bool_or(~F.col("before")).alias("behind"))
+    return firsts.join(open_, ["doc_id", "place", "at"])
 
 
-def _repeated(firsts: DataFrame, doubled: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """Round 3. handle, at: positions whose stretch an earlier document has."""
+def _repeated(doubled: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
+    """Round 3. doc_id, place, at, more: positions whose stretch an earlier document has."""
     step = min(start, (length - start + 1) // 2)
+    columns = ["name", "full", "doc_id", "place", "at", "more"]
 
     def name_all(batches):
         for batch in batches:
@@ -195,27 +214,19 @@ def _repeated(firsts: DataFrame, doubled: DataFrame, length: int, start: int, id
                 open_ = (before[row] | (left < step)) & (behind[row] | (length - start - left < step))
                 row, inside = row[open_], inside[open_]
                 full = names(buf, length)[(np.cumsum(sizes) - sizes)[row] + inside] if len(row) else np.zeros(0, U64)
-                taken = pa.array(row)
-                columns = [part.column("name").take(taken), pa.array(full.view(np.int64)), part.column("doc_id").take(taken), part.column("handle").take(taken), pa.array((at[row] + inside).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["name", "full", "doc_id", "handle", "at"])
+                name, doc_id, place, more = (part.column(c).take(pa.array(row)) for c in ("name", "doc_id", "place", "more"))
+                yield pa.RecordBatch.from_arrays([name, pa.array(full.view(np.int64)), doc_id, place, pa.array((at[row] + inside).astype(np.int32)), more], names=columns)
 
     def sweep(batches):
         last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, w, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("name", "full", "doc_id"))
-            new = np.concatenate(([last is None or (n[0], w[0]) != last[:2]], (n[1:] != n[:-1]) | (w[1:] != w[:-1])))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
-            holder = d[np.maximum(at, 0)]
-            if last is not None:
-                holder[at < 0] = last[2]
-            last = n[-1], w[-1], holder[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("handle"), batch.column("at")], names=["handle", "at"]).filter(pa.array(holder < d))
-
-    left = firsts.where("body is not null").join(doubled, ["handle", "at"]).select("name", "lead", "doc_id", "handle", "at", "n", "before", "behind", "body")
-    named = left.mapInArrow(name_all, f"name long, full long, doc_id {id_type}, handle long, at int")
-    return named.repartition("name", "full").sortWithinPartitions("name", "full", "doc_id").mapInArrow(sweep, "handle long, at int")
+            if batch.num_rows:
+                later, last = _later(batch, ["name", "full"], last)
+                yield batch.select(columns[2:]).filter(pa.array(later))
+
+    named = doubled.mapInArrow(name_all, f"name long, full long, doc_id {id_type}, place int, at int, more array<int>")
+    sent = named.repartition("name", "full").sortWithinPartitions("name", "full", "doc_id")
+    return sent.mapInArrow(sweep, f"doc_id {id_type}, place int, at int, more array<int>")
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -232,21 +243,28 @@ def _removed(docs: DataFrame, length: int, start: int, as_text: bool) -> DataFra
         raise ValueError("start must be shorter than length")
     scratch = Scratch(docs.sparkSession, "repeats")
     id_type = dict(docs.dtypes)["doc_id"]
-    known = docs.where("doc_id is not null").select("doc_id", _handle().alias("handle"), F.coalesce("text", F.lit("")).alias("text"))
-    narrow = scratch.keep(known.select("doc_id", "handle", F.unhex(F.sha2("text", 256)).alias("digest")))
+    known = docs.where("doc_id is not null").select("doc_id", _place().alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    narrow = scratch.keep(known.select("doc_id", "place", F.unhex(F.sha2("text", 256)).alias("digest")))
     groups = narrow.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = scratch.keep(narrow.join(groups, "digest").where("doc_id > low").select("handle").distinct())
-    firsts = known.where(F.octet_length("text") >= length).join(copies, "handle", "left_anti").select("doc_id", "handle", "text")
-    found = scratch.keep(_shared_marks(firsts, length, start))
-    blocks = scratch.keep(_firsts(_blocks(firsts, found, length, start, id_type), id_type))
-    doubled = scratch.keep(_doubled(blocks, length, start))
-    repeated = scratch.keep(_repeated(blocks, doubled, length, start, id_type))
-    one = repeated.select("handle", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    runs = one.union(blocks.where("body is null").select("handle", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
-    marked = scratch.keep(runs.groupBy("handle").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")))
-    for table in (narrow, found, blocks, doubled, repeated):
-        scratch.drop(table)
-    marked = marked.unionByName(copies.select("handle", F.lit(True).alias("copy")), allowMissingColumns=True)
+    copies = scratch.keep(narrow.join(groups, "digest").where("doc_id > low").select("doc_id", "place").distinct())
+    scratch.drop(narrow)
+    long_enough = known.where(F.octet_length("text") >= length).join(copies, ["doc_id", "place"], "left_anti").select("doc_id", "place", "text")
+    found = scratch.keep(_shared_marks(long_enough, length, start, id_type))
+    blocks = scratch.keep(_blocks(long_enough, found, length, start, id_type))
+    scratch.drop(found)
+    firsts = scratch.keep(_firsts(blocks, length, id_type))
+    scratch.drop(blocks)
+    copied = scratch.keep(firsts.where("copy").select("doc_id", "place", "at", "more", "n"))
+    doubled = scratch.keep(_doubled(firsts.where("not copy"), length, start))
+    scratch.drop(firsts)
+    repeated = scratch.keep(_repeated(doubled, length, start, id_type))
+    scratch.drop(doubled)
+    runs = repeated.withColumn("n", F.lit(1)).unionByName(copied).select("doc_id", "place", F.explode(F.concat(F.array(F.lit(0)), F.coalesce("more", F.array().cast("array<int>")))).alias("on"), "at", "n")
+    starts = runs.select("doc_id", "place", (F.col("at") + F.col("on")).alias("a"), (F.col("at") + F.col("on") + F.col("n")).alias("b"))
+    marked = scratch.keep(starts.groupBy("doc_id", "place").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")))
+    scratch.drop(copied)
+    scratch.drop(repeated)
+    marked = marked.unionByName(copies.select("doc_id", "place", F.lit(True).alias("copy")), allowMissingColumns=True)
     kept_type = "string" if as_text else "binary"
 
     def remove(batches):
@@ -266,8 +284,8 @@ def _removed(docs: DataFrame, length: int, start: int, as_text: bool) -> DataFra
             left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, kind), left], names=["row", "n_bytes", "spans", "kept"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.when(F.col("doc_id").isNotNull(), _handle()).alias("handle"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(marked, "handle", "left").select("row", "text", "a", "b", "copy").mapInArrow(
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _place().alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(marked, ["doc_id", "place"], "left").select("row", "text", "a", "b", "copy").mapInArrow(
         remove, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<begin:int,end:int>>, kept {kept_type}"
     )
 
