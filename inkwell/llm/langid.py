@@ -4,8 +4,9 @@ A profile is the list of a language's most frequent letter n-grams (one to three
 of frequency. A document's own list is compared with each profile by the out-of-place distance: every n-gram costs the
 difference of its two ranks, and the profile's length if the profile lacks it.
 
-Profiles are learned from at most ``docs_per_language`` labelled documents of each language, chosen by a hash. Counts
-are summed by Spark; what reaches the driver is the profiles, at most ``MAX_LANGUAGES`` lists of ``PROFILE_GRAMS``.
+Profiles are learned from at most ``docs_per_language`` labelled documents of each language, chosen by a hash: the counts
+of languages give each a threshold of the hash, so that a language that most documents have sends few of them to be
+ordered. Counts are summed by Spark; what reaches the driver is one list of ``PROFILE_GRAMS`` for each language.
 
 Defined cases: null text, empty text and text without a letter are ``und`` with score 0; so is every text if there is
 nothing to learn from; ties go to the alphabetically smaller language; documents without a language are not learned
@@ -26,7 +27,6 @@ UNDETERMINED = "und"
 PROFILE_GRAMS = 400
 DOCUMENT_GRAMS = 300
 DOCS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 512
 #: Stands before a shorter n-gram in its 3 x 21 bits; no code point is as large.
 _NONE = np.uint64(0x1FFFFF)
 _tables: list[np.ndarray] = []
@@ -91,9 +91,13 @@ def learn_profiles(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUA
     """Profiles from the columns doc_id, text and lang."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     place = F.xxhash64("doc_id")
-    first = rows.select("lang", place.alias("place")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= docs_per_language)
-    bound = first.groupBy("lang").agg(F.max("place").alias("bound"), F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
-    chosen = rows.withColumn("place", place).join(F.broadcast(bound), "lang").where("place <= bound")
+    # a share of the hashes that holds docs_per_language documents beyond doubt
+    share = (docs_per_language + 10 * docs_per_language**0.5 + 50) / F.count("*")
+    some = rows.groupBy("lang").agg((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("below"))
+    first = rows.select("lang", place.alias("place")).join(some, "lang").where("place <= below")
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= docs_per_language)
+    bound = first.groupBy("lang").agg(F.max("place").alias("bound"))
+    chosen = rows.withColumn("place", place).join(bound, "lang").where("place <= bound")
 
     def count(batches):
         for batch in batches:
