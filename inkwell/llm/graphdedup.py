@@ -10,8 +10,9 @@
    with the whole block instead. What is found is verified in double precision.
 5. A pair counts in the first shard that both rows share. Tasks return counts and a spanning forest, never the pairs;
    components are joined over all tasks.
-6. Recall is audited: a bounded sample of rows is compared with all rows in blocks. If too few of its links were found,
-   everything is done again with more overlap.
+6. Recall is audited: bounded samples of the rows with links and of all rows are compared with all rows in blocks. If too
+   few of their links were found, everything is done again with more overlap; if less than LEAST_RECALL of them are found
+   in the end, that is an error. Where the samples have no link at all, recall is not measured (null).
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with nothing, as do those of
 another dimension than the most frequent one and rows without an id; rows that repeat an id count one by one.
@@ -42,6 +43,7 @@ BEAM = 24
 FULL_RANGE = 24
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.98
+LEAST_RECALL = 0.9
 ATTEMPTS = 3
 
 
@@ -147,7 +149,7 @@ def _tasks(shards: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def embedding_links(rows: DataFrame, min_cosine: float = MIN_COSINE, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept, audit_recall (of all, by the audited sample)."""
+    """One row per vector: vec_id, n_links, component_id, kept, audit_recall (of all, by the audited samples; null if not measured)."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "graph")
     id_type = dict(rows.dtypes)[id_column]
@@ -161,10 +163,12 @@ def embedding_links(rows: DataFrame, min_cosine: float = MIN_COSINE, id_column:
         for attempt in range(ATTEMPTS):
             links, edges = _links(classes, sample, n, min_cosine, shard_rows, overlap * 2**attempt, scratch, id_type)
             recall = _audit(classes, links, sample_rows=AUDIT_ROWS, min_cosine=min_cosine)
-            if recall >= AUDIT_RECALL:
+            if recall is None or recall >= AUDIT_RECALL:
                 break
+        if recall is not None and recall < LEAST_RECALL:
+            raise RuntimeError(f"only {recall:.3f} of the audited links were found")
     else:
-        links, edges, recall = spark.createDataFrame([], "key string, others long"), spark.createDataFrame([], f"a {id_type}, b {id_type}"), 1.0
+        links, edges, recall = spark.createDataFrame([], "key string, others long"), spark.createDataFrame([], f"a {id_type}, b {id_type}"), None
     reached = connected_components(edges, scratch)
     of_class = (
         classes.select("key", "id", "weight").join(links, "key", "left").join(reached.withColumnRenamed("node", "id"), "id", "left")
@@ -172,7 +176,7 @@ def embedding_links(rows: DataFrame, min_cosine: float = MIN_COSINE, id_column:
     )
     return keyed.select("id", "key").join(of_class, "key", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"), F.lit(float(recall)).alias("audit_recall"),
+        F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"),
     )
 
 
@@ -252,9 +256,11 @@ def _links(classes: DataFrame, sample: np.ndarray, n: int, min_cosine: float, sh
     return links, found.where("a is not null").select("a", "b")
 
 
-def _audit(classes: DataFrame, links: DataFrame, sample_rows: int, min_cosine: float) -> float:
-    """Share of the links of a bounded sample of linked and other rows that were found."""
-    chosen = classes.select("key", "v").orderBy(F.xxhash64("key"), "key").limit(sample_rows).collect()
+def _audit(classes: DataFrame, links: DataFrame, sample_rows: int, min_cosine: float) -> float | None:
+    """Share of the links of bounded samples of linked and of all rows that were found; None if they have none."""
+    order = (F.xxhash64("key"), "key")
+    linked = classes.select("key", "v").join(links.orderBy(*order).limit(sample_rows // 2).select("key"), "key")
+    chosen = classes.select("key", "v").orderBy(*order).limit(sample_rows // 2).union(linked).dropDuplicates(["key"]).orderBy("key").collect()
     probe = unit(np.array([r.v for r in chosen], dtype=np.float64))
     keys = [r.key for r in chosen]
     shared = classes.sparkSession.sparkContext.broadcast((keys, probe))
@@ -271,4 +277,4 @@ def _audit(classes: DataFrame, links: DataFrame, sample_rows: int, min_cosine: f
 
     truth = classes.select("key", "weight", "v").mapInArrow(compare, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
     sums = truth.join(links, "key", "left").agg(F.sum("n").alias("n"), F.sum("others").alias("found")).first()
-    return 1.0 if not sums.n else (sums.found or 0) / sums.n
+    return (sums.found or 0) / sums.n if sums.n else None
