@@ -9,7 +9,8 @@ executors do. Every document is scored on its whole text.
 
 Defined cases: null and empty texts have only the features of an empty text and are scored like any other; if the
 labels hold fewer than two classes, every score is the share of label 1 (0.5 without labels); repeated and null doc_ids
-give one row each; a document with several labels is learned from with each; other columns are not read.
+give one row each; a document is learned from once, with its largest label, and with one of its texts if its doc_id is
+repeated; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .langid import id_remainder
 WORD_FEATURES = 1 << 15
 RANK = 8
 TRAIN_DOCS = 6000
+#: Texts of more different words are not learned from, so that the sample is bounded in bytes too.
+TRAIN_WORDS = 2048
 EPOCHS = 12
 BATCH = 128
 RATE = 0.08
@@ -130,13 +133,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Factori
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> FactorisationMachine:
     """A machine for ``labels`` (doc_id, quality) of the documents (doc_id, text)."""
-    chosen = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_docs)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches):
         for batch in batches:
             rows = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["doc_id", "quality", "index", "value"])
+            short = pa.array([len(i) <= TRAIN_WORDS + len(STATISTICS) for i, _ in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["doc_id", "quality", "index", "value"]).filter(short)
 
     found = texts.select("text", "doc_id", F.col("quality").cast("int").alias("quality")).mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, index binary, value binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.quality, r["index"], r["value"]))
