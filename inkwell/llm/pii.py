@@ -1,8 +1,9 @@
 """Personal data, also where it is disguised, with places in the original text.
 
 The plain identifiers (email, ip, card, phone) are found in the text as it stands. For disguised ones a transducer
-rewrites the text: look-alike characters and digits of other scripts become ASCII, invisible characters go, spelled
-digits become digits, and 'at' and 'dot' in words or brackets become @ and . where an address is spelled out. Each
+rewrites the text: look-alike characters and digits of other scripts become ASCII, invisible characters go, digits in
+English, German, French and Spanish words become digits, and 'at' and 'dot' in words or brackets become @ and . where an
+address is spelled out. Each
 character of the result remembers the source characters it stands for; the same detectors run on the result, and their
 spans are mapped back. A span found only there is added, if it doesn't lie within a plain one of its kind.
 
@@ -79,7 +80,13 @@ LOOK_ALIKES = {
     "։": ".", "。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-NUMBER_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: The digits in English, German, French and Spanish.
+NUMBER_WORDS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
 
 
 class _Ascii(dict):
@@ -98,16 +105,19 @@ _ascii = _Ascii({i: i for i in range(128)})
 _FOREIGN = re.compile(f"[ɐ-῿‐-–․℀-⅏①-⓿。！-～\U0001d400-\U0001d7ff{INVISIBLE}]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
-_AT = rf"(?:{_OPEN}(?:at|@){_CLOSE}|[ \t]+at[ \t]+|[ \t]*@[ \t]*)"
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|[ \t]+dot[ \t]+|\.)"
+# 'at' is a common word, the names of the sign in French and Spanish are not
+_AT = rf"(?:{_OPEN}(?:at|arobase|arroba|@){_CLOSE}|[ \t]+(?:at|arobase|arroba)[ \t]+|[ \t]*@[ \t]*)"
+_DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.)"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _SPELLED_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}){_AT}(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})+)", re.I)
 _SPELLED_QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_OR_DOT = re.compile(rf"(?P<dot>{_DOT})|{_AT}", re.I)
+_PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9.-]+")
 # What every spelled address, and every quad or number with something to rewrite, holds. The transducers run where it is found.
-_HAS_ADDRESS = re.compile(rf"[@Aa](?:(?<=@)|[Tt])[ \t]*(?:[)\]}}>][ \t]*)?{_LABEL}(?:{_OPEN}(?:[Dd][Oo][Tt]|\.){_CLOSE}|[ \t]+[Dd][Oo][Tt][ \t]+|\.)[A-Za-z0-9-]")
-_HAS_QUAD = re.compile(r"[0-9](?:[ \t]*[(\[{<]|[ \t]+[Dd])")
-_HAS_NUMBER = re.compile("plus|" + "|".join(NUMBER_WORDS))
+_HAS_ADDRESS = re.compile(rf"(?:@|at|arobase|arroba)[ \t]*(?:[)\]}}>][ \t]*)?{_LABEL}{_DOT}[A-Za-z0-9-]", re.I)
+_HAS_QUAD = re.compile(r"[0-9](?:[ \t]*[(\[{<]|[ \t]+[DdPp])")
+_WORDS = "|".join(NUMBER_WORDS)
+_HAS_NUMBER = re.compile(rf"(?:{_WORDS})[ ,.-]{{1,2}}(?:{_WORDS}|[0-9])|[0-9][ ,.-]{{1,2}}(?:{_WORDS})|plus[ -]+[0-9]")
 #: What the regexes take for i, s and k besides those and their capitals.
 _SMALL = str.maketrans("İıſ\u212a", "iisk")
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + "|[0-9]+)"
@@ -122,7 +132,7 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]]:
     edits: list[tuple[int, int, str]] = []
     if foreign:
         edits += [(m.start(), m.end(), "") for m in _HIDDEN.finditer(text)]
-    spelled = [m for m in _SPELLED_ADDRESS.finditer(folded) if not _amount(m)] if _HAS_ADDRESS.search(folded) else []
+    spelled = [m for m in _SPELLED_ADDRESS.finditer(folded) if _disguised(m)] if _HAS_ADDRESS.search(folded) else []
     spelled += _SPELLED_QUAD.finditer(folded) if _HAS_QUAD.search(folded) else []
     for m in spelled:
         edits += [(m.start() + x.start(), m.start() + x.end(), "." if x["dot"] else "@") for x in _AT_OR_DOT.finditer(m[0]) if len(x[0]) > 1]
@@ -145,10 +155,15 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
-def _amount(m: re.Match) -> bool:
-    """'grew at 3.5' is no address: a bare 'at', and figures with plain dots behind it."""
+def _disguised(m: re.Match) -> bool:
+    """Whether a spelled address is more than prose: 'see us at example.com' and 'met @ 10.30' are none.
+
+    A bare 'at' counts only with a dot in words or brackets, and the last label has a letter.
+    """
     domain = m["domain"]
-    return domain.replace(".", "").isdigit() and m[0][m.end("local") - m.start() : -len(domain)].strip(" \t").lower() == "at"
+    at = m[0][m.end("local") - m.start() : -len(domain)].strip(" \t").lower()
+    last = _AT_OR_DOT.split(domain)[-1]
+    return (at != "at" or not _PLAIN_DOMAIN.fullmatch(domain)) and any(c.isalpha() for c in last or "")
 
 
 def all_spans(text: str, plain: list[Span]) -> list[Span]:
