@@ -103,16 +103,20 @@ def external_matches(paras: DataFrame, sources: DataFrame, shingle: int = 5, max
     runs that the paragraph has; each paragraph keeps its best passage, ties to the smaller id. A run that more than
     ``max_docs`` passages share is dropped if that is given.
     """
-    def runs(text: Column) -> Column:
-        w = words(F.lower(text))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.array_join(F.slice(w, i + 1, shingle), " ")))
 
-    long_enough = word_count("text") >= shingle
-    passages = sources.where(long_enough).select("item_id", runs(F.col("text")).alias("runs")).select("item_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    def runs(rows: DataFrame, text: str) -> DataFrame:
+        """The rows that have enough words, with ``runs``: hashes of their distinct runs of words, 128 bits each."""
+        # the words are a column of their own, so that they are split once a row, and not once a run
+        split = rows.select("*", F.explode(F.array(words(F.lower(text)))).alias("_words")).where(F.size("_words") >= shingle)
+        run = lambda i: F.concat_ws(" ", F.slice("_words", i + 1, shingle))
+        both = lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.xxhash64(F.lit(1), run(i)).alias("b"))
+        return split.select(*rows.columns, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - shingle), both)).alias("runs"))
+
+    passages = runs(sources.select("item_id", "text"), "text").select("item_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     if max_docs is not None:
         common = passages.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") > max_docs)
         passages = passages.join(common, "run", "left_anti")
-    own = paras.where(word_count("paragraph") >= shingle).select("doc_id", "ordinal", F.explode(runs(F.col("paragraph"))).alias("run"))
+    own = runs(paras.select("doc_id", "ordinal", "paragraph"), "paragraph").select("doc_id", "ordinal", F.explode("runs").alias("run"))
     shared = own.join(passages, "run").groupBy("doc_id", "ordinal", "item_id").agg((F.count("*") / F.first("n")).alias("containment")).where(F.col("containment") > above)
     best = Window.partitionBy("doc_id", "ordinal").orderBy(F.desc("containment"), "item_id")
     return shared.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
