@@ -6,7 +6,8 @@ difference of its two ranks, and the profile's length if the profile lacks it.
 
 Profiles are learned from at most ``docs_per_language`` labelled documents of each language, chosen by a hash: the counts
 of languages give each a threshold of the hash, so that a language that most documents have sends few of them to be
-ordered. Counts are summed by Spark; what reaches the driver is one list of ``PROFILE_GRAMS`` for each language.
+ordered. Counts are summed by Spark; what reaches the driver is one list of ``PROFILE_GRAMS`` for each language, and the
+broadcast thresholds are one number for each.
 
 Defined cases: null text, empty text and text without a letter are ``und`` with score 0; so is every text if there is
 nothing to learn from; ties go to the alphabetically smaller language; documents without a language are not learned
@@ -94,10 +95,10 @@ def learn_profiles(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUA
     # a share of the hashes that holds docs_per_language documents beyond doubt
     share = (docs_per_language + 10 * docs_per_language**0.5 + 50) / F.count("*")
     some = rows.groupBy("lang").agg((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("below"))
-    first = rows.select("lang", place.alias("place")).join(some, "lang").where("place <= below")
+    first = rows.select("lang", place.alias("place")).join(F.broadcast(some), "lang").where("place <= below")
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= docs_per_language)
     bound = first.groupBy("lang").agg(F.max("place").alias("bound"))
-    chosen = rows.withColumn("place", place).join(bound, "lang").where("place <= bound")
+    chosen = rows.withColumn("place", place).join(F.broadcast(bound), "lang").where("place <= bound")
 
     def count(batches):
         for batch in batches:
