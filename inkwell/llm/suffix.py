@@ -30,6 +30,8 @@ their names, are carried and not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -41,7 +43,8 @@ from .storage import Scratch
 
 LENGTH = 50
 START = 16
-#: Blocks that are named at once in a task.
+#: Texts that are taken from a batch at once in a task, and blocks.
+ROWS_AT_ONCE = 500
 BLOCKS_AT_ONCE = 4000
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,6 +100,11 @@ def placed_marks(buf: np.ndarray, length: int, start: int) -> tuple[np.ndarray,
     return nearer(width - size) if width - size else (low, at)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def _place() -> Column:
     """Tells the rows of a doc_id apart by their texts; rows that repeat both are judged alike."""
     return F.hash("text")
@@ -106,7 +114,7 @@ def _shared_marks(texts: DataFrame, length: int, start: int, id_type: str) -> Da
     """Round 1. doc_id, place, found: the marks of each text that another document has too."""
 
     def mark(batches):
-        for batch in batches:
+        for batch in _parts(batches, ROWS_AT_ONCE):
             found = [np.unique(marks(np.frombuffer(t.encode(), np.uint8), length, start)) for t in batch.column(2).to_pylist()]
             rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
             name = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
@@ -126,7 +134,7 @@ def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type
     columns = ["name", "doc_id", "place", "at", "more", "lead", "body"]
 
     def cut(batches):
-        for batch in batches:
+        for batch in _parts(batches, ROWS_AT_ONCE):
             for row, (text, mine) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 raw = text.encode()
                 low, at = placed_marks(np.frombuffer(raw, np.uint8), length, start)
@@ -201,21 +209,20 @@ def _repeated(doubled: DataFrame, length: int, start: int, id_type: str) -> Data
     columns = ["name", "full", "doc_id", "place", "at", "more"]
 
     def name_all(batches):
-        for batch in batches:
-            for part in (batch.slice(i, BLOCKS_AT_ONCE) for i in range(0, batch.num_rows, BLOCKS_AT_ONCE)):
-                lead, at, n = (part.column(c).to_numpy() for c in ("lead", "at", "n"))
-                before, behind = (part.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("before", "behind"))
-                buf = np.frombuffer(b"".join(part.column("body").to_pylist()), np.uint8)
-                sizes = n.astype(np.int64) + length - 1
-                row = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                left = lead[row] - inside
-                # a stretch that holds a doubled string is open only if the string is shared
-                open_ = (before[row] | (left < step)) & (behind[row] | (length - start - left < step))
-                row, inside = row[open_], inside[open_]
-                full = names(buf, length)[(np.cumsum(sizes) - sizes)[row] + inside] if len(row) else np.zeros(0, U64)
-                name, doc_id, place, more = (part.column(c).take(pa.array(row)) for c in ("name", "doc_id", "place", "more"))
-                yield pa.RecordBatch.from_arrays([name, pa.array(full.view(np.int64)), doc_id, place, pa.array((at[row] + inside).astype(np.int32)), more], names=columns)
+        for part in _parts(batches, BLOCKS_AT_ONCE):
+            lead, at, n = (part.column(c).to_numpy() for c in ("lead", "at", "n"))
+            before, behind = (part.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("before", "behind"))
+            buf = np.frombuffer(b"".join(part.column("body").to_pylist()), np.uint8)
+            sizes = n.astype(np.int64) + length - 1
+            row = np.repeat(np.arange(len(n)), n)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            left = lead[row] - inside
+            # a stretch that holds a doubled string is open only if the string is shared
+            open_ = (before[row] | (left < step)) & (behind[row] | (length - start - left < step))
+            row, inside = row[open_], inside[open_]
+            full = names(buf, length)[(np.cumsum(sizes) - sizes)[row] + inside] if len(row) else np.zeros(0, U64)
+            name, doc_id, place, more = (part.column(c).take(pa.array(row)) for c in ("name", "doc_id", "place", "more"))
+            yield pa.RecordBatch.from_arrays([name, pa.array(full.view(np.int64)), doc_id, place, pa.array((at[row] + inside).astype(np.int32)), more], names=columns)
 
     def sweep(batches):
         last = None
@@ -268,9 +275,10 @@ def _removed(docs: DataFrame, length: int, start: int, as_text: bool) -> DataFra
     kept_type = "string" if as_text else "binary"
 
     def remove(batches):
-        for batch in batches:
+        for batch in _parts(batches, ROWS_AT_ONCE):
             spans, kept, sizes = [], [], []
-            for text, a, b, copy in zip(batch.column("text").to_pylist(), batch.column("a"), batch.column("b"), batch.column("copy").to_pylist()):
+            texts = pa.compute.fill_null(pa.compute.struct_field(batch.column("row"), "text"), "").to_pylist()
+            for text, a, b, copy in zip(texts, batch.column("a"), batch.column("b"), batch.column("copy").to_pylist()):
                 raw = text.encode()
                 own = [(0, len(raw))] if copy and len(raw) >= length else _covered(a.values.to_numpy(), b.values.to_numpy(), length) if a.is_valid else []
                 at, left = 0, []
@@ -284,8 +292,8 @@ def _removed(docs: DataFrame, length: int, start: int, as_text: bool) -> DataFra
             left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, kind), left], names=["row", "n_bytes", "spans", "kept"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _place().alias("place"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(marked, ["doc_id", "place"], "left").select("row", "text", "a", "b", "copy").mapInArrow(
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _place().alias("place"))
+    return rows.join(marked, ["doc_id", "place"], "left").select("row", "a", "b", "copy").mapInArrow(
         remove, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<begin:int,end:int>>, kept {kept_type}"
     )
 
