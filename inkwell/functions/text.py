@@ -91,8 +91,10 @@ def luminance(c: Column | str) -> Column:
 
 
 def contrast_ratio(a: Column | str, b: Column | str) -> Column:
+    """Null if one of the colours is."""
     x, y = luminance(a), luminance(b)
-    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    known = _col(a).isNotNull() & _col(b).isNotNull()
+    return F.when(known, (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
 
 
 def fold_for_match(c: Column | str) -> Column:
@@ -110,6 +112,11 @@ def font_key(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"^[A-Z]{6}\+", "")
 
 
+def banner_key(c: Column | str) -> Column:
+    """The letters of a running header, without its page number."""
+    return F.regexp_replace(F.lower(_col(c)), "[^a-z]", "")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

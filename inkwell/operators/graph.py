@@ -127,14 +127,15 @@ def build_graph(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def flatten_tree(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
     """nodes (doc_id, node_id, parent_id, type) with depth, parent_type and ancestors (root first)."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return spark.sql(f"""
+    return nodes.sparkSession.sql(
+        f"""
         WITH RECURSIVE walk(doc_id, node_id, type, depth, parent_type, ancestors) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT doc_id, node_id, type, 0, CAST(NULL AS STRING), CAST(array() AS ARRAY<STRING>) FROM _tree_nodes WHERE parent_id IS NULL
+          SELECT doc_id, node_id, type, 0, CAST(NULL AS STRING), CAST(array() AS ARRAY<STRING>) FROM {{tree_nodes}} WHERE parent_id IS NULL
           UNION ALL
-          SELECT n.doc_id, n.node_id, n.type, w.depth + 1, w.type, concat(w.ancestors, array(w.type)) FROM _tree_nodes n JOIN walk w ON n.doc_id = w.doc_id AND n.parent_id = w.node_id
-        ) SELECT * FROM walk""")
+          SELECT n.doc_id, n.node_id, n.type, w.depth + 1, w.type, concat(w.ancestors, array(w.type)) FROM {{tree_nodes}} n JOIN walk w ON n.doc_id = w.doc_id AND n.parent_id = w.node_id
+        ) SELECT * FROM walk""",
+        tree_nodes=nodes,
+    )
 
 
 def tree_statistics(nodes: DataFrame) -> DataFrame:
@@ -158,8 +159,9 @@ def chapter_rows(nodes: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("append").partitionBy("graph_id").parquet(f"{path}/nodes")
-    edges.write.mode("append").partitionBy("graph_id").parquet(f"{path}/edges")
+    """Nodes and edges by graph_id; a graph that is there already is replaced."""
+    for kind, rows in (("nodes", nodes), ("edges", edges)):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{kind}")
 
 
 def read_graph(spark, path: str, graph_id: str) -> tuple[DataFrame, DataFrame]:
@@ -168,3 +170,10 @@ def read_graph(spark, path: str, graph_id: str) -> tuple[DataFrame, DataFrame]:
 
 def list_graphs(spark, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/nodes").select("graph_id").distinct().orderBy("graph_id")
+
+
+def delete_graph(spark, path: str, graph_id: str) -> None:
+    """Remove a graph's partitions of nodes and edges, if there are any."""
+    for kind in ("nodes", "edges"):
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/graph_id={graph_id}")
+        part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)

@@ -29,7 +29,8 @@ SLIDE_VAGUE_LINKS = [
     "click to read", "read", "info", "details", "this page", "website", "url",
 ]
 PLACEHOLDER_TITLES = ["word document", "document", "untitled", "title", "document1", "new document"]
-SLIDE_PLACEHOLDERS = ["click to add title", "click to edit master title style", "title", "untitled", "slide title", "add title"]
+SLIDE_PLACEHOLDERS = ["click to add title", "add a title", "title", "untitled"]
+DEFAULT_DECK_TITLES = ["powerpoint presentation", "presentation", "untitled", "untitled presentation", "slide 1", "deck"]
 GENERIC_ALT = ["image", "picture", "photo", "photograph", "graphic", "img", "pic", "icon", "screenshot", "untitled", "figure", "diagram", "shape", "object"]
 IMAGE_FILE = r"(?i)\.(png|jpe?g|gif|bmp|svg|tiff?|webp|emf|wmf|heic)\b"
 DEFAULT_NAME = r"(?i)^(picture|image|content placeholder|google shape|shape|object|graphic|placeholder)\s*[\d;:_-]*$"
@@ -46,6 +47,11 @@ def hit(rows: DataFrame, rule: str, offends: Column, location: Column, message:
     return rows.where(F.coalesce(offends, F.lit(False))).select("doc_id", F.lit(rule).alias("rule_id"), F.lit(status).alias("status"), location.cast("string").alias("location"), text.alias("message"))
 
 
+def bound(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with columns that are worked out once a row, however often they are used later."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [p.select(*COLUMNS) for p in parts])
 
@@ -59,7 +65,7 @@ def verdicts(documents: DataFrame, findings: DataFrame, rules: list[str], severi
     rank = F.when(F.col("status") == "FAIL", 3).when(F.col("status") == "WARNING", 2).otherwise(1)
     own = findings.groupBy("doc_id", "rule_id").agg(F.max_by("status", rank).alias("found"), F.count("*").alias("n"))
     wanted = documents.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule_id"))
-    level = F.coalesce(*[F.when(F.col("rule_id") == r, s) for r, s in (severity or WORD_SEVERITY).items()], F.lit("MEDIUM"))
+    level = F.coalesce(*[F.when(F.col("rule_id") == r, s) for r, s in (WORD_SEVERITY if severity is None else severity).items()], F.lit("MEDIUM"))
     return wanted.join(own, ["doc_id", "rule_id"], "left").select("doc_id", "rule_id", level.alias("severity"), F.coalesce("found", F.lit("PASS")).alias("status"), F.coalesce("n", F.lit(0)).alias("affected_count"))
 
 
@@ -76,7 +82,7 @@ def word_structure(paragraphs: DataFrame, links: DataFrame, meta: DataFrame) ->
     stepped = heads.withColumns({"before": F.lag("heading_level").over(order), "n": F.row_number().over(order)})
     should = F.concat(F.lit("Use Heading "), (F.col("before") + 1).cast("string"), F.lit(" instead of Heading "), F.col("heading_level").cast("string"))
     runs = body.select("doc_id", F.explode("runs").alias("r")).where(F.col("r.size_pt").isNotNull()).groupBy("doc_id", "r.size_pt").agg(F.sum(F.length("r.text")).alias("chars"))
-    body_size = runs.groupBy("doc_id").agg(F.max_by("size_pt", "chars").alias("body_size"))
+    body_size = runs.groupBy("doc_id").agg(F.max_by("size_pt", F.struct("chars", "size_pt")).alias("body_size"))
     inked = F.filter("runs", lambda r: strip(F.coalesce(r.text, F.lit(""))) != "")
     bold = (F.size(inked) > 0) & F.forall(inked, lambda r: F.coalesce(r.bold, F.lit(False)))
     largest = F.array_min(F.transform(inked, lambda r: r.size_pt))
@@ -158,11 +164,12 @@ def needed_contrast(size: Column, bold: Column) -> Column:
 def word_visual(paragraphs: DataFrame) -> DataFrame:
     """VIS-001..005."""
     runs = _runs(paragraphs)
-    ratio = contrast_ratio(F.coalesce(parse_hex("color"), F.lit("000000")), F.coalesce(parse_hex("background"), F.lit("FFFFFF")))
-    judged = runs.withColumns({"ratio": ratio, "need": needed_contrast(F.coalesce("size_pt", F.lit(11.0)), F.col("bold"))})
+    colours = bound(runs, fore=F.coalesce(parse_hex("color"), F.lit("000000")), back=F.coalesce(parse_hex("background"), F.lit("FFFFFF")))
+    judged = bound(colours, ratio=contrast_ratio("fore", "back")).withColumns({"need": needed_contrast(F.coalesce("size_pt", F.lit(11.0)), F.col("bold"))})
     worst = judged.where("ratio < need").groupBy("doc_id", "seq").agg(F.min("ratio").alias("ratio"), F.min_by("background_known", "ratio").alias("known"))
     note = F.concat(F.lit("Contrast "), F.format_number("ratio", 2))
-    channel = lambda i: F.conv(F.substring(parse_hex("color"), i, 2), 16, 10).cast("int")
+    inked = bound(runs, ink=parse_hex("color"))
+    channel = lambda i: F.conv(F.substring("ink", i, 2), 16, 10).cast("int")
     spread = F.greatest(channel(1), channel(3), channel(5)) - F.least(channel(1), channel(3), channel(5))
     cue = F.coalesce("bold", F.lit(False)) | F.coalesce("italic", F.lit(False)) | F.coalesce("underline", F.lit(False))
     small = (F.col("size_pt") < 9) & ~F.coalesce("vert_align", F.lit("")).isin("superscript", "subscript")
@@ -170,7 +177,7 @@ def word_visual(paragraphs: DataFrame) -> DataFrame:
     at = F.concat_ws("/", "seq", "run")
     return together(
         hit(worst, "VIS-001", F.coalesce("known", F.lit(True)), F.col("seq"), note), hit(worst, "VIS-001", ~F.coalesce("known", F.lit(True)), F.col("seq"), note, "MANUAL"), hit(runs, "VIS-002", small, at, "Text below 9 points"),
-        hit(runs, "VIS-003", (spread > 40) & ~cue, at, "Colour may be the only cue", "MANUAL"), hit(paragraphs, "VIS-004", F.lower("justification").isin("both", "justify", "distribute") & ~_blank("text"), F.col("seq"), "Justified text"),
+        hit(inked, "VIS-003", (spread > 40) & ~cue, at, "Colour may be the only cue", "MANUAL"), hit(paragraphs, "VIS-004", F.lower("justification").isin("both", "justify", "distribute") & ~_blank("text"), F.col("seq"), "Justified text"),
         hit(paragraphs, "VIS-005", capital, F.col("seq"), "All capitals"),
     )
 
@@ -276,10 +283,11 @@ def slide_text(shapes: DataFrame) -> DataFrame:
 
 def slide_contrast(shapes: DataFrame) -> DataFrame:
     """PPT-COLOR-001..006."""
-    runs = shapes.select("doc_id", "slide_no", "shape_seq", F.coalesce(parse_hex("fill_color"), parse_hex("background")).alias("back"), F.explode("runs").alias("r")).select("doc_id", "slide_no", "shape_seq", "back", "r.*").where(~_blank("text"))
-    judged = runs.withColumns({"fore": parse_hex("color"), "need": needed_contrast(F.coalesce("size", F.lit(18.0)), F.col("bold"))}).withColumn("ratio", contrast_ratio("fore", "back"))
+    runs = shapes.select("doc_id", "slide_no", "shape_seq", "fill_color", "background", F.explode("runs").alias("r")).select("doc_id", "slide_no", "shape_seq", "fill_color", "background", "r.*").where(~_blank("text"))
+    inked = bound(bound(runs, fill=parse_hex("fill_color"), slide=parse_hex("background")), fore=parse_hex("color"), back=F.coalesce("fill", "slide"))
+    judged = bound(inked, ratio=contrast_ratio("fore", "back"), need=needed_contrast(F.coalesce("size", F.lit(18.0)), F.col("bold")))
     at = F.concat_ws("/", "slide_no", "shape_seq")
-    filled = shapes.withColumn("ratio", contrast_ratio(parse_hex("fill_color"), parse_hex("background")))
+    filled = bound(bound(shapes, fill=parse_hex("fill_color"), slide=parse_hex("background")), ratio=contrast_ratio("fill", "slide"))
     low = F.lower(F.coalesce("type", F.lit("")))
     return together(
         hit(judged, "PPT-COLOR-001", (F.col("need") == 4.5) & (F.col("ratio") < 4.5), at, "Low contrast"), hit(judged, "PPT-COLOR-002", (F.col("need") == 3.0) & (F.col("ratio") < 3.0), at, "Low contrast of large text"),
@@ -313,7 +321,7 @@ def slide_metadata(meta: DataFrame) -> DataFrame:
     """PPT-META-001..005 and PPT-PRESENTATION-001..007 of decks (title, subject, author, keywords, language, theme, fonts, slides, hidden)."""
     d = F.lit("deck")
     return together(
-        hit(meta, "PPT-META-001", _blank("title") | F.lower(strip("title")).isin("powerpoint presentation", "presentation", "untitled"), d, "Title"), *[hit(meta, f"PPT-META-00{i}", _blank(c), d, c) for i, c in ((2, "subject"), (3, "author"), (4, "keywords"), (5, "language"))],
+        hit(meta, "PPT-META-001", _blank("title") | F.lower(strip("title")).isin(DEFAULT_DECK_TITLES), d, "Title"), *[hit(meta, f"PPT-META-00{i}", _blank(c), d, c) for i, c in ((2, "subject"), (3, "author"), (4, "keywords"), (5, "language"))],
         hit(meta, "PPT-PRESENTATION-001", _blank("title"), d, "Title"), hit(meta, "PPT-PRESENTATION-002", _blank("language"), d, "Language"), hit(meta, "PPT-PRESENTATION-003", _blank("author"), d, "Author"), hit(meta, "PPT-PRESENTATION-004", _blank("theme"), d, "Theme"),
         hit(meta, "PPT-PRESENTATION-005", F.coalesce("fonts", F.lit(0)) == 0, d, "Fonts"), hit(meta, "PPT-PRESENTATION-006", F.coalesce("slides", F.lit(0)) == 0, d, "Slides"), hit(meta, "PPT-PRESENTATION-007", F.col("hidden") > 0, d, F.concat(F.col("hidden").cast("string"), F.lit(" hidden slides")), "WARNING"),
     )
@@ -369,6 +377,28 @@ def page_colors(texts: DataFrame, backgrounds: DataFrame) -> DataFrame:
     return together(hit(worst, "COLOR-001", ~F.col("large") & (F.col("ratio") < 4.5), F.col("page"), F.col("fore")), hit(worst, "COLOR-002", F.col("large") & (F.col("ratio") < 3.0), F.col("page"), F.col("fore")))
 
 
+def page_visual(word_rows: DataFrame, page_facts: DataFrame) -> DataFrame:
+    """VIS-001..009 of words (doc_id, page, size, font, color, left, right) and pages (doc_id, page, width, n_images, rotation, watermarks).
+
+    One finding a document and rule; the location is the number of words, annotations or pages that offend.
+    """
+    inked = bound(word_rows.join(page_facts.select("doc_id", "page", "width"), ["doc_id", "page"]), ink=parse_hex("color"))
+    channel = [F.conv(F.substring("ink", i, 2), 16, 10).cast("double") / 255 for i in (1, 3, 5)]
+    hued = (channel[0] != channel[1]) | (channel[1] != channel[2])
+    bright = 0.2126 * channel[0] + 0.7152 * channel[1] + 0.0722 * channel[2] > 0.85
+    wide = F.count_if((F.col("right") - F.col("left")) / F.col("width") > 0.9)
+    fonts = F.countDistinct(F.when(F.col("font") != "", F.col("font")))
+    counted = inked.groupBy("doc_id", "page").agg(F.count("*").alias("n"), wide.alias("wide"), F.count_if(F.col("size").between(0.001, 7.999)).alias("tiny"), F.count_if(hued).alias("hued"), F.count_if(bright).alias("light"), fonts.alias("fonts"))
+    pages = page_facts.join(counted, ["doc_id", "page"], "left").fillna(0, ["n", "wide", "tiny", "hued", "light", "fonts"])
+    has_image = F.col("n_images") > 0
+    rules = {
+        "VIS-001": F.sum("tiny"), "VIS-002": F.sum("watermarks"), "VIS-003": F.count_if(has_image & (F.col("n") < 20)), "VIS-004": F.count_if(has_image & (F.col("n") == 0)), "VIS-005": F.count_if((F.col("n") > 500) | (F.col("wide") > 40)),
+        "VIS-006": F.count_if(F.col("fonts") > 6), "VIS-007": F.count_if(F.col("rotation") % 360 != 0), "VIS-008": F.sum("hued"), "VIS-009": F.sum("light"),
+    }
+    summed = pages.groupBy("doc_id").agg(*[n.alias(r) for r, n in rules.items()])
+    return together(*[hit(summed, r, F.col(r) > 0, F.col(r), "Check the pages", "WARNING") for r in rules])
+
+
 def page_document(meta: DataFrame) -> DataFrame:
     """DOC_* of documents (title, language, has_metadata, tagged, pdfua, bookmarks)."""
     d = F.lit("document")
@@ -397,3 +427,9 @@ def run_word_checks(paragraphs: DataFrame, images: DataFrame, tables: DataFrame,
     rules = [r for r in WORD_SEVERITY if not r.startswith("SRV")]
     tested = screen_reader(evidence, meta).select("doc_id", "rule_id", F.lit("HIGH").alias("severity"), "status", F.lit(0).cast("long").alias("affected_count"))
     return verdicts(meta, findings, rules).unionByName(tested), cap_findings(findings, cap)
+
+
+def run_rules(documents: DataFrame, families: list[DataFrame], rules: list[str], severity: dict[str, str] | None = None, cap: int = 100) -> tuple[DataFrame, DataFrame]:
+    """run_word_checks() for slide decks and page-based documents: findings of the families that ran, and the rules they hold."""
+    findings = together(*families)
+    return verdicts(documents, findings, rules, severity or {}), cap_findings(findings, cap)

@@ -54,6 +54,20 @@ def templates(s, d):
     return c.resolve_template(names, asks)
 
 
+#: Elements by the page's number, behind those that its own markup has.
+MARKUP = """CASE WHEN page_id % 3 = 0 THEN '<img src="/i' || page_id || '.png">' WHEN page_id % 3 = 1 THEN '<img src="/j.png" alt="">' ELSE '' END
+  || CASE WHEN page_id % 4 = 0 THEN '<input id="q' || page_id || '" name="q">' WHEN page_id % 4 = 1 THEN '<label for="r">R</label><select id="r"></select>' WHEN page_id % 4 = 2 THEN '<textarea aria-label="about"></textarea>' ELSE '<select name="s"></select>' END
+  || '<a href="/own' || page_id || '">' || CASE page_id % 5 WHEN 0 THEN 'Click here' WHEN 1 THEN ' ' WHEN 2 THEN 'https://x.org' ELSE 'The annual report' END || '</a>'"""
+
+
+def marked_up(s, d):
+    return web.html_elements(table(s, d, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.expr(MARKUP)).alias("html")))
+
+
+def page_rules(s):
+    return s.createDataFrame([("IMG_ALT", "HIGH", True), ("FORM_LABEL", "LOW", True), ("OFF", "LOW", False)], "rule_code string, severity string, enabled boolean")
+
+
 def issues(s, d):
     rows = lifecycle.issue_lifecycle(*scans_and_findings(s, d))
     rule = table(s, d, "events").select(F.col("event_type").alias("rule_code")).distinct().withColumn("severity", F.upper("rule_code"))
@@ -128,8 +142,10 @@ QUERIES = {
     "w12_running_headers": furniture,
     "w18_font_consistency": lambda s, d: elements.font_consistency(items(s, d).select("l_orderkey", F.concat(F.lit("ABCDEF+f"), F.col("l_partkey") % 5).alias("font")), ["l_orderkey"], 3),
     "n1_entities": lambda s, d: graph.entities(docs(s, d)),
-    "p3_missing_alt": lambda s, d: web.missing_alt(web.html_elements(table(s, d, "pages"))),
-    "j10_form_label_gaps": lambda s, d: web.form_label_gaps(web.html_elements(table(s, d, "pages"))),
+    "p3_missing_alt": lambda s, d: web.missing_alt(marked_up(s, d)),
+    "j10_form_label_gaps": lambda s, d: web.form_label_gaps(marked_up(s, d)),
+    "r5_generic_links": lambda s, d: web.generic_links(marked_up(s, d).where("attrs['href'] like '/own%'")),
+    "p5_page_rules": lambda s, d: web.evaluate_page_rules(marked_up(s, d), page_rules(s)).groupBy("rule_code", "severity").agg(F.count("*").alias("n")),
 }
 _LATEST = "la AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY location DESC) = 1)"
 _REVIEW = """rv AS (SELECT l_suppkey AS project_id, CASE WHEN l_partkey % 5 = 0 THEN 'new' ELSE 'c' || l_partkey END AS chapter, l_partkey % 5 = 0 AS retitled, l_partkey % 4 <> 0 AS kept, CASE WHEN l_orderkey % 2 = 0 THEN (l_linenumber + 1)::INT END AS weight FROM lineitem WHERE l_linenumber <> 7)"""
@@ -165,5 +181,10 @@ ORACLES = {
     "w7_heading_levels": f"WITH {_OUT}, d AS (SELECT doc_id, count(*) FILTER (level = 1) AS h1 FROM ol GROUP BY 1), g AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, level - lag(level) OVER (PARTITION BY doc_id ORDER BY level) AS gap FROM (SELECT DISTINCT doc_id, level FROM ol)) WHERE gap > 1) SELECT doc_id, 'HDR-001' AS rule_id, 1 AS n FROM d WHERE h1 = 0 UNION ALL SELECT doc_id, 'HDR-002', 1 FROM d WHERE h1 <> 1 UNION ALL SELECT doc_id, 'HDR-003', 1 FROM g",
     "w12_running_headers": "WITH f AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, l_partkey % 97 AS t, CASE WHEN l_partkey % 97 < 60 THEN 95.0 ELSE l_quantity * 2.0 END AS y FROM lineitem), k AS (SELECT doc_id, t, count(DISTINCT page) >= 2 AND bool_and(y <= 14.000000000000002 OR y >= 86) AS fu FROM f GROUP BY 1, 2) SELECT doc_id, fu AS is_furniture, count(*) AS n FROM f JOIN k USING (doc_id, t) GROUP BY 1, 2",
     "w18_font_consistency": "SELECT l_orderkey, count(DISTINCT l_partkey % 5) AS fonts, count(DISTINCT l_partkey % 5) <= 3 AS consistent FROM lineitem GROUP BY 1",
+    "p3_missing_alt": """SELECT page_id, 'IMG_ALT' AS rule_code, 'img[src="/i' || page_id || '.png"]' AS element_selector, 'Image has no alt attribute' AS message FROM pages WHERE page_id % 3 = 0""",
+    "j10_form_label_gaps": """SELECT page_id, 'FORM_LABEL' AS rule_code, CASE WHEN page_id % 4 = 0 THEN '#q' || page_id ELSE 'select[name="s"]' END AS element_selector, 'Control has no label' AS message FROM pages WHERE page_id % 4 IN (0, 3)""",
+    "r5_generic_links": """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'LINK_GENERIC' WHEN 1 THEN 'LINK_EMPTY' ELSE 'LINK_RAW_URL' END AS rule_code, 'a[href="/own' || page_id || '"]' AS element_selector,
+      CASE page_id % 5 WHEN 0 THEN 'Click here' WHEN 1 THEN '' ELSE 'https://x.org' END AS message FROM pages WHERE page_id % 5 < 3""",
+    "p5_page_rules": "SELECT 'IMG_ALT' AS rule_code, 'HIGH' AS severity, count(*) AS n FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'FORM_LABEL', 'LOW', count(*) FROM pages WHERE page_id % 4 IN (0, 3)",
     "n1_entities": rf"WITH a AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\b', 1) AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS label, generate_subscripts(l, 1) AS i FROM a), f AS (SELECT doc_id, label, min(i) AS i FROM u WHERE contains(label, ' ') OR NOT list_contains({_STOP}, lower(label)) GROUP BY 1, 2) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_') AS id, label FROM f",
 }

@@ -74,7 +74,6 @@ QUERIES = {
     "k2_retrieve_for_chapters": chapters,
     "a13_embedding_statistics": lambda s, d: vectors.embedding_statistics(store(s, d), ["namespace"]),
     "e2_evaluate_retrieval": retrieval,
-    "n1_entities": lambda s, d: graph.entities(docs(s, d)),
     "n2_concepts": lambda s, d: graph.concepts(docs(s, d)),
     "n3_relations": lambda s, d: graph.relations(docs(s, d), graph.entities(docs(s, d))),
     "n4_merge_nodes": lambda s, d: graph.merge_nodes(graph.entities(docs(s, d)), graph.relations(docs(s, d), graph.entities(docs(s, d))))[0].select("doc_id", "pos", "id", "label", F.array_join("aliases", ",").alias("aliases")),
@@ -85,7 +84,6 @@ QUERIES = {
     "p6_discover_links": links,
     "p8_same_site": sites,
     "j7_backfill_pages": backfilled,
-    "r5_generic_links": lambda s, d: web.generic_links(web.html_elements(table(s, d, "pages"))),
     "j9_verify_labels": label_checks,
     "r8_text_lint": lambda s, d: el.text_lint(prep.lines(docs(s, d)).where(strip("line") != ""), "line"),
     "r12_contrast": contrasts,
@@ -94,7 +92,6 @@ QUERIES = {
 _ST = "st AS (SELECT 'n' || (label % 3) AS namespace, vec_id AS id, embedding, label FROM embeddings), q AS (SELECT id AS query_id, namespace, embedding AS qv FROM st WHERE id % 100 = 0)"
 _TOP = "sc AS (SELECT query_id, id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS score FROM st JOIN q USING (namespace)), top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM sc QUALIFY rank <= {})"
 _STOP = "[" + ", ".join(f"'{w}'" for w in graph.STOPWORDS) + "]"
-_ENT = r"""e0 AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\p{L}\p{N}_])', '\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)', 1) AS x FROM documents)"""
 _MEMBER = "SELECT '{m}' AS module, query_id, '{n}' AS name, round_even(({c})::DECIMAL(18, 8), 4)::DOUBLE AS score FROM r"
 _LETTERED = f"list_filter({WORDS.format('line')}, lambda w: regexp_matches(w, '\\p{{L}}'))"
 ORACLES = {

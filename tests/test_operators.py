@@ -308,6 +308,11 @@ def test_graph_store(spark, tmp_path):
     nodes, edges = spark.createDataFrame([("g2", "a"), ("g1", "b")], "graph_id string, id string"), spark.createDataFrame([("g1", "a", "b")], "graph_id string, source string, target string")
     graph.write_graph(nodes, edges, str(tmp_path))
     assert [r.graph_id for r in graph.list_graphs(spark, str(tmp_path)).collect()] == ["g1", "g2"] and graph.read_graph(spark, str(tmp_path), "g1")[0].count() == 1
+    graph.write_graph(nodes.where("graph_id = 'g1'"), edges, str(tmp_path))
+    assert graph.read_graph(spark, str(tmp_path), "g1")[0].count() == 1 and graph.read_graph(spark, str(tmp_path), "g2")[0].count() == 1
+    graph.delete_graph(spark, str(tmp_path), "g1")
+    graph.delete_graph(spark, str(tmp_path), "g0")
+    assert [r.graph_id for r in graph.list_graphs(spark, str(tmp_path)).collect()] == ["g2"]
 
 
 # --- web ------------------------------------------------------------------------------------------------------------

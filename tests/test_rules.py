@@ -1,6 +1,7 @@
 """Element rules on small fixtures."""
 
 import pytest
+from inkwell.functions.text import banner_key, contrast_ratio
 from inkwell.operators import elements, rules
 from pyspark.sql import functions as F
 
@@ -116,3 +117,15 @@ def test_alt_quality(spark, alt, kind):
     df = spark.createDataFrame([(alt, None, 10.0, 50.0)], "alt string, caption string, width double, height double")
     row = rules.alt_quality(df).first()
     assert row.alt_class == kind and row.decorative_by_size
+
+
+def test_slide_titles_are_the_fixed_values(spark):
+    rows = [(1, i, 1, None, "title", t, None) for i, t in enumerate(["Add a title", "Slide title", "Untitled", "Add title"])]
+    shapes = spark.createDataFrame(rows, "doc_id int, slide_no int, shape_seq int, slide_title string, type string, text string, layout string").withColumn("runs", F.array(F.struct(F.lit("").alias("text"))))
+    found = rules.slide_structure(shapes).where("rule_id = 'PPT-HEADING-002'").collect()
+    assert sorted(r.location for r in found) == ["0", "2"]
+
+
+def test_contrast_of_an_unknown_colour_is_unknown(spark):
+    row = spark.range(1).select(contrast_ratio(F.lit("000000"), F.lit(None).cast("string")).alias("a"), contrast_ratio(F.lit("000000"), F.lit("FFFFFF")).alias("b"), banner_key(F.lit("2023 Summary 4")).alias("k")).first()
+    assert row.a is None and abs(row.b - 21) < 1e-9 and row.k == "summary"
