@@ -18,6 +18,11 @@ of them turns out to be, so that only the first goes through the rounds 2 and 3.
 counts once, so a string that all documents have many times is one narrow row of each; and rows of a group pass by in a
 sorted stream, so that no group is ever gathered in memory.
 
+A string that very many documents have is no hot group: every task settles what the documents it takes at once tell by
+themselves, before anything is shuffled. Of a mark only the two outermost of these documents meet those of other tasks;
+of a block, and of a whole stretch, only the first document does, as the others repeat it. What is settled goes its way
+spread over all tasks. The pairs of round 2 are aggregated before they are shuffled.
+
 Names are hashes of 64 bits. Equal blocks are told by their bytes. Names of rounds 2 and 3 count only among blocks of one
 mark, which have the mark's bytes in common: a million blocks of one mark confuse two strings with a chance of 3 in 10^8.
 
@@ -46,6 +51,8 @@ START = 16
 #: Texts that are taken from a batch at once in a task, and blocks.
 ROWS_AT_ONCE = 500
 BLOCKS_AT_ONCE = 4000
+#: Bytes of blocks by which a task tells documents' equal blocks before the shuffle; beyond them it starts afresh.
+HELD_BYTES = 1 << 24
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -110,33 +117,67 @@ def _place() -> Column:
     return F.hash("text")
 
 
+def _ranks(ids: pa.Array) -> np.ndarray:
+    return pa.compute.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def _groups(rank: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by keys and rank, and for each row in it the first and the last place of its keys."""
+    order = np.lexsort((rank, *keys))
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    begin = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    return order, begin[group], (np.append(begin[1:], len(order)) - 1)[group]
+
+
+def _lanes(name: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """0 for the rows that must meet others of their mark, else a number that spreads them.
+
+    Where a mark has several documents among the rows, it is shared, and the smallest and the largest stand for all.
+    """
+    order, first, last = _groups(rank[row], name)
+    sorted_rank, at = rank[row][order], np.arange(len(order))
+    settled = order[(sorted_rank[first] < sorted_rank[last]) & (at != first) & (at != last)]
+    lane = np.zeros(len(name), dtype=np.int32)
+    lane[settled] = 1 + row[settled]
+    return lane
+
+
 def _shared_marks(texts: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
     """Round 1. doc_id, place, found: the marks of each text that another document has too."""
 
     def mark(batches):
         for batch in _parts(batches, ROWS_AT_ONCE):
             found = [np.unique(marks(np.frombuffer(t.encode(), np.uint8), length, start)) for t in batch.column(2).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+            row = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
             name = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name), batch.column(0).take(rows), batch.column(1).take(rows)], names=["name", "doc_id", "place"])
+            lane = _lanes(name, row, _ranks(batch.column(0)))
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(lane), batch.column(0).take(rows), batch.column(1).take(rows)], names=["name", "lane", "doc_id", "place"])
 
-    named = texts.mapInArrow(mark, f"name long, doc_id {id_type}, place int").repartition("name")
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
-    return named.join(shared.hint("shuffle_hash"), "name").groupBy("doc_id", "place").agg(F.collect_list("name").alias("found"))
+    named = texts.mapInArrow(mark, f"name long, lane int, doc_id {id_type}, place int").repartition("name", "lane")
+    shared = named.groupBy("name", "lane").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("lane > 0 or low < high").select("name", "lane")
+    return named.join(shared.hint("shuffle_hash"), ["name", "lane"]).groupBy("doc_id", "place").agg(F.collect_list("name").alias("found"))
 
 
 def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
-    """name, doc_id, place, at, more, lead, body: the different blocks of shared marks of each document.
+    """name, doc_id, place, at, more, lead, n, copy, body: the different blocks of shared marks of each document.
 
     ``at``: first position, and ``more``: how much further on the document has the block again, null if it doesn't;
-    ``lead``: bytes before the mark; ``body``: all bytes of the block's stretches.
+    ``lead``: bytes before the mark; ``n``: positions; ``copy``: an earlier document taken at once has the block alike;
+    ``body``: all bytes of the block's stretches, null for copies.
     """
-    columns = ["name", "doc_id", "place", "at", "more", "lead", "body"]
+    columns = ["name", "doc_id", "place", "at", "more", "lead", "n", "copy", "body"]
 
     def cut(batches):
         for batch in _parts(batches, ROWS_AT_ONCE):
-            for row, (text, mine) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                raw = text.encode()
+            holder: dict[tuple[bytes, int], int] = {}
+            held = 0
+            rank, texts, found = _ranks(batch.column(0)), batch.column(2), batch.column(3)
+            for row in np.argsort(rank, kind="stable").tolist():
+                raw, mine, own_rank = texts[row].as_py().encode(), found[row], int(rank[row])
                 low, at = placed_marks(np.frombuffer(raw, np.uint8), length, start)
                 wanted = np.isin(low, mine.values.to_numpy().view(U64))
                 edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (wanted[1:] != wanted[:-1]))))
@@ -153,10 +194,15 @@ def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type
                 same = pa.array(np.full(len(own), row))
                 name = pa.array(low[edge[own]].view(np.int64))
                 more = pa.array([again.get(i) for i in own.tolist()] if again else [None] * len(own), pa.list_(pa.int32()))
-                ends = [pa.array(lead[own].astype(np.int32)), pa.array([k[0] for k in first], pa.binary())]
+                copy = [holder.setdefault(k, own_rank) < own_rank for k in first]
+                held += sum(len(k[0]) for k, c in zip(first, copy) if not c)
+                if held > HELD_BYTES:
+                    holder, held = {}, 0
+                n = (last - edge)[own].astype(np.int32)
+                ends = [pa.array(lead[own].astype(np.int32)), pa.array(n), pa.array(copy, pa.bool_()), pa.array([None if c else k[0] for k, c in zip(first, copy)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([name, batch.column(0).take(same), batch.column(1).take(same), pa.array(edge[own].astype(np.int32)), more, *ends], names=columns)
 
-    return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found").mapInArrow(cut, f"name long, doc_id {id_type}, place int, at int, more array<int>, lead int, body binary")
+    return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found").mapInArrow(cut, f"name long, doc_id {id_type}, place int, at int, more array<int>, lead int, n int, copy boolean, body binary")
 
 
 def _later(batch: pa.RecordBatch, keys: list[str], last: list | None) -> tuple[np.ndarray, list]:
@@ -174,8 +220,8 @@ def _later(batch: pa.RecordBatch, keys: list[str], last: list | None) -> tuple[n
 
 
 def _firsts(blocks: DataFrame, length: int, id_type: str) -> DataFrame:
-    """The blocks with n, their positions, and copy; those that an earlier document has alike are copies, without body."""
-    columns = ["name", "doc_id", "place", "at", "more", "lead"]
+    """The blocks that may be the first of their kind; those that an earlier document has alike become copies, too."""
+    columns = ["name", "doc_id", "place", "at", "more", "lead", "n"]
 
     def sweep(batches):
         last = None
@@ -183,10 +229,9 @@ def _firsts(blocks: DataFrame, length: int, id_type: str) -> DataFrame:
             if batch.num_rows:
                 copy, last = _later(batch, ["name", "lead", "body"], last)
                 body = batch.column("body")
-                n = pa.compute.subtract(pa.compute.binary_length(body), pa.scalar(length - 1, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), n, pa.array(copy), pa.compute.if_else(pa.array(copy), pa.scalar(None, body.type), body)], names=[*columns, "n", "copy", "body"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(copy), pa.compute.if_else(pa.array(copy), pa.scalar(None, body.type), body)], names=[*columns, "copy", "body"])
 
-    sent = blocks.repartition("name", F.xxhash64("body")).sortWithinPartitions("name", "lead", "body", "doc_id")
+    sent = blocks.where("not copy").drop("copy").repartition("name", F.xxhash64("body")).sortWithinPartitions("name", "lead", "body", "doc_id")
     return sent.mapInArrow(sweep, f"name long, doc_id {id_type}, place int, at int, more array<int>, lead int, n int, copy boolean, body binary")
 
 
@@ -197,7 +242,7 @@ def _doubled(firsts: DataFrame, length: int, start: int) -> DataFrame:
     before = F.when(lead >= step, F.xxhash64(F.substring("body", lead - step + 1, F.lit(step))))
     behind = F.when(lead + start + step <= size, F.xxhash64(F.substring("body", lead + start + 1, F.lit(step))))
     sides = F.array(F.struct(F.lit(True).alias("before"), before.alias("pair")), F.struct(F.lit(False).alias("before"), behind.alias("pair")))
-    pairs = firsts.select("name", "doc_id", "place", "at", F.inline(sides)).where("pair is not null").repartition(*keys)
+    pairs = firsts.select("name", "doc_id", "place", "at", F.inline(sides)).where("pair is not null")
     shared = pairs.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*keys)
     open_ = pairs.join(shared.hint("shuffle_hash"), keys).groupBy("doc_id", "place", "at").agg(F.bool_or("before").alias("before"), F.bool_or(~F.col("before")).alias("behind"))
     return firsts.join(open_, ["doc_id", "place", "at"])
@@ -206,7 +251,7 @@ def _doubled(firsts: DataFrame, length: int, start: int) -> DataFrame:
 def _repeated(doubled: DataFrame, length: int, start: int, id_type: str) -> DataFrame:
     """Round 3. doc_id, place, at, more: positions whose stretch an earlier document has."""
     step = min(start, (length - start + 1) // 2)
-    columns = ["name", "full", "doc_id", "place", "at", "more"]
+    columns = ["known", "name", "full", "doc_id", "place", "at", "more"]
 
     def name_all(batches):
         for part in _parts(batches, BLOCKS_AT_ONCE):
@@ -221,18 +266,24 @@ def _repeated(doubled: DataFrame, length: int, start: int, id_type: str) -> Data
             open_ = (before[row] | (left < step)) & (behind[row] | (length - start - left < step))
             row, inside = row[open_], inside[open_]
             full = names(buf, length)[(np.cumsum(sizes) - sizes)[row] + inside] if len(row) else np.zeros(0, U64)
-            name, doc_id, place, more = (part.column(c).take(pa.array(row)) for c in ("name", "doc_id", "place", "more"))
-            yield pa.RecordBatch.from_arrays([name, pa.array(full.view(np.int64)), doc_id, place, pa.array((at[row] + inside).astype(np.int32)), more], names=columns)
+            name, rank = part.column("name").to_numpy()[row], _ranks(part.column("doc_id"))[row]
+            # repeated here already: no longer part of its group, and spread over all tasks
+            order, first, _ = _groups(rank, full, name)
+            known = np.zeros(len(row), dtype=bool)
+            known[order] = rank[order] > rank[order][first]
+            name, full = np.where(known, 0, name), np.where(known, mix64(full + np.arange(len(row), dtype=U64)), full)
+            doc_id, place, more = (part.column(c).take(pa.array(row)) for c in ("doc_id", "place", "more"))
+            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(name), pa.array(full.view(np.int64)), doc_id, place, pa.array((at[row] + inside).astype(np.int32)), more], names=columns)
 
     def sweep(batches):
         last = None
         for batch in batches:
             if batch.num_rows:
-                later, last = _later(batch, ["name", "full"], last)
-                yield batch.select(columns[2:]).filter(pa.array(later))
+                later, last = _later(batch, ["known", "name", "full"], last)
+                yield batch.select(columns[3:]).filter(pa.compute.or_(batch.column("known"), pa.array(later)))
 
-    named = doubled.mapInArrow(name_all, f"name long, full long, doc_id {id_type}, place int, at int, more array<int>")
-    sent = named.repartition("name", "full").sortWithinPartitions("name", "full", "doc_id")
+    named = doubled.mapInArrow(name_all, f"known boolean, name long, full long, doc_id {id_type}, place int, at int, more array<int>")
+    sent = named.repartition("name", "full").sortWithinPartitions("known", "name", "full", "doc_id")
     return sent.mapInArrow(sweep, f"doc_id {id_type}, place int, at int, more array<int>")
 
 
@@ -260,8 +311,8 @@ def _removed(docs: DataFrame, length: int, start: int, as_text: bool) -> DataFra
     blocks = scratch.keep(_blocks(long_enough, found, length, start, id_type))
     scratch.drop(found)
     firsts = scratch.keep(_firsts(blocks, length, id_type))
+    copied = scratch.keep(firsts.unionByName(blocks).where("copy").select("doc_id", "place", "at", "more", "n"))
     scratch.drop(blocks)
-    copied = scratch.keep(firsts.where("copy").select("doc_id", "place", "at", "more", "n"))
     doubled = scratch.keep(_doubled(firsts.where("not copy"), length, start))
     scratch.drop(firsts)
     repeated = scratch.keep(_repeated(doubled, length, start, id_type))

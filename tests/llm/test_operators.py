@@ -268,6 +268,21 @@ def test_suffix_dedup_of_a_long_document_with_a_hot_mark(spark):
     assert sorted(map(tuple, got)) == sorted(brute_repeats(rows, 50)) and by_id_list(got)[5].n_removed >= 3000 * len(passage)
 
 
+def test_suffix_dedup_settles_hot_strings_before_the_shuffle(spark, monkeypatch):
+    r, passage = random.Random(4), "notice: this passage stands in every document of the table, between words that differ"
+    rows = [(r.choice([i, i, i - 1]), prose(i, r.randrange(6)) + passage[r.randrange(12) : 85 - r.randrange(12)] + prose(900 + i % 7, 9)) for i in range(2, 240, 2)]
+    brute = sorted(map(str, brute_repeats(rows, 50)))
+    for held in (suffix.HELD_BYTES, 500):
+        monkeypatch.setattr(suffix, "HELD_BYTES", held)
+        assert sorted(map(str, map(tuple, suffix.repeat_digests(documents(spark, rows).coalesce(1)).collect()))) == brute
+    # a mark of 400 rows: its two outermost documents meet other tasks' rows, as do all rows of a mark of one document
+    name, row = np.array([7] * 400 + [8, 9, 9]), np.array([*range(400), 5, 6, 7])
+    rank = np.arange(400)
+    rank[7] = rank[6]
+    lane = suffix._lanes(name, row, rank)
+    assert (lane[:400] == 0).sum() == 2 and len(set(lane[:400].tolist())) == 399 and not lane[400:].any()
+
+
 # --- embedding graph ------------------------------------------------------------------------------------------------
 
 
