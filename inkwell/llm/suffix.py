@@ -283,7 +283,8 @@ def _repeated(doubled: DataFrame, length: int, start: int, id_type: str) -> Data
                 yield batch.select(columns[3:]).filter(pa.compute.or_(batch.column("known"), pa.array(later)))
 
     named = doubled.mapInArrow(name_all, f"known boolean, name long, full long, doc_id {id_type}, place int, at int, more array<int>")
-    sent = named.repartition("name", "full").sortWithinPartitions("known", "name", "full", "doc_id")
+    # the whole stretch's name first, as Spark compares rows by their first column before all others
+    sent = named.repartition("name", "full").sortWithinPartitions("full", "name", "known", "doc_id")
     return sent.mapInArrow(sweep, f"doc_id {id_type}, place int, at int, more array<int>")
 
 
