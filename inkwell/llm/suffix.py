@@ -36,6 +36,7 @@ their names, are carried and not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ START = 16
 #: Texts that are taken from a batch at once in a task, and blocks.
 ROWS_AT_ONCE = 500
 BLOCKS_AT_ONCE = 4000
-#: Bytes of blocks by which a task tells documents' equal blocks before the shuffle; beyond them it starts afresh.
+#: Bytes of blocks that a task holds at once, to tell documents' equal ones before the shuffle; then it starts afresh.
 HELD_BYTES = 1 << 24
 _VALUE = stream64(77, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -171,18 +172,27 @@ def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type
     """
     columns = ["name", "doc_id", "place", "at", "more", "lead", "n", "copy", "body"]
 
+    def joined(batch, ready):
+        row, name, at, lead, n, more, copy, body = zip(*ready)
+        rows = pa.array(np.repeat(row, [len(x) for x in name]))
+        whole = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind))
+        listed = lambda parts, kind: pa.array(list(chain.from_iterable(parts)), kind)
+        ids = (batch.column(c).take(rows) for c in (0, 1))
+        ends = [whole(lead, np.int32), whole(n, np.int32), listed(copy, pa.bool_()), listed(body, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(name).view(np.int64)), *ids, whole(at, np.int32), listed(more, pa.list_(pa.int32())), *ends], names=columns)
+
     def cut(batches):
         for batch in _parts(batches, ROWS_AT_ONCE):
             holder: dict[tuple[bytes, int], int] = {}
-            held = 0
+            ready, held = [], 0
             rank, texts, found = _ranks(batch.column(0)), batch.column(2), batch.column(3)
             for row in np.argsort(rank, kind="stable").tolist():
                 raw, mine, own_rank = texts[row].as_py().encode(), found[row], int(rank[row])
                 low, at = placed_marks(np.frombuffer(raw, np.uint8), length, start)
-                wanted = np.isin(low, mine.values.to_numpy().view(U64))
-                edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (wanted[1:] != wanted[:-1]))))
-                last = np.concatenate((edge[1:], [len(at)]))[wanted[edge]]
-                edge = edge[wanted[edge]]
+                edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                wanted = np.isin(low[edge], mine.values.to_numpy().view(U64))
+                last = np.concatenate((edge[1:], [len(at)]))[wanted]
+                edge = edge[wanted]
                 lead = at[edge] - edge
                 first: dict[tuple[bytes, int], int] = {}
                 again: dict[int, list[int]] = {}
@@ -191,16 +201,16 @@ def _blocks(texts: DataFrame, found: DataFrame, length: int, start: int, id_type
                     if one != i:
                         again.setdefault(one, []).append(x - int(edge[one]))
                 own = np.fromiter(first.values(), dtype=np.int64, count=len(first))
-                same = pa.array(np.full(len(own), row))
-                name = pa.array(low[edge[own]].view(np.int64))
-                more = pa.array([again.get(i) for i in own.tolist()] if again else [None] * len(own), pa.list_(pa.int32()))
+                more = [again.get(i) for i in own.tolist()] if again else [None] * len(own)
                 copy = [holder.setdefault(k, own_rank) < own_rank for k in first]
-                held += sum(len(k[0]) for k, c in zip(first, copy) if not c)
+                body = [None if c else k[0] for k, c in zip(first, copy)]
+                ready.append((row, low[edge[own]], edge[own], lead[own], (last - edge)[own], more, copy, body))
+                held += sum(map(len, filter(None, body)))
                 if held > HELD_BYTES:
-                    holder, held = {}, 0
-                n = (last - edge)[own].astype(np.int32)
-                ends = [pa.array(lead[own].astype(np.int32)), pa.array(n), pa.array(copy, pa.bool_()), pa.array([None if c else k[0] for k, c in zip(first, copy)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([name, batch.column(0).take(same), batch.column(1).take(same), pa.array(edge[own].astype(np.int32)), more, *ends], names=columns)
+                    yield joined(batch, ready)
+                    holder, ready, held = {}, [], 0
+            if ready:
+                yield joined(batch, ready)
 
     return texts.join(found, ["doc_id", "place"]).select("doc_id", "place", "text", "found").mapInArrow(cut, f"name long, doc_id {id_type}, place int, at int, more array<int>, lead int, n int, copy boolean, body binary")
 
