@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +33,22 @@ def _dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-def cosine(a: str, b: str) -> Column:
-    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+def _norm(a: Column | str) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def _in_blocks(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """queries and vectors of equal namespaces, each pair once, spread over about as many keys a namespace as a shuffle has tasks.
+
+    Both sides are dealt to blocks by a hash; every pair of blocks is a key, so a row is copied once for each block of the
+    other side, the square root of the number of tasks.
+    """
+    side = math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1
+    own = lambda key: F.pmod(F.xxhash64(key), F.lit(side))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)).cast("array<bigint>"))
+    left = queries.select("*", own("query_id").alias("query_block"), every.alias("vector_block"))
+    right = vectors.select("*", own("id").alias("vector_block"), every.alias("query_block"))
+    return right.join(left, ["namespace", "query_block", "vector_block"])
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float | None = None, filters: dict[str, str] | None = None, max_broadcast_queries: int = 10_000) -> DataFrame:
@@ -40,14 +56,18 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold:
 
     queries: query_id, namespace, query_vector; vectors: namespace, id, embedding, metadata. The threshold is applied after
     the top k, so fewer may be left. Up to ``max_broadcast_queries`` queries are broadcast, so that the vectors are read
-    where they lie and each task ranks its own rows first; more queries meet the vectors by a shuffle on the namespace.
+    where they lie and each task ranks its own rows first; more queries meet the vectors by a shuffle on pairs of blocks
+    within the namespace, so that a namespace with most rows is spread over the tasks.
     """
     for name, value in (filters or {}).items():
         vectors = vectors.where(F.col("metadata")[name] == value)
-    asked = queries.select("query_id", "namespace", "query_vector")
-    small = asked.limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
-    pairs = vectors.select("namespace", "id", "embedding").join(F.broadcast(asked) if small else asked, "namespace")
-    scored = pairs.select("query_id", "id", cosine("embedding", "query_vector").alias("score")).where(F.col("score").isNotNull())
+    small = queries.select("query_id").limit(max_broadcast_queries + 1).count() <= max_broadcast_queries
+    # each row's norm is worked out once, and not once a pair
+    asked = queries.select("query_id", "namespace", "query_vector", _norm("query_vector").alias("query_norm"))
+    stored = vectors.select("namespace", "id", "embedding", _norm("embedding").alias("norm"))
+    pairs = stored.join(F.broadcast(asked), "namespace") if small else _in_blocks(asked, stored)
+    score = F.try_divide(_dot("embedding", "query_vector"), F.col("norm") * F.col("query_norm"))
+    scored = pairs.select("query_id", "id", score.alias("score")).where(F.col("score").isNotNull())
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
     return best if threshold is None else best.where(F.col("score") >= threshold)

@@ -1,5 +1,6 @@
 """Operators on small fixtures, against folds where they replace one."""
 
+import math
 import random
 import time
 
@@ -273,6 +274,14 @@ def test_vectors(spark):
     queries = spark.createDataFrame([(9, "n", [1.0, 0.1])], "query_id long, namespace string, query_vector array<float>")
     for most in (0, 10):
         assert [r.id for r in vectors.vector_top_k(queries, store, 2, max_broadcast_queries=most).orderBy("rank").collect()] == [1, 2]
+    rng = random.Random(5)
+    many = spark.createDataFrame([("nm"[i % 7 == 0], i, [rng.gauss(0, 1) for _ in range(4)] if i % 11 else [0.0] * 4, {}) for i in range(120)], schema)
+    asked = many.where("id % 5 = 0").select(F.col("id").alias("query_id"), "namespace", F.col("embedding").alias("query_vector"))
+    hits = [sorted(map(tuple, vectors.vector_top_k(asked, many, 3, max_broadcast_queries=most).collect())) for most in (0, 100)]
+    rows = [(r.namespace, r.id, list(r.embedding)) for r in many.collect() if any(r.embedding)]
+    near = lambda x, y: sum(a * b for a, b in zip(x, y)) / (math.hypot(*x) * math.hypot(*y))
+    expected = [(q, rank, i) for n, q, x in rows if q % 5 == 0 for rank, (_, i) in enumerate(sorted((-near(x, y), j) for m, j, y in rows if m == n)[:3], 1)]
+    assert hits[0] == hits[1] and [h[:3] for h in hits[0]] == sorted(expected)
     assert vectors.vector_top_k(queries, store, 2, threshold=0.9).count() == 1 and vectors.vector_top_k(queries, store, 2, filters={"source": "t"}).first().id == 2
 
 
