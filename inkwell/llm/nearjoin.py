@@ -12,7 +12,8 @@ Only the texts of classes that share a key are read again, by a join on the docu
 
 Defined cases: null and empty texts, and texts without a word, have no n-gram and link with nothing; a text of fewer
 words than n is one n-gram; identical sets link (similarity 1). A row whose doc_id is null has no identity: it links
-with nothing and has null ids. Rows that repeat a doc_id count one by one. Other columns are not read.
+with nothing and has null ids. A row is known by its doc_id and its text, so rows that repeat a doc_id count one by one, and
+different texts of one doc_id don't stand for each other; rows that repeat both are one document. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -107,12 +108,8 @@ def _compare_block(key: np.ndarray, sets: list[np.ndarray], bands: list[np.ndarr
     return totals, edges
 
 
-def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, small_key: int = SMALL_KEY, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, component_id, n_links, kept.
-
-    class_id: smallest doc_id with the same n-gram set; component_id: smallest doc_id reachable by links; n_links: other
-    documents linked directly; kept: whether the document stands for its component (its own id, for a lone document).
-    """
+def _links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, small_key: int = SMALL_KEY, block: int = BLOCK) -> DataFrame:
+    """jaccard_links() with ``place``, which tells the texts of one doc_id apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     bands, rows = hashing.bands_for(threshold, recall, MAX_HASHES)
@@ -133,30 +130,29 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
                 part = batch.slice(at, ROWS_AT_ONCE)
                 grams, sizes = hashing.shingle_sets([t.encode() for t in part.column(0).to_pylist()], n)
                 sets = [x.tobytes() for x in np.split(grams, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], names=["kind", "doc_id", "weight", "large_keys", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], names=["kind", "doc_id", "place", "weight", "large_keys", "grams"])
 
     id_type = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
     sets = scratch.keep(
         texts.join(wanted, ["doc_id", "place"]).dropDuplicates(["kind"])
-        .select("text", "kind", "doc_id", "weight", "large_keys")
-        .mapInArrow(to_set, f"kind binary, doc_id {id_type}, weight long, large_keys array<long>, grams binary")
+        .select("text", "kind", "doc_id", "place", "weight", "large_keys")
+        .mapInArrow(to_set, f"kind binary, doc_id {id_type}, place long, weight long, large_keys array<long>, grams binary")
     )
 
     # Keys of few classes: candidate pairs, verified once each.
     few = candidates.where("not large").select("key", "kind")
     pairs = few.alias("l").join(few.alias("r"), F.expr("l.key = r.key and l.kind < r.kind")).select(F.col("l.kind").alias("ka"), F.col("r.kind").alias("kb")).distinct()
-    left = sets.select(*[F.col(c).alias(c[0] + "a" if c != "large_keys" else "la") for c in ("kind", "doc_id", "weight", "large_keys", "grams")])
-    right = sets.select(*[F.col(c).alias(c[0] + "b" if c != "large_keys" else "lb") for c in ("kind", "doc_id", "weight", "large_keys", "grams")])
+    left, right = (sets.select(*[F.col(c).alias(c[0] + side) for c in ("kind", "doc_id", "place", "weight", "large_keys", "grams")]) for side in "ab")
     both = pairs.join(left, "ka").join(right, "kb").where(~F.arrays_overlap("la", "lb"))
 
     def verify(batches):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["ka", "kb", "da", "db", "wa", "wb"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["ka", "kb", "da", "pa", "db", "pb", "wa", "wb"]).filter(pa.array(good, pa.bool_()))
 
-    linked = both.select("ga", "gb", "ka", "kb", "da", "db", "wa", "wb").mapInArrow(verify, f"ka binary, kb binary, da {id_type}, db {id_type}, wa long, wb long")
+    linked = both.select("ga", "gb", "ka", "kb", "da", "pa", "db", "pb", "wa", "wb").mapInArrow(verify, f"ka binary, kb binary, da {id_type}, pa long, db {id_type}, pb long, wa long, wb long")
     linked = scratch.keep(linked)
 
     # Keys of many classes: every pair of blocks compares its members.
@@ -171,35 +167,47 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
 
     def compare(key, group):
         group = group.sort_by("kind")
-        members = list(zip(group.column("kind").to_pylist(), group.column("doc_id").to_pylist()))
+        members = list(zip(*(group.column(c).to_pylist() for c in ("kind", "doc_id", "place"))))
         found = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
         keys = [np.array(k, dtype=np.int64) for k in group.column("large_keys").to_pylist()]
         totals, edges = _compare_block(key[0].as_py(), found, keys, members, group.column("side").to_pylist(), group.column("weight").to_pylist(), threshold)
-        out = [(k, int(t), d, d) for (k, d), t in zip(members, totals) if t] + [(a[0], 0, a[1], b[1]) for a, b in edges]
-        return pa.table({"kind": pa.array([o[0] for o in out], pa.binary()), "n": pa.array([o[1] for o in out], pa.int64()), "a": pa.array([o[2] for o in out], group.schema.field("doc_id").type), "b": pa.array([o[3] for o in out], group.schema.field("doc_id").type)})
+        out = [(k, int(t), d, p, d, p) for (k, d, p), t in zip(members, totals) if t] + [(a[0], 0, *a[1:], *b[1:]) for a, b in edges]
+        id_kind = group.schema.field("doc_id").type
+        types = {"kind": pa.binary(), "n": pa.int64(), "da": id_kind, "pa": pa.int64(), "db": id_kind, "pb": pa.int64()}
+        return pa.table({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(types.items())})
 
-    in_blocks = scratch.keep(many.groupBy("key", "i", "j").applyInArrow(compare, f"kind binary, n long, a {id_type}, b {id_type}"))
+    in_blocks = scratch.keep(many.groupBy("key", "i", "j").applyInArrow(compare, f"kind binary, n long, da {id_type}, pa long, db {id_type}, pb long"))
 
     counted = linked.select(F.col("ka").alias("kind"), F.col("wb").alias("n")).union(linked.select("kb", "wa")).union(in_blocks.select("kind", "n"))
     links = counted.groupBy("kind").agg(F.sum("n").alias("others"))
-    edges = linked.select(F.col("da").alias("a"), F.col("db").alias("b")).union(in_blocks.select("a", "b"))
-    reached = connected_components(edges, scratch)
+    ends = [F.struct(F.col(f"d{x}").alias("doc_id"), F.col(f"p{x}").alias("place")).alias(x) for x in "ab"]
+    reached = connected_components(linked.select(*ends).union(in_blocks.select(*ends)), scratch)
     of_class = (
-        classes.select("kind", F.col("first.doc_id").alias("class_id"), "weight").join(links, "kind", "left")
-        .join(reached.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("kind", "class_id", F.coalesce("component", "class_id").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        classes.select("kind", "first", "weight").join(links, "kind", "left")
+        .join(reached.withColumnRenamed("node", "first"), "first", "left")
+        .select("kind", F.col("first.doc_id").alias("class_id"), F.coalesce("component", "first").alias("stands"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
     has_id = F.col("doc_id").isNotNull()
+    stands = (F.col("stands.doc_id") == F.col("doc_id")) & (F.col("stands.place") == F.col("place"))
     return (
-        signed.select("doc_id", F.when(has_id, F.col("kind")).alias("kind")).join(of_class, "kind", "left")
+        signed.select("doc_id", "place", F.when(has_id, F.col("kind")).alias("kind")).join(of_class, "kind", "left")
         .select(
-            "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (~has_id | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"),
+            "doc_id", "place", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("stands.doc_id", "doc_id").alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(stands, F.lit(True)).alias("kept"),
         )
     )
 
 
+def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, small_key: int = SMALL_KEY, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, class_id, component_id, n_links, kept.
+
+    class_id: smallest doc_id with the same n-gram set; component_id: smallest doc_id reachable by links; n_links: other
+    documents linked directly; kept: whether the document stands for its component (its own id, for a lone document).
+    """
+    return _links(docs, n, threshold, recall, small_key, block).drop("place")
+
+
 def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for."""
-    dropped = jaccard_links(docs, n, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those that an earlier one of their component (by doc_id, then by a hash of the text) stands for."""
+    dropped = _links(docs, n, threshold).where("not kept").select(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).distinct()
+    return docs.join(dropped, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_place")), "left_anti").select(*docs.columns)

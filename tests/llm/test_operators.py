@@ -465,6 +465,29 @@ def test_jaccard_join(spark, small_key):
     assert nearjoin.jaccard_links(documents(spark, [])).count() == 0
 
 
+def test_texts_of_one_id_do_not_stand_for_each_other(spark):
+    """Rows with repeated doc_ids: every group of near copies keeps one text, and no unique text is lost."""
+    r = random.Random(10)
+    families = [prose(200 + k, 60) for k in range(6)]
+    rows = [(1, families[0]), (5, families[0]), (5, families[1]), (7, families[1] + " end"), (5, families[2]), (5, families[2]), (7, families[0] + " end")]
+    rows += [(r.randrange(20, 30), families[r.randrange(3, 6)] + r.choice(["", " end", " more"])) for _ in range(30)] + [(i, prose(300 + i, 40)) for i in (1, 5, 5, 7, 20)] + [(None, families[0]), (5, None)]
+    sets = {t: shingles(t) for _, t in rows}
+    near = lambda a, b: bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for small_key in (1, 24):
+        links = nearjoin._links(documents(spark, rows), small_key=small_key, block=5).where("doc_id is not null").collect()
+        assert sorted(x.doc_id for x in links) == sorted(i for i, _ in rows if i is not None)
+        assert sum(x.n_links for x in links) == sum(near(a, b) for k, (i, a) in enumerate(rows) for m, (j, b) in enumerate(rows) if k != m and i is not None and j is not None)
+    kept = [(x.doc_id, x.text) for x in nearjoin.one_of_each(documents(spark, rows)).collect()]
+    groups = {}
+    for i, t in rows:
+        if i is not None:
+            groups.setdefault(next((f for f in sets if near(f, t)), t), []).append((i, t))
+    assert (None, families[0]) in kept
+    for members in groups.values():
+        left = {x for x in kept if x in members}
+        assert len(left) == 1 and left.pop()[0] == min(i for i, _ in members)
+
+
 def test_banding_reaches_its_recall():
     bands, rows = hashing.bands_for(0.8, 0.9995, 256)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 256
