@@ -3,8 +3,9 @@
 score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise interactions in
 time linear in the features, by the sum-of-squares identity.
 
-The model is fitted on at most ``TRAIN_DOCS`` labelled documents, chosen by a hash; their sparse features (bounded by
-the number of hashed features) are all that the driver receives, and the fitted weights, of fixed size, are all that the
+The model is fitted on at most ``TRAIN_DOCS`` labelled documents in the order of a hash of their ids, up to the one with which
+their sparse features come to more than ``TRAIN_FEATURES``: of long texts fewer are learned from, and each on its whole text.
+These features (eight bytes each) are all that the driver receives, and the fitted weights, of fixed size, are all that the
 executors do. Every document is scored on its whole text.
 
 Defined cases: null and empty texts have only the features of an empty text and are scored like any other; if the
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import id_remainder
+from .storage import Scratch
 
 WORD_FEATURES = 1 << 15
 RANK = 8
 TRAIN_DOCS = 6000
-#: Texts of more different words are not learned from, so that the sample is bounded in bytes too.
-TRAIN_WORDS = 2048
+TRAIN_FEATURES = 8_000_000
 EPOCHS = 12
 BATCH = 128
 RATE = 0.08
@@ -131,22 +132,36 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Factori
     return FactorisationMachine(w0, w.astype(np.float32), v.astype(np.float32))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> FactorisationMachine:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_features: int = TRAIN_FEATURES) -> FactorisationMachine:
     """A machine for ``labels`` (doc_id, quality) of the documents (doc_id, text)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    scratch, id_type = Scratch(docs.sparkSession, "quality"), dict(docs.dtypes)["doc_id"]
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches):
         for batch in batches:
-            rows = [features(t) for t in batch.column(0).to_pylist()]
-            short = pa.array([len(i) <= TRAIN_WORDS + len(STATISTICS) for i, _ in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["doc_id", "quality", "index", "value"]).filter(short)
-
-    found = texts.select("text", "doc_id", F.col("quality").cast("int").alias("quality")).mapInArrow(extract, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, index binary, value binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.quality, r["index"], r["value"]))
-    return fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found], [int(r.quality > 0) for r in found])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                rows = [features(t) for t in part.column(0).to_pylist()]
+                columns = [pa.array([len(i) for i, _ in rows], pa.int64()), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=["doc_id", "quality", "n", "index", "value"])
+
+    found = scratch.keep(texts.select("text", "doc_id", "quality").mapInArrow(extract, f"doc_id {id_type}, quality int, n long, index binary, value binary"))
+    # how far the order of hashes goes: of at most train_docs rows a number and a hash
+    place, total, last = F.xxhash64("doc_id"), 0, None
+    for row in sorted(found.select(place.alias("place"), "doc_id", "n").collect()):
+        total += row.n
+        if last is not None and total > train_features:
+            break
+        last = (row.place, row.doc_id)
+    if last is None:
+        return fit([], [])
+    rows = found.where((place < last[0]) | ((place == last[0]) & (F.col("doc_id") <= last[1]))).collect()
+    scratch.drop(found)
+    rows.sort(key=lambda r: r.doc_id)
+    return fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows], [int(r.quality > 0) for r in rows])
 
 
 def score(docs: DataFrame, machine: FactorisationMachine) -> DataFrame:
