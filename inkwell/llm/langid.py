@@ -6,8 +6,8 @@ difference of its two ranks, and the profile's length if the profile lacks it.
 
 Profiles are learned from at most ``docs_per_language`` labelled documents of each language, chosen by a hash: the counts
 of languages give each a threshold of the hash, so that a language that most documents have sends few of them to be
-ordered. Counts are summed by Spark; what reaches the driver is one list of ``PROFILE_GRAMS`` for each language, and the
-broadcast thresholds are one number for each.
+ordered. Counts are summed by Spark; what reaches the driver is one list of ``PROFILE_GRAMS`` for each language. Their size is
+summed first: beyond ``MAX_BYTES`` learning fails, as every task holds all profiles.
 
 Defined cases: null text, empty text and text without a letter are ``und`` with score 0; so is every text if there is
 nothing to learn from; ties go to the alphabetically smaller language; documents without a language are not learned
@@ -24,10 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import Scratch
+
 UNDETERMINED = "und"
 PROFILE_GRAMS = 400
 DOCUMENT_GRAMS = 300
 DOCS_PER_LANGUAGE = 1000
+#: Of all profiles together, at 16 bytes and its name for each n-gram of a language: about 30,000 languages.
+MAX_BYTES = 256 << 20
 #: Stands before a shorter n-gram in its 3 x 21 bits; no code point is as large.
 _NONE = np.uint64(0x1FFFFF)
 _tables: list[np.ndarray] = []
@@ -66,9 +70,22 @@ def ranked(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
+    """For each n-gram, in order, the languages whose profile has it and its rank there."""
+
     languages: list[str]
-    grams: np.ndarray  # of all profiles, in order
-    ranks: np.ndarray  # grams x languages; the profile's length where it lacks the n-gram
+    grams: np.ndarray
+    begins: np.ndarray  # of each n-gram's stretch of the next two, and the end
+    owners: np.ndarray
+    ranks: np.ndarray
+
+    @staticmethod
+    def of(languages: np.ndarray, grams: np.ndarray, ranks: np.ndarray) -> Profiles:
+        """From one row for each language and n-gram."""
+        names, owners = np.unique(languages.astype(str), return_inverse=True)
+        grams = grams.astype(np.uint64)
+        order = np.lexsort((owners, grams))
+        kinds, begins = np.unique(grams[order], return_index=True)
+        return Profiles(names.tolist(), kinds, np.append(begins, len(order)), owners[order].astype(np.int64), ranks[order].astype(np.int64))
 
     def judge(self, text: str) -> tuple[str, float, float]:
         """(language, score, lead over the second)."""
@@ -77,24 +94,32 @@ class Profiles:
             return UNDETERMINED, 0.0, 0.0
         own = ranked(grams, counts, DOCUMENT_GRAMS)
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        known = self.grams[at] == own
-        places = np.arange(len(own))[known, None]
-        distance = np.abs(self.ranks[at[known]] - places).clip(max=PROFILE_GRAMS)
-        missing = self.ranks[at[known]] >= PROFILE_GRAMS
-        total = np.where(missing, PROFILE_GRAMS, distance).sum(axis=0) + PROFILE_GRAMS * int((~known).sum())
-        near = 1.0 - total / (PROFILE_GRAMS * len(own))
+        places = np.flatnonzero(self.grams[at] == own)
+        begins, sizes = self.begins[at[places]], np.diff(self.begins)[at[places]]
+        entry = np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+        # a profile that lacks an n-gram pays its length, so each one that it has saves some of that
+        saved = PROFILE_GRAMS - np.abs(self.ranks[entry] - np.repeat(places, sizes))
+        near = np.bincount(self.owners[entry], weights=saved, minlength=len(self.languages)) / (PROFILE_GRAMS * len(own))
         best = int(np.argmax(near))
         lead = float(near[best] - np.delete(near, best).max()) if len(near) > 1 else float(near[best])
         return self.languages[best], float(near[best]), lead
 
 
-def learn_profiles(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
+def learn_profiles(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Profiles:
     """Profiles from the columns doc_id, text and lang."""
+    scratch = Scratch(labelled.sparkSession, "langid")
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     place = F.xxhash64("doc_id")
     # a share of the hashes that holds docs_per_language documents beyond doubt
     share = (docs_per_language + 10 * docs_per_language**0.5 + 50) / F.count("*")
-    some = rows.groupBy("lang").agg((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("below"))
+    some = scratch.keep(rows.groupBy("lang").agg((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("below")))
+
+    def check(table: DataFrame) -> None:
+        n_bytes = table.agg(F.sum(F.octet_length("lang") + 16)).first()[0] or 0
+        if n_bytes > max_bytes:
+            raise ValueError(f"{n_bytes} bytes of languages or profiles are more than a task should hold (max_bytes {max_bytes})")
+
+    check(some)
     first = rows.select("lang", place.alias("place")).join(F.broadcast(some), "lang").where("place <= below")
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= docs_per_language)
     bound = first.groupBy("lang").agg(F.max("place").alias("bound"))
@@ -112,13 +137,11 @@ def learn_profiles(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUA
 
     sums = chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE_GRAMS).select("lang", "gram", "rank").collect()
-    languages = sorted({r.lang for r in top})
-    grams = np.array(sorted({r.gram for r in top}), dtype=np.uint64)
-    ranks = np.full((len(grams), len(languages)), PROFILE_GRAMS, dtype=np.int64)
-    for r in top:
-        ranks[np.searchsorted(grams, np.uint64(r.gram)), languages.index(r.lang)] = r.rank
-    return Profiles(languages, grams, ranks)
+    top = scratch.keep(sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE_GRAMS).select("lang", "gram", "rank"))
+    check(top)
+    found = top.toArrow()
+    scratch.drop(top)
+    return Profiles.of(*(found.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "rank")))
 
 
 def predict(docs: DataFrame, profiles: Profiles, carry: list[str] | None = None) -> DataFrame:

@@ -194,6 +194,18 @@ def test_out_of_place_distance_matches_brute_force(spark):
         assert lang == best and score == pytest.approx(1 - distance[best] / (langid.PROFILE_GRAMS * len(mine)))
 
 
+def test_many_languages_stay_small(spark):
+    """5,000 languages: profiles hold what the languages have, not a rank for every language and n-gram."""
+    letters = [chr(0x4E00 + k) for k in range(10_000)]
+    rows = [(k, " ".join(letters[2 * (k % 5000) + j % 2] + letters[2 * (k % 5000)] for j in range(4)), f"l{k % 5000}") for k in range(10_000)]
+    profiles = langid.learn_profiles(documents(spark, rows))
+    assert len(profiles.languages) == 5000
+    assert sum(x.nbytes for x in (profiles.grams, profiles.begins, profiles.owners, profiles.ranks)) < 5000 * 20 * 40
+    assert all(profiles.judge(t)[0] == lang for _, t, lang in rows[::500])
+    with pytest.raises(ValueError, match="max_bytes"):
+        langid.learn_profiles(documents(spark, rows), max_bytes=100_000)
+
+
 def test_profiles_learn_from_a_bounded_number_of_documents_of_a_hot_language(spark, monkeypatch):
     rows = [(i, "hot words " + chr(97 + i % 26), "hot") for i in range(3000)] + [(5000 + i, "rare", f"r{i}") for i in range(600)]
     profiles = langid.learn_profiles(documents(spark, rows), docs_per_language=20)
@@ -430,6 +442,30 @@ def test_quality(spark):
     assert none.score == 0.5
 
 
+def test_long_texts_are_learned_from(spark):
+    """Texts of many different words count like others, and a sample bounded in features takes fewer of them."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"{'ok' if i % 2 else 'bad'}{r.randrange(9000)}" for _ in range(2500))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.judge_quality(documents(spark, rows), labels))
+    held = [x for x in got.values() if x.held_out]
+    assert held and np.mean([(x.score > 0.5) == bool(x.doc_id % 2) for x in held]) > 0.8
+    some = quality.learn(documents(spark, rows), labels, train_features=20_000)
+    assert 0 < np.count_nonzero(some.w) < np.count_nonzero(quality.learn(documents(spark, rows), labels).w)
+
+
+def test_fitted_interactions_equal_the_sum_over_pairs():
+    """The sum-of-squares identity on a fitted machine, which tells its rows apart."""
+    rows = [quality.features(t) for t in ("good words here", "bad things there", "good things", "bad words")]
+    machine = quality.fit(rows, [1, 0, 1, 0])
+    assert [machine.score(*x) > 0.5 for x in rows] == [True, False, True, False]
+    index, value = rows[0]
+    mixed = machine.v[index] * value[:, None]
+    pairs = sum(float(mixed[a] @ mixed[b]) for a in range(len(index)) for b in range(a))
+    assert 0.5 * float((mixed.sum(axis=0) ** 2 - (mixed**2).sum(axis=0)).sum()) == pytest.approx(pairs, rel=1e-3, abs=1e-5)
+
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------------
 
 
