@@ -19,6 +19,8 @@ SEVERITY_WEIGHT = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 PAGE_PENALTY = {"CRITICAL": 15, "SERIOUS": 10, "MODERATE": 5, "MINOR": 2}
 PDFUA_RULES = ["DOC_PDFUA_DECLARATION", "DOC_IS_TAGGED", "DOC_HAS_LANGUAGE", "DOC_HAS_TITLE", "HDR-001", "HDR-003", "HDR-005"]
 MANUAL_PENDING = ["MANUAL", "NOT_TESTED"]
+#: Of a catalogue, which becomes a constant of the query.
+MAX_RULES = 5000
 
 
 def by_value(c: Column, values: dict, otherwise) -> Column:
@@ -223,7 +225,12 @@ def cap_findings(findings: DataFrame, n: int = 100, order: str = "location", key
 
 def executed_checks_coverage(checks: DataFrame, catalog: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(key, analyzer, rule_id, status; NOT_EVALUATED where no verdict is), and (key, analyzer, state)."""
-    wanted = checks.select(key).distinct().join(F.broadcast(catalog.where("enabled").select("rule_id", "analyzer")), F.lit(True))
+    enabled = catalog.where("enabled").select("rule_id", "analyzer").limit(MAX_RULES + 1).collect()
+    if len(enabled) > MAX_RULES:
+        raise ValueError(f"a catalogue of more than {MAX_RULES} enabled rules")
+    # a constant of bounded size in place of a join of every document with the catalogue
+    rules = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.analyzer).alias("analyzer")) for r in enabled]).cast("array<struct<rule_id:string,analyzer:string>>")
+    wanted = checks.select(key).distinct().select(key, F.inline(rules))
     rows = wanted.join(checks.select(key, "rule_id", "status"), [key, "rule_id"], "left").select(key, "analyzer", "rule_id", F.coalesce("status", F.lit("NOT_EVALUATED")).alias("status"))
     missing = F.col("status") == "NOT_EVALUATED"
     state = F.when(F.every(missing), "FAILED").when(F.bool_or(missing), "PARTIAL").otherwise("COMPLETED")

@@ -1,5 +1,7 @@
 """Element rules on small fixtures."""
 
+from collections import Counter
+
 import pytest
 from inkwell.functions.text import banner_key, contrast_ratio
 from inkwell.operators import elements, rules
@@ -58,6 +60,52 @@ def test_word_rules(spark):
     assert got["good", "SRV-001"][0] == "PASS" and got["good", "SRV-002"][0] == "NOT_TESTED" and got["bad", "SRV-001"][0] == "NOT_TESTED"
 
 
+def scans(df):
+    """How often each table's folder is read in the plan."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [x for i in range(leaves.size()) if (x := leaves.apply(i)).getClass().getSimpleName() == "LogicalRelation"]
+    paths = [x.relation().location().rootPaths().mkString() for x in files]
+    return Counter(p.rsplit("element_", 1)[1] for p in paths)
+
+
+def on_disk(spark, folder, tables):
+    out = []
+    for name, df in tables:
+        df.write.parquet(f"file://{folder}/element_{name}")
+        out.append(spark.read.parquet(f"file://{folder}/element_{name}"))
+    return out
+
+
+def test_every_element_table_is_read_once(spark, tmp_path):
+    names = ["paragraphs", "images", "tables", "links", "meta", "sections", "evidence"]
+    inputs = on_disk(spark, tmp_path, zip(names, word_inputs(spark)))
+    plan = rules.word_findings(*inputs[:6])
+    read = scans(plan)
+    assert {n: read[n] for n in names[:6]} == {"paragraphs": 1, "images": 1, "tables": 1, "links": 1, "meta": 2, "sections": 1}
+    assert scans(rules.run_word_checks(*inputs)[0])["paragraphs"] == 1
+    shapes = on_disk(spark, tmp_path, [("shapes", spark.createDataFrame([shape("a", 1, 0, "title", "Overview"), shape("a", 1, 1, "body", "Text")], SHAPE))])[0]
+    links = spark.createDataFrame([("a", 1, "here", "http://", None)], "doc_id string, slide_no int, text string, target string, tooltip string")
+    tables = spark.createDataFrame([("a", 1, 2, 2, False, 0, 0, None)], "doc_id string, slide_no int, rows int, columns int, has_header_row boolean, merged_cells int, blank_header_cells int, alt_text string")
+    meta = spark.createDataFrame([("a", "T", None, "x", None, "en", "t", 1, 1, 0)], "doc_id string, title string, subject string, author string, keywords string, language string, theme string, fonts int, slides int, hidden int")
+    found = rules.slide_findings(shapes, links, tables, meta)
+    assert scans(found)["shapes"] == 1
+    results = {r.rule_id: (r.severity, r.status) for r in rules.run_rules(meta, found, rules.SLIDE_SEVERITY)[0].collect()}
+    assert set(results) == set(rules.SLIDE_SEVERITY) and results["PPT-LINK-001"] == ("HIGH", "FAIL") and results["PPT-META-002"] == ("LOW", "WARNING") and results["PPT-STRUCTURE-001"] == ("HIGH", "PASS")
+
+
+def test_report_of_a_run(spark):
+    """A scope's rules: what is off goes, what has no verdict is not evaluated, and the scores follow."""
+    results, _ = rules.run_word_checks(*word_inputs(spark))
+    checks = [(1, None, "structure", r, r != "STR-010", "Content", False, False) for r in rules.WORD_SEVERITY if r.startswith("STR")] + [(1, 7, "images", "IMG-001", True, "Content", True, False), (2, None, "images", "IMG-002", True, "Content", True, False), (1, None, "other", "OTH-001", True, "Other", False, False)]
+    rows, states, one = rules.report(results, spark.createDataFrame(checks, "org_id int, project_id int, agent string, check_code string, is_active boolean, category string, auto_fixable boolean, internal_check boolean"), 1, 7)
+    assert {r.rule_id for r in rows.collect()} == {f"STR-00{i}" for i in range(1, 10)} | {"IMG-001", "OTH-001"}
+    assert {(r.doc_id, r.analyzer): r.state for r in states.collect()} == {(d, a): s for d in ("good", "bad") for a, s in (("structure", "COMPLETED"), ("images", "COMPLETED"), ("other", "FAILED"))}
+    got = {r.doc_id: r for r in one.collect()}
+    assert (got["good"].overall, got["good"].score, got["good"].score_status, got["good"].risk_level, got["good"].wcag_risk) == ("PASS", 100.0, "partial", "NONE_DETECTED", "None")
+    bad = {r.rule_id: r.status for r in rows.where("doc_id = 'bad'").collect()}
+    assert got["bad"].failed == sum(s == "FAIL" for s in bad.values()) and got["bad"].fail_critical == 1 and got["bad"].auto_fixable == 1 and got["bad"].risk_level == "HIGH" and got["bad"].not_evaluated == 1
+
+
 def test_contrast(spark):
     from inkwell.functions.text import contrast_ratio, parse_hex
 
