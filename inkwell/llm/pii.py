@@ -107,14 +107,31 @@ _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
 # 'at' is a common word, the names of the sign in French and Spanish are not
 _AT = rf"(?:{_OPEN}(?:at|arobase|arroba|@){_CLOSE}|[ \t]+(?:at|arobase|arroba)[ \t]+|[ \t]*@[ \t]*)"
-_DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.)"
+_QUAD_DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|[ \t]+(?:dot|punkt|point|punto)[ \t]+|\.)"
+_DOT = rf"(?:{_QUAD_DOT}|[ \t]+\.[ \t]+)"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _SPELLED_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}){_AT}(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})+)", re.I)
-_SPELLED_QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_SPELLED_QUAD = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_QUAD_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+#: The last label of an address without brackets.
+TOP_LEVEL = frozenset(
+    "com org net edu gov mil int info biz name pro io dev app ai co me tv cc online site shop cloud tech email mail "
+    "de at ch li fr be lu es pt it nl uk ie us ca mx ar cl br au nz in jp cn hk sg kr tw ru ua pl cz sk hu ro bg gr tr se no dk fi is ee lv lt eu example test invalid localhost".split()
+)
+#: Words that stand before or behind an "at" of prose, and so neither name a mailbox nor begin a domain there.
+BEFORE_AT = frozenset(
+    "look looks looked looking meet meets met meeting arrive arrives arrived arriving stay stays stayed staying work works worked working live lives lived living sit sits sat sitting stand stands stood standing be is am are was were been being "
+    "eat eats ate eating start starts started starting end ends ended ending begin begins began stop stops stopped open opens opened close closes closed see saw seen find found talk talks talked speak speaks spoke sell sells sold buy buys bought "
+    "aim aimed laugh laughed shout shouted smile smiled stare stared point pointed good bad best better angry not only even still again here there back him her it us them me you we they i he she one all and or but".split()
+)
+BEHIND_AT = frozenset(
+    "the a an this that these those my your his her its our their some any no each every all both least most last first once noon midnight night dawn dusk home work school sea war peace rest random times present one two three four five six seven eight nine ten "
+    "what which whom whose it them us him me you".split()
+)
 _AT_OR_DOT = re.compile(rf"(?P<dot>{_DOT})|{_AT}", re.I)
 _PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9.-]+")
 # What every spelled address, and every quad or number with something to rewrite, holds. The transducers run where it is found.
 _HAS_ADDRESS = re.compile(rf"(?:@|at|arobase|arroba)[ \t]*(?:[)\]}}>][ \t]*)?{_LABEL}{_DOT}[A-Za-z0-9-]", re.I)
+_AT_PLACES = ["@", *(f"{a}at{b}" for a in " \t([{<" for b in " \t)]}>"), "arobase", "arroba"]
 _HAS_QUAD = re.compile(r"[0-9](?:[ \t]*[(\[{<]|[ \t]+[DdPp])")
 _WORDS = "|".join(NUMBER_WORDS)
 _HAS_NUMBER = re.compile(rf"(?:{_WORDS})[ ,.-]{{1,2}}(?:{_WORDS}|[0-9])|[0-9][ ,.-]{{1,2}}(?:{_WORDS})|plus[ -]+[0-9]")
@@ -132,11 +149,13 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]]:
     edits: list[tuple[int, int, str]] = []
     if foreign:
         edits += [(m.start(), m.end(), "") for m in _HIDDEN.finditer(text)]
-    spelled = [m for m in _SPELLED_ADDRESS.finditer(folded) if _disguised(m)] if _HAS_ADDRESS.search(folded) else []
+    low = (folded if folded.isascii() else folded.translate(_SMALL)).lower()
+    may_have = any(w in low for w in _AT_PLACES) and _HAS_ADDRESS.search(folded)
+    spelled = [m for m in _SPELLED_ADDRESS.finditer(folded) if _disguised(m)] if may_have else []
     spelled += _SPELLED_QUAD.finditer(folded) if _HAS_QUAD.search(folded) else []
     for m in spelled:
         edits += [(m.start() + x.start(), m.start() + x.end(), "." if x["dot"] else "@") for x in _AT_OR_DOT.finditer(m[0]) if len(x[0]) > 1]
-    if _HAS_NUMBER.search(folded.translate(_SMALL).lower() if not folded.isascii() else folded.lower()):
+    if _HAS_NUMBER.search(low):
         for m in _SPELLED_NUMBER.finditer(folded):
             edits += [(m.start() + x.start(), m.start() + x.end(), "+" if x[1] else NUMBER_WORDS[x[2].translate(_SMALL).lower()]) for x in _NUMBER_WORD.finditer(m[0])]
     if not edits and folded == text:
@@ -156,14 +175,19 @@ def deobfuscate(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def _disguised(m: re.Match) -> bool:
-    """Whether a spelled address is more than prose: 'see us at example.com' and 'met @ 10.30' are none.
+    """Whether a spelled address is more than prose, such as 'see us at example.com', 'met @ 10.30' or 'look at the dot com boom'.
 
-    A bare 'at' counts only with a dot in words or brackets, and the last label has a letter.
+    A bare 'at' counts only with a dot in words or brackets, and the last label has a letter. Without any bracket, the last
+    label must be a top-level domain, and words of prose name neither the mailbox nor the domain.
     """
     domain = m["domain"]
     at = m[0][m.end("local") - m.start() : -len(domain)].strip(" \t").lower()
-    last = _AT_OR_DOT.split(domain)[-1]
-    return (at != "at" or not _PLAIN_DOMAIN.fullmatch(domain)) and any(c.isalpha() for c in last or "")
+    labels = [x for x in _AT_OR_DOT.split(domain) if x and not _AT_OR_DOT.fullmatch(x)]
+    if at == "at" and _PLAIN_DOMAIN.fullmatch(domain) or not any(c.isalpha() for c in labels[-1]):
+        return False
+    if at[0] in "([{<" or any(c in domain for c in "([{<"):
+        return True
+    return labels[-1].lower() in TOP_LEVEL and m["local"].lower() not in BEFORE_AT and labels[0].lower() not in BEHIND_AT
 
 
 def all_spans(text: str, plain: list[Span]) -> list[Span]:
