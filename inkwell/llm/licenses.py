@@ -39,7 +39,8 @@ FAMILIES = [
     ("afl", ["academic free"], ["1 1", "1 2", "2 0", "2 1", "3 0"]),
     ("osl", ["open software"], ["1 0", "1 1", "2 0", "2 1", "3 0"]),
     ("artistic", ["artistic"], ["1 0", "2 0"]),
-    ("bsl", ["boost software", "business source"], ["1 0", "1 1"]),
+    ("boost", ["boost software"], ["1 0"]),
+    ("busl", ["business source"], ["1 0", "1 1"]),
     ("lppl", ["latex project public"], ["1 0", "1 1", "1 2", "1 3"]),
     ("zpl", ["zope public"], ["1 1", "2 0", "2 1"]),
     ("odbl", ["open database"], ["1 0"]),
@@ -64,7 +65,47 @@ NOTICES = [
     ("neither the name of (?:the )?[^ ]+ nor the names of its contributors", "neither the name", 1, "bsd-3-clause"),
     ("(?:new |modified |revised )bsd licen[cs]e", "bsd licen", 1, "bsd-3-clause"),
     ("(?:simplified |freebsd )bsd licen[cs]e", "bsd licen", 1, "bsd-2-clause"),
-    ("bsd ([0-4]) clause(?: licen[cs]e)?", "bsd", 1, "bsd"),
+    ("bsd (?:3|three) clause(?: licen[cs]e)?", "bsd", 1, "bsd-3-clause"),
+    ("(?:3|three) clause bsd(?: licen[cs]e)?", "clause bsd", 1, "bsd-3-clause"),
+    ("bsd (?:2|two) clause(?: licen[cs]e)?", "bsd", 1, "bsd-2-clause"),
+    ("(?:2|two) clause bsd(?: licen[cs]e)?", "clause bsd", 1, "bsd-2-clause"),
+    ("bsd (?:4|four) clause(?: licen[cs]e)?", "bsd", 1, "bsd-4-clause"),
+    ("bsd (?:1|one) clause(?: licen[cs]e)?", "bsd", 1, "bsd-1-clause"),
+    ("(?:0bsd|bsd (?:0|zero) clause)(?: licen[cs]e)?", "bsd", 1, "0bsd"),
+    ("all advertising materials mentioning features or use of this software must display", "all advertising materials", 1, "bsd-4-clause"),
+    ("(?:mit|expat|x11) licensed", "licensed", 1, "mit"),
+    ("licensed under (?:the )?(?:terms of (?:the )?)?(?:mit|expat|x11)", "licensed under", 1, "mit"),
+    ("(?:bsd|isc|zlib) licensed", "licensed", 2, "permissive"),
+    ("(?:apache|asl) licensed", "licensed", 2, "apache"),
+    ("apache 2(?: 0)?", "apache 2", 1, "apache-2"),
+    ("ms pl", "ms pl", 2, "ms-pl"),
+    ("microsoft public licen[cs]e", "microsoft public", 1, "ms-pl"),
+    ("ms rl", "ms rl", 2, "ms-rl"),
+    ("microsoft reciprocal licen[cs]e", "microsoft reciprocal", 1, "ms-rl"),
+    ("unicode (?:data files and software )?licen[cs]e(?: agreement)?", "unicode", 1, "unicode"),
+    ("postgresql licen[cs]e", "postgresql licen", 1, "postgresql"),
+    ("wtfpl", "wtfpl", 1, "wtfpl"),
+    ("blue oak model licen[cs]e(?: 1 0 0)?", "blue oak", 1, "blueoak-1.0.0"),
+    ("mulan permissive software licen[cs]e", "mulan permissive", 1, "mulanpsl"),
+    ("openssl licen[cs]e", "openssl licen", 1, "openssl"),
+    ("server side public licen[cs]e", "server side public", 1, "sspl"),
+    ("elastic licen[cs]e(?: 2 0)?", "elastic licen", 1, "elastic"),
+    ("universal permissive licen[cs]e", "universal permissive", 1, "upl"),
+    ("university of illinois ncsa open source licen[cs]e", "ncsa", 1, "ncsa"),
+    ("(?:w3c|world wide web consortium) software (?:notice and )?licen[cs]e", "software", 1, "w3c"),
+    ("historical permission notice and disclaimer", "historical permission", 1, "hpnd"),
+    ("academic software licen[cs]e", "academic software", 2, "academic"),
+    ("open government licen[cs]e(?: v ?[123]| version [123])?", "open government", 1, "ogl"),
+    ("sleepycat licen[cs]e", "sleepycat", 1, "sleepycat"),
+    ("the software is provided as is without warranty of any kind", "provided as is", 2, "as-is-notice"),
+    ("this software is provided (?:by .{1,80} )?as is (?:and any express|without any express)", "provided", 2, "as-is-notice"),
+    ("everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document", "verbatim copies", 1, "gpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "free software you can", 1, "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", "free software you can", 1, "lgpl"),
+    ("altered source versions must be plainly marked as such", "altered source versions", 1, "zlib"),
+    ("this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "source code form is", 1, "mpl-2"),
+    ("licensed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except in compliance", "except in compliance", 1, "apache-2"),
+    ("(?:you may not|may not) use this (?:file|work) except in compliance with the licen[cs]e", "except in compliance", 2, "apache"),
     ("bsd licen[cs]e", "bsd licen", 2, "bsd"),
     ("zlib licen[cs]e", "zlib licen", 2, "zlib"),
     ("python software foundation licen[cs]e", "python software", 2, "psf"),
@@ -98,7 +139,7 @@ def signature_rules() -> list[tuple[str, str, int, str]]:
             rules += [(form.format(name=name, v=version), name, 1, label) for name in names for form in VERSION_FORMS]
             short = SHORT.get(family)
             if short:
-                rules.append((f"{short} ?(?:version )?v? ?{version}(?: or later| only)?", short, 1, label))
+                rules.append((f"{short} ?(?:version )?v? ?{version}(?: or later| only)?(?! (?:times|percent|years|days|files|of))", short, 1, label))
             rules.append((f"spdx licen[cs]e identifier {short or family} {version}(?: or later| only)?", "identifier", 0, label))
         rules += [(f"{name} licen[cs]e", name, 2, family) for name in names]
     for (short, long), version in product(CC_PARTS.items(), CC_VERSIONS):
@@ -109,8 +150,11 @@ def signature_rules() -> list[tuple[str, str, int, str]]:
     for short, long in CC_PARTS.items():
         rules.append((f"cc {short}", "cc by", 2, "cc-" + short.replace(" ", "-")))
         rules.append((f"creative commons {long}(?: licen[cs]e)?", "creative commons", 2, "cc-" + short.replace(" ", "-")))
-    for name in ("mit", "isc", "zlib", "unlicense", "wtfpl", "bsd 2 clause", "bsd 3 clause", "cc0 1 0"):
-        rules.append((f"spdx licen[cs]e identifier {name}", "identifier", 0, name.replace(" ", "-").removesuffix("-1-0")))
+    for name in ("mit", "isc", "zlib", "unlicense", "wtfpl", "0bsd", "bsd 2 clause", "bsd 3 clause", "cc0 1 0", "ms pl", "postgresql", "ncsa", "upl 1 0"):
+        label = name.replace(" ", "-").removesuffix("-1-0")
+        rules.append((f"spdx licen[cs]e identifier {name}", "identifier", 0, label))
+        # another operand of the tag's expression
+        rules.append((f"(?<=licen[cs]e identifier[ a-z0-9]{{1,120}} (?:or|and) ){name}", "identifier", 0, label))
     return rules
 
 
