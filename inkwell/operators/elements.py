@@ -77,20 +77,42 @@ def style_levels(fragments: DataFrame, long_text: int = 60) -> DataFrame:
     return larger.select("doc_id", "font", "size", F.least(F.lit(6), F.row_number().over(order)).alias("level"))
 
 
-def heading_eligibility(fragments: DataFrame, most_chars: int = 110, gap: float = 1.2) -> DataFrame:
-    """Headings (tag H1..H6) with ``demoted`` (a reason or null) and ``level`` anew from clusters of sizes.
-
-    A cluster's sizes lie within ``gap`` of its largest; levels count clusters from the largest size, at most 6.
+#: Fixed values
+HEADING_TAG = "^H[1-6]$"
+RULE_ONLY = r"^[\s_.\-–—·•]+$"
+ENUMERATOR = r"^\(?\s*(\d{1,2}|[ivxIVX]{1,4}|[a-zA-Z])\s*[.)]?\s*$"
+
+
+def heading_eligibility(fragments: DataFrame, most_chars: int = 110, gap: float = 1.2, baseline: float = 4.0) -> DataFrame:
+    """Headings (tag H1..H6) with ``demoted`` (a reason or null), ``merged_into``, ``label`` and ``level`` anew.
+
+    fragments: doc_id, page, seq, tag, text, size, bold, x (left edge) and y (upper edge, upwards). A document's body size is the
+    most common whole size of texts of over 40 characters that are no headings (ties to the first met; 10 without any). In this
+    order a heading is demoted that is rule_only (empty or lines), an enumerator, too_long, run_in (a text of eight characters or
+    more that is no heading begins right of it on its baseline), sub_body (below 0.92 of the body size) or not_prominent (not
+    bold and at most 1.02 of it). An enumerator left of a heading that stays, on one baseline, is merged into the nearest one and
+    is its ``label``. Levels count clusters of sizes, from the largest, that lie within ``gap`` of their first; in reading order
+    none is more than one below the one before it.
     """
-    body = fragments.where(~F.col("tag").rlike("^H[1-6]$")).groupBy("doc_id").agg(F.max_by("size", F.length("text")).alias("body_size"))
-    t = strip("text")
-    rows = fragments.where(F.col("tag").rlike("^H[1-6]$")).join(body, "doc_id", "left")
+    t = strip(F.coalesce("text", F.lit("")))
+    line = Window.partitionBy("doc_id", "page", "bucket")
+    rows = fragments.select("doc_id", "page", "seq", t.alias("text"), F.coalesce("size", F.lit(0.0)).alias("size"), F.coalesce("bold", F.lit(False)).alias("bold"), "x", "y", F.bround(F.col("y") / baseline).alias("bucket"), F.col("tag").rlike(HEADING_TAG).alias("heading"))
+    sizes = rows.where(~F.col("heading") & (F.length("text") > 40)).groupBy("doc_id", F.bround("size").alias("whole")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    body = sizes.groupBy("doc_id").agg(F.max_by("whole", F.struct("n", -F.col("first"))).alias("body"))
+    plain = F.max(F.when(~F.col("heading") & (F.length("text") >= 8), F.col("x"))).over(line)
+    rows = rows.withColumn("rightmost", plain).where("heading").join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
     reason = (
-        F.when(t.rlike(r"^[\W_]*$"), "rule_only").when(t.rlike(r"^\(?(?:\d+|[ivxIVX]+|[A-Za-z])[.)]$"), "enumerator").when(F.length(t) > most_chars, "too_long")
-        .when(t.rlike(r"[.;,]$"), "run_in").when(F.col("size") < F.col("body_size"), "sub_body").when((F.col("size") <= F.col("body_size")) & ~F.col("bold"), "not_prominent")
+        F.when((F.col("text") == "") | F.col("text").rlike(RULE_ONLY), "rule_only").when(F.col("text").rlike(ENUMERATOR), "enumerator").when(F.length("text") > most_chars, "too_long")
+        .when(F.col("rightmost") > F.col("x") + 3, "run_in").when(F.col("size") < F.col("body") * 0.92, "sub_body").when((F.col("size") <= F.col("body") * 1.02) & ~F.col("bold"), "not_prominent")
     )
-    rows = rows.withColumn("demoted", reason)
-    sizes = rows.where("demoted is null").groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set("size"))).alias("sizes"))
+    rows = rows.withColumn("reason", reason)
+    # the nearest heading right of a place: the last one that stays, from the right, among those with a larger x
+    rows = rows.withColumn("from_right", F.dense_rank().over(line.orderBy(F.desc("x"))))
+    right = line.orderBy("from_right").rangeBetween(Window.unboundedPreceding, -1)
+    mate = F.last(F.when(F.col("reason").isNull(), F.col("seq")), True).over(right)
+    rows = rows.withColumn("merged_into", F.when(F.col("reason") == "enumerator", mate))
+    labels = rows.where("merged_into is not null").groupBy("doc_id", F.col("merged_into").alias("seq")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "text"))), lambda e: e.text), " ").alias("label"))
+    stays = rows.where("reason is null").withColumn("rounded", F.round("size", 1))
     zero = F.struct(F.lit(None).cast("double").alias("head"), F.lit(0).alias("level"), F.create_map().cast("map<double,int>").alias("of"))
 
     def step(state: Column, size: Column) -> Column:
@@ -98,8 +120,13 @@ def heading_eligibility(fragments: DataFrame, most_chars: int = 110, gap: float
         level = F.when(fresh, F.least(F.lit(6), state.level + 1)).otherwise(state.level)
         return F.struct(F.when(fresh, size).otherwise(state.head).alias("head"), level.alias("level"), F.map_concat(state.of, F.create_map(size, level)).alias("of"))
 
-    clusters = sizes.select("doc_id", F.aggregate("sizes", zero, step, lambda s: s.of).alias("of"))
-    return rows.join(clusters, "doc_id", "left").select("doc_id", "page", "seq", "text", "size", "demoted", F.when(F.col("demoted").isNull(), F.col("of")[F.col("size")]).alias("level"))
+    clusters = stays.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set("rounded"))).alias("sizes")).select("doc_id", F.aggregate("sizes", zero, step, lambda s: s.of).alias("of"))
+    order = Window.partitionBy("doc_id").orderBy("page", F.desc("y"), "x", "seq")
+    levelled = stays.join(clusters, "doc_id").withColumns({"n": F.row_number().over(order), "level": F.col("of")[F.col("rounded")]})
+    # a level is at most its predecessor's plus one: the least of all earlier levels and the steps since
+    levelled = levelled.select("doc_id", "seq", (F.min(F.col("level") - F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("n")).alias("level"))
+    out = rows.join(levelled, ["doc_id", "seq"], "left").join(labels, ["doc_id", "seq"], "left")
+    return out.select("doc_id", "page", "seq", "text", "size", F.when(F.col("merged_into").isNull(), F.col("reason")).alias("demoted"), "merged_into", "label", "level")
 
 
 def reconstruct_lines(word_rows: DataFrame, tolerance: float = 3.0) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize_label, slugify
-from .prep import sentences
+from .cycles import strong_components
+from .prep import sentence_array
 
 #: Fixed values
 STOPWORDS = [
@@ -22,6 +27,7 @@ PHRASES = [
     ("is a", "IS_A"), ("is an", "IS_A"), ("are", "IS_A"), ("part of", "PART_OF"), ("depends on", "DEPENDS_ON"), ("written by", "WRITTEN_BY"),
     ("authored by", "WRITTEN_BY"), ("explains", "EXPLAINS"), ("causes", "CAUSES"), ("caused", "CAUSES"),
 ]
+WORD_CHARACTER = re.compile("[A-Za-z0-9_]")
 PROPER_NOUNS = r"(?<![\p{L}\p{N}_])([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)(?![\p{L}\p{N}_])"
 
 
@@ -55,21 +61,45 @@ def _inferred(between: Column) -> Column:
 def relations(corpus: DataFrame, nodes: DataFrame, match: str = "substring") -> DataFrame:
     """doc_id, source, target, relationship_type: labels of a document that follow each other in a sentence.
 
-    nodes: doc_id, pos, label. Sentences meet only the labels of their own document. ``match='word'`` asks for whole words.
+    nodes: doc_id, pos, label; a label's first place in a sentence counts, ties in the order of pos. A document's labels make one
+    automaton that finds all of them in one pass over each of its sentences. ``match='word'`` asks for whole words. Empty labels
+    and repetitions of a label are left out.
     """
-    labels = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("nodes"))
-    rows = sentences(corpus).join(labels, "doc_id")
-    at = (lambda l: F.instr(F.col("sentence"), l)) if match == "substring" else (lambda l: F.regexp_instr(F.col("sentence"), F.concat(F.lit(r"(?<!\w)\Q"), l, F.lit(r"\E(?!\w)"))))
-    placed = F.filter(F.transform("nodes", lambda n: F.struct(at(n.label).alias("at"), n.pos.alias("pos"), n.label.alias("label"))), lambda n: n["at"] > 0)
-    rows = rows.select("doc_id", "position", "sentence", F.array_sort(placed).alias("found")).where(F.size("found") > 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("found") - 2), lambda i: F.struct(F.get("found", i).alias("s"), F.get("found", i + 1).alias("t"), i.alias("i")))
-    rows = rows.select("doc_id", "position", "sentence", F.explode(pairs).alias("p"))
-    begin = F.col("p.s.at") + F.length("p.s.label")
-    rest = F.substring(F.col("sentence"), begin, F.length("sentence"))
-    upto = F.instr(rest, F.col("p.t.label"))
-    between = F.when(upto > 0, F.lower(F.substring(rest, F.lit(1), upto - 1))).otherwise("")
-    found = rows.select("doc_id", F.col("p.s.label").alias("source"), F.col("p.t.label").alias("target"), _inferred(between).alias("relationship_type"))
-    return found.distinct()
+    if match not in ("substring", "word"):
+        raise ValueError(f"no way to match called {match!r}")
+    labels = nodes.where("label <> ''").groupBy("doc_id", "label").agg(F.min("pos").alias("pos")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("nodes"))
+    rows = corpus.join(labels.where(F.size("nodes") > 1), "doc_id").select("doc_id", sentence_array("text").alias("sentences"), F.col("nodes.label").alias("labels"))
+    id_type = dict(corpus.dtypes)["doc_id"]
+
+    def follow(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for key, said, names in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                index = ahocorasick.Automaton()
+                for k, name in enumerate(names):
+                    index.add_word(name, k)
+                index.make_automaton()
+                for sentence in said:
+                    places: dict[int, int] = {}
+                    for last, k in index.iter(sentence):
+                        at = last + 1 - len(names[k])
+                        if k not in places and (match == "substring" or _is_word(sentence, at, last + 1)):
+                            places[k] = at
+                    found = sorted(places, key=lambda k: (places[k], k))
+                    for s, t in zip(found, found[1:]):
+                        begin = places[s] + len(names[s])
+                        upto = sentence.find(names[t], begin)
+                        out.append((key, names[s], names[t], sentence[begin:upto] if upto >= 0 else ""))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0].as_py() for o in out], batch.schema.field(0).type), *[pa.array([o[i] for o in out], pa.string()) for i in (1, 2, 3)]], names=["doc_id", "source", "target", "between"]
+            )
+
+    pairs = rows.mapInArrow(follow, f"doc_id {id_type}, source string, target string, between string")
+    return pairs.select("doc_id", "source", "target", _inferred(F.lower("between")).alias("relationship_type")).distinct()
+
+
+def _is_word(sentence: str, begin: int, end: int) -> bool:
+    return not (begin and WORD_CHARACTER.match(sentence[begin - 1]) or end < len(sentence) and WORD_CHARACTER.match(sentence[end]))
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,50 +131,18 @@ def graph_issues(nodes: DataFrame, edges: DataFrame, allow_cycles: bool = True)
     loops = edges.where("source = target").select("doc_id", F.lit("self_loop"), "source").distinct()
     untyped = edges.where("coalesce(trim(relationship_type), '') = ''").select("doc_id", F.lit("empty_type"), "source").distinct()
     out = ids.union(labels).union(dangling).union(loops).union(untyped)
-    return out if allow_cycles else out.union(on_cycles(edges).select("doc_id", F.lit("cycle"), F.col("node")))
-
-
-def on_cycles(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """doc_id, node: nodes that stay when those without incoming or outgoing edges are removed until none is left to remove."""
-    left = edges.where("source != target").select("doc_id", "source", "target").distinct()
-    for _ in range(rounds):
-        n = left.count()
-        heads, tails = left.select("doc_id", F.col("target").alias("source")).distinct(), left.select("doc_id", F.col("source").alias("target")).distinct()
-        left = left.join(heads, ["doc_id", "source"], "left_semi").join(tails, ["doc_id", "target"], "left_semi").select("doc_id", "source", "target")
-        left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.persist()
-        if left.count() == n:
-            break
-    return left.select("doc_id", F.col("source").alias("node")).distinct()
+    return out if allow_cycles else out.union(strong_components(edges, nodes).select("doc_id", F.lit("cycle"), "node"))
 
 
 def build_graph(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, issues) of every document."""
-    shift = 1_000_000
-    nodes = entities(corpus).unionByName(concepts(corpus).withColumn("pos", F.col("pos") + shift))
+    # concepts stand behind all entities, of which an array holds less than 2^31
+    first = entities(corpus).withColumn("pos", F.col("pos").cast("long"))
+    nodes = first.unionByName(concepts(corpus).withColumn("pos", F.col("pos").cast("long") + (1 << 32)))
     merged, edges = merge_nodes(nodes, relations(corpus, nodes))
     return merged, edges, graph_issues(merged, edges)
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
-    """nodes (doc_id, node_id, parent_id, type) with depth, parent_type and ancestors (root first)."""
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(doc_id, node_id, type, depth, parent_type, ancestors) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT doc_id, node_id, type, 0, CAST(NULL AS STRING), CAST(array() AS ARRAY<STRING>) FROM {{tree_nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.doc_id, n.node_id, n.type, w.depth + 1, w.type, concat(w.ancestors, array(w.type)) FROM {{tree_nodes}} n JOIN walk w ON n.doc_id = w.doc_id AND n.parent_id = w.node_id
-        ) SELECT * FROM walk""",
-        tree_nodes=nodes,
-    )
-
-
-def tree_statistics(nodes: DataFrame) -> DataFrame:
-    """doc_id, elements, max_depth, types, counts (map by type)."""
-    flat = flatten_tree(nodes)
-    counts = flat.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.max("depth").alias("d"))
-    return counts.groupBy("doc_id").agg(F.sum("n").alias("elements"), F.max("d").alias("max_depth"), F.count("*").alias("types"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"))
-
-
 def chapter_rows(nodes: DataFrame) -> DataFrame:
     """Chapters of trees (doc_id, node_id, parent_id, type, label, pos): unit and section are the nearest labelled ancestors.
 

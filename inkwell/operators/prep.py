@@ -63,10 +63,14 @@ def _tidy(c: Column) -> Column:
     return strip(c)
 
 
+def sentence_array(text: Column | str) -> Column:
+    """The sentences of a text: cut behind . ! ? and white space, inner white space collapsed."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.array_join(words(s), " ")), lambda s: s != "")
+
+
 def sentences(corpus: DataFrame) -> DataFrame:
-    """doc_id, position from 0, sentence: cut behind . ! ? and white space, inner white space collapsed."""
-    cut = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.array_join(words(s), " ")), lambda s: s != "")
-    return corpus.select("doc_id", F.posexplode(cut).alias("position", "sentence"))
+    """doc_id, position from 0, sentence."""
+    return corpus.select("doc_id", F.posexplode(sentence_array("text")).alias("position", "sentence"))
 
 
 def blocks(corpus: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import elements as el
-from ..operators import graph, rules
+from ..operators import cycles, rules
+from ..operators import trees as tr
 from ..sources.tables import table
 
 DOC = {"doc_id": "p_partkey - p_partkey % 20", "seq": "p_partkey"}
@@ -69,6 +70,11 @@ WORDS = {"doc_id": "p_partkey - p_partkey % 20", "page": "p_partkey % 2", "size"
 PAGES = {"doc_id": "p_partkey - p_partkey % 2", "page": "p_partkey % 2", "n_images": "p_partkey % 3", "rotation": "(p_partkey % 3) * 90", "watermarks": "p_partkey % 5"}
 FACTS = {"doc_id": "p_partkey - p_partkey % 20", "page": "p_partkey % 2", "width": "300.0", "n_images": "(p_partkey - p_partkey % 20) % 3", "rotation": "((p_partkey - p_partkey % 20) % 7) * 90", "watermarks": "p_partkey % 5"}
 FACTS_OF = "p_partkey % 20 < 2"
+FRAGMENTS = {
+    "doc_id": "p_partkey - p_partkey % 40", "page": "CASE WHEN p_partkey % 40 < 20 THEN 1 ELSE 2 END", "seq": "p_partkey", "tag": "CASE WHEN p_partkey % 2 = 0 OR p_size % 3 > 0 THEN 'H' || CAST(1 + p_size % 6 AS STRING) ELSE 'P' END",
+    "text": "CASE p_size % 9 WHEN 0 THEN '(' || CAST(p_partkey % 30 AS STRING) || ')' WHEN 1 THEN CASE WHEN p_partkey % 3 = 0 THEN ' __ - ' ELSE p_name END WHEN 2 THEN repeat(p_name || ' ', 9) WHEN 3 THEN NULL ELSE p_name END",
+    "size": "CAST(CASE WHEN p_partkey % 2 = 1 AND p_size % 3 = 0 THEN 9 + p_size % 2 ELSE 8 + (p_size % 12) * 0.85 END AS DOUBLE)", "bold": "p_size % 5 = 0", "x": "CAST(50 + (p_partkey % 2) * 100 AS DOUBLE)", "y": "CAST(700 - (p_partkey % 20 - p_partkey % 2) * 7 - p_size % 2 AS DOUBLE)",
+}
 EVIDENCE = {
     "doc_id": "p_partkey - p_partkey % 20", "tool": "CASE p_partkey % 3 WHEN 0 THEN 'nvda' WHEN 1 THEN ' JAWS ' ELSE 'other' END", "tool_version": "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '1' END", "tester": "'t'", "tested_at": "'2024-01-' || CAST(10 + p_partkey % 20 AS STRING)",
     "result": "CASE p_partkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'n/a' ELSE NULL END", "document_sha256": "CASE WHEN p_partkey % 5 = 0 THEN 'old' ELSE 'H' || CAST(p_partkey - p_partkey % 20 AS STRING) END",
@@ -331,16 +337,24 @@ def word_states(s, d):
     return rules.report(all_word_rules(s, d), scope(s, [*rules.WORD_SEVERITY, "STR-999"]), 1, 7)[1]
 
 
+def looped_parts(s, d):
+    """Parts that lie on a cycle of two links for each part, some of which lead to parts of the other group."""
+    parts = table(s, d, "part")
+    last = parts.agg(F.max("p_partkey").alias("last"))
+    ends = parts.join(F.broadcast(last)).select((F.col("p_partkey") % 2).alias("doc_id"), F.col("p_partkey").alias("source"), F.explode(F.array((F.col("p_partkey") * 7 + F.col("p_size") * 13) % F.col("last"), (F.col("p_partkey") * 3 + F.col("p_size") * 11) % F.col("last"))).alias("target"))
+    return cycles.strong_components(ends, parts.select((F.col("p_partkey") % 2).alias("doc_id"), F.col("p_partkey").alias("id")))
+
+
 def alt_classes(s, d):
     return rules.alt_quality(made(s, d, FIGURES)).groupBy("doc_id", "alt_class").agg(F.count("*").alias("n"), F.count_if("caption_sufficient").alias("captioned"), F.count_if("decorative_by_size").alias("tiny"))
 
 
 def trees(s, d):
-    return rules.tree_checks(graph.flatten_tree(made(s, d, NODES)))
+    return rules.tree_checks(tr.flatten_tree(made(s, d, NODES), ancestors=False))
 
 
 def tree_sizes(s, d):
-    return graph.tree_statistics(made(s, d, NODES)).select("doc_id", "elements", "max_depth", "types", F.col("counts")["P"].alias("paragraphs"))
+    return tr.tree_statistics(made(s, d, NODES)).select("doc_id", "elements", "max_depth", "types", F.col("counts")["P"].alias("paragraphs"))
 
 
 def layouts(s, d):
@@ -373,7 +387,7 @@ FAMILIES = {
 QUERIES = {
     **{name: (lambda s, d, family=family: summed(family(s, d))) for name, (family, _, _) in FAMILIES.items()},
     "r14_screen_reader": lambda s, d: rules.screen_reader(made(s, d, EVIDENCE), meta(s, d)),
-    "r17_run_word_checks": all_word_rules, "r17_run_slide_checks": all_slide_rules, "r17_run_page_checks": all_page_rules, "r17_word_report": word_report, "r17_word_states": word_states, "r7_alt_quality": alt_classes, "r15_tree_checks": trees, "a18_tree_statistics": tree_sizes, "r16_page_layout": layouts,
+    "r17_run_word_checks": all_word_rules, "r17_run_slide_checks": all_slide_rules, "r17_run_page_checks": all_page_rules, "w11_heading_eligibility": lambda s, d: el.heading_eligibility(made(s, d, FRAGMENTS)), "n5_cycles": looped_parts, "r17_word_report": word_report, "r17_word_states": word_states, "r7_alt_quality": alt_classes, "r15_tree_checks": trees, "a18_tree_statistics": tree_sizes, "r16_page_layout": layouts,
 }
 _RANK = "CASE status WHEN 'FAIL' THEN 3 WHEN 'WARNING' THEN 2 ELSE 1 END"
 _WALK = f"""WITH RECURSIVE {cte("nodes", NODES)}, walk AS (SELECT doc_id, node_id, type, 0 AS depth FROM nodes WHERE parent_id IS NULL
@@ -425,6 +439,21 @@ ORACLES = {
     **{name: summed_sql(ctes, found) for name, (_, ctes, found) in FAMILIES.items()},
     "r14_screen_reader": f"WITH {SCREEN} SELECT * FROM tested",
     "r17_run_word_checks": _WORD_RUN,
+    "w11_heading_eligibility": rf"""WITH RECURSIVE {cte("f0", FRAGMENTS)}, f AS (SELECT *, trim(coalesce("text", '')) AS t, round_even(y / 4.0, 0) AS bucket, tag LIKE 'H_' AS heading FROM f0),
+ bodies AS (SELECT doc_id, round_even("size", 0) AS body FROM f WHERE NOT heading AND length(t) > 40 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(seq)) = 1),
+ judged AS (SELECT f.*, CASE WHEN regexp_matches(t, '^[\s_.\-–—·•]*$') THEN 'rule_only' WHEN regexp_matches(t, '^\(?\s*(\d{{1,2}}|[ivxIVX]{{1,4}}|[a-zA-Z])\s*[.)]?\s*$') THEN 'enumerator' WHEN length(t) > 110 THEN 'too_long'
+   WHEN EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.page = f.page AND o.bucket = f.bucket AND NOT o.heading AND o.x > f.x + 3 AND length(o.t) >= 8) THEN 'run_in'
+   WHEN "size" < coalesce(body, 10) * 0.92::DOUBLE THEN 'sub_body' WHEN "size" <= coalesce(body, 10) * 1.02::DOUBLE AND NOT bold THEN 'not_prominent' END AS reason FROM f LEFT JOIN bodies USING (doc_id) WHERE heading),
+ merged AS (SELECT e.doc_id, e.seq, arg_min(h.seq, h.x) AS merged_into, any_value(e.t) AS t, any_value(e.x) AS x FROM judged e JOIN judged h ON h.doc_id = e.doc_id AND h.page = e.page AND h.bucket = e.bucket AND h.reason IS NULL AND h.x > e.x WHERE e.reason = 'enumerator' GROUP BY 1, 2),
+ labels AS (SELECT doc_id, merged_into AS seq, string_agg(t, ' ' ORDER BY x, seq) AS label FROM merged GROUP BY 1, 2), stays AS (SELECT *, round("size", 1) AS s FROM judged WHERE reason IS NULL),
+ heads AS (SELECT doc_id, max(s) AS s, 1 AS n FROM stays GROUP BY doc_id UNION ALL SELECT h.doc_id, (SELECT max(u.s) FROM stays u WHERE u.doc_id = h.doc_id AND h.s - u.s > 1.2::DOUBLE), n + 1 FROM heads h WHERE h.s IS NOT NULL),
+ styled AS (SELECT st.*, least(6, (SELECT max(n) FROM heads h WHERE h.doc_id = st.doc_id AND h.s >= st.s)) AS lv FROM stays st), numbered AS (SELECT *, row_number() OVER w AS n FROM styled WINDOW w AS (PARTITION BY doc_id ORDER BY page, y DESC, x, seq)),
+ clamped AS (SELECT doc_id, seq, lv, n, lv AS "level" FROM numbered WHERE n = 1 UNION ALL SELECT k.doc_id, k.seq, k.lv, k.n, least(k.lv, c."level" + 1) FROM clamped c JOIN numbered k ON k.doc_id = c.doc_id AND k.n = c.n + 1)
+ SELECT j.doc_id, j.page, j.seq, j.t AS "text", j."size", CASE WHEN m.seq IS NULL THEN reason END AS demoted, merged_into, label, c."level" FROM judged j LEFT JOIN merged m USING (doc_id, seq) LEFT JOIN labels l USING (doc_id, seq) LEFT JOIN clamped c USING (doc_id, seq)""",
+    "n5_cycles": """WITH RECURSIVE e AS (SELECT p_partkey % 2 AS doc_id, p_partkey AS s, (p_partkey * 7 + p_size * 13) % (SELECT max(p_partkey) FROM part) AS t FROM part UNION ALL SELECT p_partkey % 2, p_partkey, (p_partkey * 3 + 11 * p_size) % (SELECT max(p_partkey) FROM part) FROM part),
+ known AS (SELECT p_partkey % 2 AS doc_id, p_partkey AS n FROM part), g AS (SELECT DISTINCT e.* FROM e JOIN known k ON k.doc_id = e.doc_id AND k.n = e.t),
+ reach AS (SELECT doc_id, s, t FROM g UNION SELECT r.doc_id, r.s, g.t FROM reach r JOIN g ON g.doc_id = r.doc_id AND g.s = r.t)
+ SELECT a.doc_id, a.s::VARCHAR AS node, min(b.t::VARCHAR) AS component FROM reach a JOIN reach b ON b.doc_id = a.doc_id AND b.s = a.s JOIN reach c ON c.doc_id = a.doc_id AND c.s = b.t AND c.t = a.s WHERE a.s = a.t GROUP BY 1, 2""",
     "r7_alt_quality": f"""WITH {cte("figures", FIGURES)}, k AS (SELECT *, CASE WHEN {blank("alt")} THEN 'empty' WHEN alt IN (' Figure ', 'a.svg') THEN 'placeholder' WHEN alt LIKE '12%' THEN 'corrupt' WHEN alt LIKE 'many%' THEN 'dump' ELSE 'ok' END AS alt_class FROM figures)
  SELECT doc_id, alt_class, count(*) AS n, count(*) FILTER (caption LIKE 'one%') AS captioned, count(*) FILTER (width < 24) AS tiny FROM k GROUP BY ALL""",
     "r15_tree_checks": f"{_WALK} SELECT doc_id, count(*) AS elements, count(*) <= 1 AS is_empty, max(depth) <= 1 AS is_flat FROM walk GROUP BY doc_id",

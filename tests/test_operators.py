@@ -6,7 +6,7 @@ import time
 
 import pytest
 from inkwell.functions import text as ft
-from inkwell.operators import catalog, evaluate, graph, guard, lifecycle, manuscript, prep, score, vectors, web
+from inkwell.operators import catalog, evaluate, graph, guard, lifecycle, manuscript, prep, score, trees, vectors, web
 from inkwell.sources import files
 from inkwell.streaming import jobs
 from pyspark.sql import functions as F
@@ -300,14 +300,12 @@ def test_graph(spark):
     assert {(r.id, tuple(r.aliases)) for r in merged.collect()} == {("open_ai", ("OpenAI",)), ("x", ())}
     assert {(r.source, r.target) for r in after.collect()} == {("open_ai", "x"), ("x", "x")}
     assert {(r.issue, r.subject) for r in graph.graph_issues(merged, after).collect()} == {("self_loop", "x"), ("empty_type", "x")}
-    ring = spark.createDataFrame([(1, "a", "b", "R"), (1, "b", "c", "R"), (1, "c", "a", "R"), (1, "c", "d", "R"), (2, "a", "b", "R")], "doc_id long, source string, target string, relationship_type string")
-    assert {(r.doc_id, r.node) for r in graph.on_cycles(ring).collect()} == {(1, "a"), (1, "b"), (1, "c")}
 
 
 def test_trees(spark):
     rows = [("d", 1, None, "root", "Root", 0), ("d", 2, 1, "section", "S", 1), ("d", 3, 2, "unit", "U1", 2), ("d", 4, 3, "chapter", "c1", 3), ("d", 5, 3, "chapter", "c2", 4), ("d", 6, 2, "unit", "U2", 5), ("d", 7, 6, "chapter", "c3", 6)]
     nodes = spark.createDataFrame(rows, "doc_id string, node_id int, parent_id int, type string, label string, pos int")
-    stats = graph.tree_statistics(nodes).first()
+    stats = trees.tree_statistics(nodes).first()
     assert (stats.elements, stats.max_depth, stats.types) == (7, 3, 4) and dict(stats.counts)["chapter"] == 3
     got = [(r.section, r.unit_number, r.unit, r.chapter_number, r.chapter) for r in graph.chapter_rows(nodes).orderBy("chapter").collect()]
     assert got == [("S", 1, "U1", 1, "c1"), ("S", 1, "U1", 2, "c2"), ("S", 2, "U2", 1, "c3")]
