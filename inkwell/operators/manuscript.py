@@ -6,10 +6,13 @@ work inside a document is arrays or windows keyed by doc_id, so a corpus is only
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +21,8 @@ from ..functions.text import clamp, compacted, occurrences, present, py_round, s
 
 MIN_PARAGRAPH = 50
 FLAG_ABOVE = 0.75
+#: Paragraphs of a document that are compared with as many others in one group.
+BLOCK = 256
 #: Fixed values
 TERM_GROUPS = [["ai system", "ml engine", "artificial intelligence"], ["model", "algorithm", "system"]]
 GENERIC_PHRASES = ["in today's world", "it is important to note", "this highlights"]
@@ -25,13 +30,85 @@ GENERIC_PHRASES = ["in today's world", "it is important to note", "this highligh
 
 def paragraphs(corpus: DataFrame, min_chars: int = MIN_PARAGRAPH) -> DataFrame:
     """Trimmed lines longer than ``min_chars``, numbered from 1 within their document: doc_id, ordinal, paragraph."""
+    return sized_paragraphs(corpus, min_chars).drop("n")
+
+
+def sized_paragraphs(corpus: DataFrame, min_chars: int = MIN_PARAGRAPH) -> DataFrame:
+    """paragraphs() with n, how many its document has."""
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda p: F.length(p) > min_chars)
-    return corpus.select("doc_id", F.posexplode(lines).alias("at", "paragraph")).select("doc_id", (F.col("at") + 1).alias("ordinal"), "paragraph")
+    # a column of its own, so that it is worked out once a row
+    split = corpus.select("doc_id", F.explode(F.array(lines)).alias("lines"))
+    return split.select("doc_id", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "paragraph")).select("doc_id", (F.col("at") + 1).alias("ordinal"), "paragraph", "n")
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def _in_blocks(paras: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` on the word sets of every pair of blocks of a document's paragraphs, each of at most ``BLOCK`` of them.
+
+    A document of up to ``BLOCK`` paragraphs is one group; a larger one is spread over as many as it has pairs of blocks. work gets
+    a group's key, the ordinals and sides (0, or 1 for the second of two blocks), and for each paragraph its set's size and word
+    numbers, and gives columns.
+    """
+    if "n" not in paras.columns:
+        paras = paras.join(paras.groupBy("doc_id").agg(F.max("ordinal").alias("n")), "doc_id")
+    sets = paras.select("doc_id", "ordinal", F.array_distinct(words(F.lower("paragraph"))).alias("words"), F.expr(f"(ordinal - 1) div {BLOCK}").cast("int").alias("mine"), F.expr(f"(n - 1) div {BLOCK}").cast("int").alias("last"))
+    met = sets.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    keyed = met.select("doc_id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "ordinal", "words")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def stream(batches):
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            if rows.num_rows < 2:
+                return None
+            lists = rows.column("words").chunk(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            numbers = lists.flatten().dictionary_encode().indices.to_numpy()
+            found = work(rows.column("ordinal").to_numpy(), rows.column("side").to_numpy(), sizes, numbers)
+            key = pa.array([rows.column("doc_id")[0].as_py()] * len(found[0]), rows.schema.field("doc_id").type)
+            return pa.RecordBatch.from_arrays([key, *found], names=names) if len(found[0]) else None
+
+        key, parts = None, []
+        for batch in batches:
+            keys, begin = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "i", "j")))), 0
+            for at in [*(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]:
+                if at > begin:
+                    if parts and keys[begin] != key:
+                        if (out := done(parts)) is not None:
+                            yield out
+                        parts = []
+                    key = keys[begin]
+                    parts.append(batch.slice(begin, at - begin))
+                begin = at
+        if parts and (out := done(parts)) is not None:
+            yield out
+
+    return keyed.repartition("doc_id", "i", "j").sortWithinPartitions("doc_id", "i", "j", "side", "ordinal").mapInArrow(stream, schema)
+
+
+def _similarities(sides: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, similarity) of a block's pairs, or of those between two blocks."""
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    a, b = np.triu_indices(n, 1) if not sides.any() else (x.ravel() for x in np.meshgrid(np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), indexing="ij"))
+    both = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(numbers, kind="stable")
+    owner, numbers = owner[order], numbers[order]
+    for begin in range(0, int(numbers[-1]) + 1 if len(numbers) else 0, 8192):
+        low, high = np.searchsorted(numbers, (begin, begin + 8192))
+        has = np.zeros((n, int(numbers[high - 1]) - begin + 1), dtype=np.float32)
+        has[owner[low:high], numbers[low:high] - begin] = 1
+        both += has @ has.T
+    common = both[a, b].astype(np.float64)
+    return a, b, common / np.maximum(sizes[a] + sizes[b] - common, 1)
+
+
+def _pair_rows(ordinals: np.ndarray, sides: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[pa.Array]:
+    a, b, similarity = _similarities(sides, sizes, numbers)
+    return [pa.array(ordinals[a]), pa.array(ordinals[b]), pa.array(similarity)]
+
+
+def _pair_sums(ordinals: np.ndarray, sides: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> list[pa.Array]:
+    _, _, similarity = _similarities(sides, sizes, numbers)
+    return [pa.array([float(similarity.sum())]), pa.array([len(similarity)], pa.int64()), pa.array([int((similarity > FLAG_ABOVE).sum())], pa.int64())]
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -41,25 +118,35 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def pair_similarity(paras: DataFrame, metric: str = "jaccard") -> DataFrame:
     """All pairs i < j of a document's paragraphs: doc_id, i, j, similarity.
 
-    ``jaccard`` compares sets of lower-case words, ``levenshtein`` is one minus the distance over the longer length, and
-    ``ratio`` is the matching-blocks ratio, which has no native form and depends on the order of the two.
+    ``jaccard`` compares sets of lower-case words, by products of blocks; ``levenshtein`` is one minus the distance over the longer
+    length, and ``ratio`` the matching-blocks ratio, which has no native form and depends on the order of the two. paras may
+    carry n (sized_paragraphs), which else is counted.
     """
-    value = F.array_distinct(words(F.lower("paragraph"))) if metric == "jaccard" else F.col("paragraph")
-    rows = paras.select("doc_id", "ordinal", value.alias("value"))
-    left, right = rows.select("doc_id", F.col("ordinal").alias("i"), F.col("value").alias("a")), rows.select("doc_id", F.col("ordinal").alias("j"), F.col("value").alias("b"))
+    if metric == "jaccard":
+        return _in_blocks(paras, _pair_rows, f"doc_id {dict(paras.dtypes)['doc_id']}, i int, j int, similarity double")
+    left, right = paras.select("doc_id", F.col("ordinal").alias("i"), F.col("paragraph").alias("a")), paras.select("doc_id", F.col("ordinal").alias("j"), F.col("paragraph").alias("b"))
     pairs = left.join(right, "doc_id").where("i < j")
     similarity = {
-        "jaccard": lambda: _jaccard(F.col("a"), F.col("b")),
         "levenshtein": lambda: 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")),
         "ratio": lambda: F.pandas_udf(_ratio, "double")("a", "b"),
     }[metric]()
     return pairs.select("doc_id", "i", "j", similarity.alias("similarity"))
 
 
+def pair_totals(paras: DataFrame, metric: str = "jaccard") -> DataFrame:
+    """Sums over the pairs of pair_similarity(), for scores that need no pair: doc_id, pair_sum, n_pairs, n_flagged."""
+    if metric == "jaccard":
+        blocks = _in_blocks(paras, _pair_sums, f"doc_id {dict(paras.dtypes)['doc_id']}, pair_sum double, n_pairs long, n_flagged long")
+        return blocks.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("pair_sum", "n_pairs", "n_flagged")])
+    return pair_similarity(paras, metric).groupBy("doc_id").agg(F.sum("similarity").alias("pair_sum"), F.count("*").alias("n_pairs"), F.count_if(F.col("similarity") > FLAG_ABOVE).alias("n_flagged"))
+
+
 def _by_document(corpus: DataFrame, paras: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, has_text, n (paragraphs), pair_sum, n_pairs, n_flagged."""
+    """doc_id, has_text, n (paragraphs), pair_sum, n_pairs, n_flagged; pairs are those of pair_similarity() or pair_totals()."""
     counted = paras.groupBy("doc_id").agg(F.count("*").alias("n"))
-    summed = pairs.groupBy("doc_id").agg(F.sum("similarity").alias("pair_sum"), F.count("*").alias("n_pairs"), F.count_if(F.col("similarity") > FLAG_ABOVE).alias("n_flagged"))
+    summed = pairs
+    if "similarity" in pairs.columns:
+        summed = pairs.groupBy("doc_id").agg(F.sum("similarity").alias("pair_sum"), F.count("*").alias("n_pairs"), F.count_if(F.col("similarity") > FLAG_ABOVE).alias("n_flagged"))
     filled = {"n": 0, "pair_sum": 0.0, "n_pairs": 0, "n_flagged": 0}
     return corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text")).join(counted, "doc_id", "left").join(summed, "doc_id", "left").fillna(filled)
 
@@ -97,27 +184,36 @@ def redundancy(corpus: DataFrame, paras: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def external_matches(paras: DataFrame, sources: DataFrame, shingle: int = 5, max_docs: int | None = None, above: float = FLAG_ABOVE) -> DataFrame:
-    """Paragraphs that hold most of an outside passage's words runs: doc_id, ordinal, item_id, containment.
+    """Paragraphs that hold most of an outside passage's runs of words: doc_id, ordinal, item_id, containment.
+
+    Containment is the share of the different runs of ``shingle`` words of a passage (item_id, text) that the paragraph has; each
+    paragraph keeps its best passage, ties to the smaller id. A run that more than ``max_docs`` passages share is not counted as
+    shared if that is given.
 
-    Passages (item_id, text) and paragraphs meet on runs of ``shingle`` words; containment is the share of the passage's
-    runs that the paragraph has; each paragraph keeps its best passage, ties to the smaller id. A run that more than
-    ``max_docs`` passages share is dropped if that is given.
+    A paragraph with more than a share c of a passage's n runs lacks fewer than (1 - c) n of them, so it has one of any n - cn of
+    them: only the passage's rarest runs, so many, are looked for (by hash), and the paragraphs that have one are compared with
+    the passage's runs themselves.
     """
 
-    def runs(rows: DataFrame, text: str) -> DataFrame:
-        """The rows that have enough words, with ``runs``: hashes of their distinct runs of words, 128 bits each."""
+    def split(rows: DataFrame, text: str) -> DataFrame:
         # the words are a column of their own, so that they are split once a row, and not once a run
-        split = rows.select("*", F.explode(F.array(words(F.lower(text)))).alias("_words")).where(F.size("_words") >= shingle)
-        run = lambda i: F.concat_ws(" ", F.slice("_words", i + 1, shingle))
-        both = lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.xxhash64(F.lit(1), run(i)).alias("b"))
-        return split.select(*rows.columns, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - shingle), both)).alias("runs"))
-
-    passages = runs(sources.select("item_id", "text"), "text").select("item_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    if max_docs is not None:
-        common = passages.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") > max_docs)
-        passages = passages.join(common, "run", "left_anti")
-    own = runs(paras.select("doc_id", "ordinal", "paragraph"), "paragraph").select("doc_id", "ordinal", F.explode("runs").alias("run"))
-    shared = own.join(passages, "run").groupBy("doc_id", "ordinal", "item_id").agg((F.count("*") / F.first("n")).alias("containment")).where(F.col("containment") > above)
+        return rows.select("*", F.explode(F.array(words(F.lower(text)))).alias("_words")).where(F.size("_words") >= shingle)
+
+    def runs(each: Callable[[Column], Column] = lambda run: run) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size("_words") - shingle), lambda i: each(F.concat_ws(" ", F.slice("_words", i + 1, shingle))))
+        return F.array_distinct(every)
+
+    passages = split(sources.select("item_id", "text"), "text").select("item_id", F.explode(F.array(runs())).alias("runs")).select("item_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    shared_by = passages.groupBy("run").agg(F.count("*").alias("c"))
+    ranked = passages.join(shared_by if max_docs is None else shared_by.where(F.col("c") <= max_docs), "run")
+    own = Window.partitionBy("item_id")
+    ranked = ranked.withColumns({"rank": F.row_number().over(own.orderBy("c", "run")), "kept": F.count("*").over(own)})
+    rarest = ranked.where(F.col("rank") <= F.col("kept") - F.floor(above * F.col("n") - 1e-9)).select("item_id", F.xxhash64("run").alias("hash"))
+    whole = ranked.groupBy("item_id").agg(F.first("n").alias("n"), F.collect_list("run").alias("passage"))
+    hashed = split(paras.select("doc_id", "ordinal", "paragraph"), "paragraph").select("doc_id", "ordinal", F.explode(runs(F.xxhash64)).alias("hash"))
+    met = hashed.join(rarest, "hash").select("doc_id", "ordinal", "item_id").distinct()
+    texts = split(met.join(paras.select("doc_id", "ordinal", "paragraph"), ["doc_id", "ordinal"]), "paragraph").select("doc_id", "ordinal", "item_id", runs().alias("runs"))
+    shared = texts.join(whole, "item_id").select("doc_id", "ordinal", "item_id", (F.size(F.array_intersect("runs", "passage")) / F.col("n")).alias("containment")).where(F.col("containment") > above)
     best = Window.partitionBy("doc_id", "ordinal").orderBy(F.desc("containment"), "item_id")
     return shared.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
@@ -247,7 +343,7 @@ def submission_score(*parts: DataFrame) -> DataFrame:
 
 def manuscript_report(corpus: DataFrame, required: list[str], metric: str = "jaccard", order_mode: str = "reference") -> DataFrame:
     """One row per document with the results of all engines; the pairs are compared once for both scores made of them."""
-    paras = paragraphs(corpus)
-    facts = _by_document(corpus, paras, pair_similarity(paras, metric)).withColumn("external", F.lit(0.0))
+    paras = sized_paragraphs(corpus)
+    facts = _by_document(corpus, paras, pair_totals(paras, metric)).withColumn("external", F.lit(0.0))
     compared = facts.select("doc_id", _originality_score().alias("originality_score"), _redundancy_score().alias("redundancy_score"))
     return submission_score(compared, ai_authorship(corpus), editorial(corpus), structure(corpus, required, order_mode))

@@ -82,8 +82,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     corpus = docs(spark, sf_dir)
-    paras = m.paragraphs(corpus)
-    return corpus, paras, m.pair_similarity(paras)
+    paras = m.sized_paragraphs(corpus)
+    return corpus, paras, m.pair_totals(paras)
 
 
 def t4_external(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def t4_external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "t1_paragraphs": lambda s, d: m.paragraphs(docs(s, d)),
-    "t2_pair_similarity": lambda s, d: _pairs(s, d)[2].withColumn("similarity", F.round("similarity", 9)),
+    "t2_pair_similarity": lambda s, d: m.pair_similarity(m.sized_paragraphs(docs(s, d))).withColumn("similarity", F.round("similarity", 9)),
     "t3_originality": lambda s, d: m.originality(*_pairs(s, d)),
     "t4_external_matches": t4_external,
     "t5_redundancy": lambda s, d: m.redundancy(*_pairs(s, d)),
