@@ -154,24 +154,3 @@ def chapter_rows(nodes: DataFrame) -> DataFrame:
     first = F.min("pos").over(Window.partitionBy("doc_id", "unit"))
     rows = rows.withColumn("first", first)
     return rows.select("doc_id", "section", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).alias("unit_number"), "unit", F.row_number().over(Window.partitionBy("doc_id", "unit").orderBy("pos")).alias("chapter_number"), F.col("label").alias("chapter"))
-
-
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges by graph_id; a graph that is there already is replaced."""
-    for kind, rows in (("nodes", nodes), ("edges", edges)):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{kind}")
-
-
-def read_graph(spark, path: str, graph_id: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{kind}").where(F.col("graph_id") == graph_id) for kind in ("nodes", "edges"))
-
-
-def list_graphs(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/nodes").select("graph_id").distinct().orderBy("graph_id")
-
-
-def delete_graph(spark, path: str, graph_id: str) -> None:
-    """Remove a graph's partitions of nodes and edges, if there are any."""
-    for kind in ("nodes", "edges"):
-        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/graph_id={graph_id}")
-        part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip, words
+from ..sources.shared import Tables
 from . import lifecycle, score
 
 TAGS = ("img", "a", "input", "select", "textarea", "label")
@@ -159,17 +160,24 @@ def discover_sitemap(sites: DataFrame, links: DataFrame, most: int = 20) -> Data
 def backfill_pages(scans: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct (site_id, url) of scans with their page: page_id of an existing one, or a new number; was_created.
 
-    New numbers follow the largest one in order of the url's hash; the order is global, but the rows are few (new pages).
+    New numbers follow the largest one in order of site and of the url's hash. New rows are dealt out by ranges of that order; a
+    row's number is its place in its part plus the sizes of the parts before it, so that only sizes are added up in one place.
     """
+    tables = Tables(scans.sparkSession, "pages")
     wanted = scans.select("site_id", "url", F.sha2("url", 256).alias("url_hash")).distinct()
     have = pages.select("site_id", "url_hash", "page_id")
     joined = wanted.join(have, ["site_id", "url_hash"], "left")
-    top = pages.agg(F.coalesce(F.max("page_id"), F.lit(0)).alias("top"))
-    per_site = Window.partitionBy("site_id").orderBy("url_hash")
-    fresh = joined.where("page_id is null").withColumn("n", F.row_number().over(per_site))
-    sizes = fresh.groupBy("site_id").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("site_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    numbered = fresh.join(before, "site_id").join(F.broadcast(top)).select("site_id", "url", "url_hash", (F.col("top") + F.col("before") + F.col("n")).alias("page_id"), F.lit(True).alias("was_created"))
+    fresh = joined.where("page_id is null").select("site_id", "url", "url_hash").repartitionByRange("site_id", "url_hash").sortWithinPartitions("site_id", "url_hash")
+    # the upper bits are the part's number, the lower 33 the place within it; written, so that they stay what they are
+    placed, _ = tables.write(fresh.withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    before, total = [], pages.agg(F.coalesce(F.max("page_id"), F.lit(0)).alias("top")).first()["top"]
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each part
+        before.append((row["part"], total))
+        total += row["count"]
+    offsets = scans.sparkSession.createDataFrame(before, "part long, before long")
+    number = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1
+    numbered = placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("site_id", "url", "url_hash", number.alias("page_id"), F.lit(True).alias("was_created"))
     return joined.where("page_id is not null").select("site_id", "url", "url_hash", "page_id", F.lit(False).alias("was_created")).unionByName(numbered)
 
 

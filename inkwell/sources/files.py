@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,29 +17,48 @@ EXTENSIONS = {"pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "epu
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 
-def _container(content: pd.Series) -> pd.Series:
-    """What kind of document a ZIP container holds."""
-    def kind(raw):
-        try:
-            names = set(zipfile.ZipFile(io.BytesIO(raw)).namelist())
-        except (zipfile.BadZipFile, ValueError, TypeError):
-            return None
-        for part, name in (("word/document.xml", "docx"), ("ppt/presentation.xml", "pptx"), ("xl/workbook.xml", "xlsx"), ("mimetype", "epub")):
-            if part in names:
-                return name
-        return "zip"
+#: What a ZIP container with this part is.
+PARTS = {"word/document.xml": "docx", "ppt/presentation.xml": "pptx", "xl/workbook.xml": "xlsx", "mimetype": "epub"}
 
-    return content.map(kind)
+
+def container_type(source: BinaryIO) -> str:
+    """What a file holds by its first bytes; of a ZIP container only the directory at its end is read."""
+    head = source.read(4)
+    if head == b"%PDF":
+        return "pdf"
+    if head != b"PK\x03\x04":
+        return "unknown"
+    try:
+        names = set(zipfile.ZipFile(source).namelist())
+    except (zipfile.BadZipFile, ValueError, OSError, NotImplementedError):
+        return "unknown"
+    return next((kind for part, kind in PARTS.items() if part in names), "zip")
+
+
+def _by_content(paths: pd.Series) -> pd.Series:
+    """Types of files by ranged reads: a few bytes at the begin and, for containers, at the end."""
+
+    def kind(path: str) -> str:
+        scheme = path.partition(":")[0]
+        store, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if scheme == "s3a" else path)
+        with store.open_input_file(inner) as source:
+            return container_type(source)
+
+    return paths.map(kind)
 
 
 def file_types(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, file_type: by extension, else by the first bytes; ZIP containers are listed only where that is needed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """path, length, file_type: by extension, else by content.
+
+    Listing takes names and lengths only. A file without a known extension is opened by an executor where it lies (file, hdfs, s3,
+    gs or abfs), and only its header and a container's directory are read, so that files of any size take little memory.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     known = F.coalesce(*[F.when(ext == e, t) for e, t in EXTENSIONS.items()])
-    magic = F.substring("content", 1, 4)
-    kind = F.coalesce(known, F.when(magic == F.lit(b"%PDF"), "pdf"), F.when(magic == F.lit(b"PK\x03\x04"), F.pandas_udf(_container, "string")("content")), F.lit("unknown"))
-    return files.select("path", "length", kind.alias("file_type"))
+    rows = listed.withColumn("known", known)
+    read = rows.where("known is null").select("path", "length", F.pandas_udf(_by_content, "string")("path").alias("file_type"))
+    return rows.where("known is not null").select("path", "length", F.col("known").alias("file_type")).unionByName(read)
 
 
 def file_census(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 import pytest
 from inkwell.functions import text as ft
 from inkwell.operators import catalog, evaluate, graph, guard, lifecycle, manuscript, prep, score, trees, vectors, web
-from inkwell.sources import files
+from inkwell.sources import files, graphs
 from inkwell.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -313,13 +313,37 @@ def test_trees(spark):
 
 def test_graph_store(spark, tmp_path):
     nodes, edges = spark.createDataFrame([("g2", "a"), ("g1", "b")], "graph_id string, id string"), spark.createDataFrame([("g1", "a", "b")], "graph_id string, source string, target string")
-    graph.write_graph(nodes, edges, str(tmp_path))
-    assert [r.graph_id for r in graph.list_graphs(spark, str(tmp_path)).collect()] == ["g1", "g2"] and graph.read_graph(spark, str(tmp_path), "g1")[0].count() == 1
-    graph.write_graph(nodes.where("graph_id = 'g1'"), edges, str(tmp_path))
-    assert graph.read_graph(spark, str(tmp_path), "g1")[0].count() == 1 and graph.read_graph(spark, str(tmp_path), "g2")[0].count() == 1
-    graph.delete_graph(spark, str(tmp_path), "g1")
-    graph.delete_graph(spark, str(tmp_path), "g0")
-    assert [r.graph_id for r in graph.list_graphs(spark, str(tmp_path)).collect()] == ["g2"]
+    path = str(tmp_path)
+    assert graphs.newest_version(spark, path) == 0 and graphs.list_graphs(spark, path).count() == 0
+    assert graphs.write_graph(nodes, edges, path) == 1
+    assert [r.graph_id for r in graphs.list_graphs(spark, path).collect()] == ["g1", "g2"] and [x.count() for x in graphs.read_graph(spark, path, "g1")] == [1, 1] and [x.count() for x in graphs.read_graph(spark, path, "g2")] == [1, 0]
+    assert graphs.write_graph(nodes.where("graph_id = 'g1'"), edges, path) == 2
+    assert graphs.delete_graph(spark, path, "g1") == 3 and graphs.delete_graph(spark, path, "g0") == 4
+    assert [r.graph_id for r in graphs.list_graphs(spark, path).collect()] == ["g2"] and graphs.read_graph(spark, path, "g1", version=2)[0].count() == 1
+    with pytest.raises(KeyError):
+        graphs.read_graph(spark, path, "g1")
+
+
+def test_a_broken_write_is_never_seen(spark, tmp_path, monkeypatch):
+    """Nodes that were written without their edges, or without a commit, are not read; a reader keeps its version."""
+    path = str(tmp_path)
+    make = lambda n: (spark.createDataFrame([("g", f"n{i}") for i in range(n)], "graph_id string, id string"), spark.createDataFrame([("g", "n0", f"n{i}") for i in range(n)], "graph_id string, source string, target string"))
+    sizes = lambda **at: [x.count() for x in graphs.read_graph(spark, path, "g", **at)]
+    graphs.write_graph(*make(1), path)
+    nodes, edges = make(5)
+    with pytest.raises(Exception, match="broken"):
+        graphs.write_graph(nodes, edges.withColumn("target", F.raise_error(F.lit("broken")).cast("string")), path)
+    assert sizes() == [1, 1] and graphs.newest_version(spark, path) == 1
+    (tmp_path / "commits" / "000000000002").write_text('{"manif')  # a commit file that is still being written
+    assert sizes() == [1, 1]
+    (tmp_path / "commits" / "000000000002").unlink()
+    reader = graphs.read_graph(spark, path, "g")
+    assert graphs.write_graph(*make(5), path) == 2 and sizes() == [5, 5] and [x.count() for x in reader] == [1, 1] and sizes(version=1) == [1, 1]
+    monkeypatch.setattr(graphs, "newest_version", lambda *_: 1)  # a writer that began before version 2
+    with pytest.raises(graphs.Conflict):
+        graphs.write_graph(*make(7), path)
+    monkeypatch.undo()
+    assert sizes() == [5, 5] and len(graphs.vacuum(spark, path, keep=1)) == 3 and sizes() == [5, 5]
 
 
 # --- web ------------------------------------------------------------------------------------------------------------
@@ -401,6 +425,16 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", "x")
     (tmp_path / "d" / "e").write_bytes(b"??")
     assert {r.file_type: r.files for r in files.file_census(spark, str(tmp_path / "d")).collect()} == {"pdf": 2, "docx": 1, "unknown": 1}
+    with (tmp_path / "d" / "large").open("wb") as f:  # a container with a hole of three gigabytes
+        f.write(b"PK\x03\x04")
+        f.truncate(3 << 30)
+    with zipfile.ZipFile(tmp_path / "d" / "large", "a") as z:
+        z.writestr("xl/workbook.xml", "x")
+    with (tmp_path / "d" / "report").open("wb") as f:
+        f.write(b"%PDF-1.7")
+        f.truncate(5 << 30)
+    (tmp_path / "d" / "torn").write_bytes(b"PK\x03\x04 and no directory")
+    assert {r.file_type: (r.files, r.bytes > 3 << 30) for r in files.file_census(spark, str(tmp_path / "d")).collect()} == {"pdf": (3, True), "docx": (1, False), "xlsx": (1, True), "unknown": (2, False)}
     (tmp_path / "rules.json").write_text(json.dumps({"scoring": {"severity_weights": {"HIGH": 5}}, "rules": [{"rule_id": "R", "severity": "HIGH"}]}))
     assert files.load_rule_catalog(spark, str(tmp_path / "rules.json")).first().weight == 5
     (tmp_path / "bad.json").write_text(json.dumps({"rules": [{"rule_id": "R", "severity": "ODD"}]}))
