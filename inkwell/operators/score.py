@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import beside
+
 #: Fixed values
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 RETAINED = {
@@ -157,8 +159,8 @@ def crawl_report(pages: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def llm_cost(executions: DataFrame, pricing: DataFrame) -> DataFrame:
-    """model, executions, input and output tokens, cost (null if the model has no price). pricing is a small dimension."""
-    rows = executions.join(F.broadcast(pricing), "model", "left")
+    """model, executions, input and output tokens, cost (null if the model has no price)."""
+    rows = executions.join(beside(pricing), "model", "left")
     cost = F.col("input_tokens") / 1e6 * F.col("input_rate") + F.col("output_tokens") / 1e6 * F.col("output_rate")
     return rows.groupBy("model").agg(F.count("*").alias("executions"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.bround(F.sum(cost), 6).alias("cost"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip, words
-from ..sources.shared import Tables
+from ..sources.shared import Tables, beside
 from . import lifecycle, score
 
 TAGS = ("img", "a", "input", "select", "textarea", "label")
@@ -100,11 +100,11 @@ def generic_links(elements: DataFrame) -> DataFrame:
     return elements.where("tag = 'a'").select("page_id", bad.alias("rule_code"), F.concat(F.lit('a[href="'), F.coalesce(F.col("attrs")["href"], F.lit("")), F.lit('"]')).alias("element_selector"), F.col("text").alias("message")).where("rule_code is not null")
 
 
-RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"IMG_ALT": missing_alt, "FORM_LABEL": form_label_gaps}
+RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"IMG_ALT": missing_alt, "FORM_LABEL": form_label_gaps, "LINK_TEXT": generic_links}
 
 
 def register_rule(code: str, rule: Callable[[DataFrame], DataFrame]) -> None:
-    """``rule`` turns elements into findings with rule_code ``code``."""
+    """``rule`` turns elements into findings, whose rule codes are enabled one by one; ``code`` names the rule itself."""
     RULES[code] = rule
 
 
@@ -114,7 +114,7 @@ def evaluate_page_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.join(F.broadcast(rules.where("enabled")), "rule_code")
+    return found.join(beside(rules.where("enabled")), "rule_code")
 
 
 def _absolute(base: pd.Series, href: pd.Series) -> pd.Series:

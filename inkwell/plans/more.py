@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contrast_ratio, fold_for_match, strip
 from ..operators import elements as el
 from ..operators import evaluate, graph, prep, vectors, web
+from ..sources.shared import beside
 from ..sources.tables import table
 from .prep import LINES, SENT, STRIP
 from .text import WORDS, docs
@@ -42,7 +43,7 @@ def chapters(s, d):
 def label_checks(s, d):
     b = table(s, d, "benchmark").select("item_id", F.col("text").alias("label"), (F.col("item_id") % 20).alias("src"))
     t = docs(s, d).select("doc_id", F.substring_index("source", "src", -1).cast("int").alias("src"), "text")
-    folded = t.join(F.broadcast(b), "src").where(F.contains(fold_for_match("text"), fold_for_match("label")))
+    folded = t.join(beside(b), "src").where(F.contains(fold_for_match("text"), fold_for_match("label")))
     return b.join(folded.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_sources"))
 
 

@@ -19,6 +19,7 @@ from ..sources.tables import table
 from .derived import ORACLES as DERIVED
 from .derived import MARKUP
 from .families import FRAGMENTS, cte, made
+from .more import ORACLES as MORE
 from .prep import CONFIG, SENT, STRIP
 from .score import items
 from .text import WORDS, docs
@@ -229,6 +230,8 @@ ORACLES = {
     "n3_relations": f"WITH {_ENTS}, nodes AS (SELECT * FROM ents), {_EDGES} SELECT * FROM edges",
     "n4_merge_nodes": f"WITH {_ENTS}, nodes AS (SELECT * FROM ents), edges AS (SELECT NULL::BIGINT AS doc_id, '' AS source, '' AS target, '' AS relationship_type WHERE false), {_MERGED} SELECT doc_id, pos, id, label, array_to_string(list_filter(labels, lambda l: l <> label), ',') AS aliases FROM firsts",
     "n5_graph_issues": f"WITH {_ENTS}, nodes AS (SELECT * FROM ents), {_EDGES} {_ISSUES}",
+    "n6_build_graph": f"WITH {_ENTS}, nodes AS (SELECT doc_id, pos::BIGINT AS pos, id, label FROM ents UNION ALL SELECT doc_id, pos + 4294967296, id, label FROM ({MORE['n2_concepts']})), {_EDGES}, {_MERGED} SELECT * FROM joined",
+    "g11_clean_outputs": "SELECT event_id, props AS cleaned, props AS parsed FROM events WHERE json_valid(props)",
     "g10_sanitize_prompts": rf"""WITH a AS (SELECT conv_id || '-' || turn AS request_id, text AS before, regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '\r\n?', chr(10), 'g'), '[\x{{200b}}\x{{200c}}\x{{200d}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g') AS t FROM conversations),
  b AS (SELECT *, regexp_replace(regexp_replace(t, '[\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}\t\f\x0b]', ' ', 'g'), ' {{2,}}', ' ', 'g') AS u FROM a),
  n AS (SELECT *, {STRIP.format("regexp_replace(regexp_replace(u, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS v0 FROM b),

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +25,11 @@ def remove(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def beside(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table to be joined by broadcast if it has at most ``most`` rows, which are counted; else as it is, to be shuffled."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 class Tables:
     """Tables of one job. A table that was written needs nothing of what it was made from, so a lost executor costs no round."""
 
