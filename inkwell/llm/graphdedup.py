@@ -10,7 +10,7 @@
    with the whole block instead. What is found is verified in double precision.
 5. A pair counts in the first shard that both rows share. Tasks return counts and a spanning forest, never the pairs;
    components are joined over all tasks.
-6. Recall is audited: bounded samples of the rows with links and of all rows are compared with all rows in blocks. If too
+6. Recall is audited: bounded samples of all rows and of rows that random cells bring together are compared with all rows. If too
    few of their links were found, everything is done again with more overlap; if less than LEAST_RECALL of them are found
    in the end, that is an error. Where the samples have no link at all, recall is not measured (null).
 
@@ -162,7 +162,7 @@ def embedding_links(rows: DataFrame, min_cosine: float = MIN_COSINE, id_column:
         sample = unit(bounded_sample(classes, TRAIN_ROWS, "id", "v"))
         for attempt in range(ATTEMPTS):
             links, edges = _links(classes, sample, n, min_cosine, shard_rows, overlap * 2**attempt, scratch, id_type)
-            recall = _audit(classes, links, sample_rows=AUDIT_ROWS, min_cosine=min_cosine)
+            recall = _audit(classes, links, n, sample_rows=AUDIT_ROWS, min_cosine=min_cosine)
             if recall is None or recall >= AUDIT_RECALL:
                 break
         if recall is not None and recall < LEAST_RECALL:
@@ -256,11 +256,33 @@ def _links(classes: DataFrame, sample: np.ndarray, n: int, min_cosine: float, sh
     return links, found.where("a is not null").select("a", "b")
 
 
-def _audit(classes: DataFrame, links: DataFrame, sample_rows: int, min_cosine: float) -> float | None:
-    """Share of the links of bounded samples of linked and of all rows that were found; None if they have none."""
+def _crowded(classes: DataFrame, n: int) -> DataFrame:
+    """Keys of rows that lie in one cell of random half-spaces with another, of which many have links, whether found or not.
+
+    The planes owe nothing to the shards or the graph. There are a few more than the logarithm of the rows, so that rows that are far
+    from all others seldom share a cell.
+    """
+    planes = min(62, n.bit_length() + 4)
+
+    def cells(batches):
+        for batch in batches:
+            x = unit(matrix(batch.column(1)))
+            sides = np.random.default_rng(19).normal(size=(x.shape[1], planes)) if len(x) else np.zeros((0, planes))
+            cell = ((x @ sides > 0) << np.arange(planes, dtype=np.int64)).sum(axis=1) if len(x) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int64())], names=["key", "cell"])
+
+    placed = classes.select("key", "v").mapInArrow(cells, "key string, cell long")
+    return placed.join(placed.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1"), "cell").select("key")
+
+
+def _audit(classes: DataFrame, links: DataFrame, n: int, sample_rows: int, min_cosine: float) -> float | None:
+    """Share of the links of bounded samples of all rows and of rows in crowded cells that were found; None if they have none.
+
+    Neither sample looks at what was found, so that a row whose links were all lost is as likely to be drawn as another.
+    """
     order = (F.xxhash64("key"), "key")
-    linked = classes.select("key", "v").join(links.orderBy(*order).limit(sample_rows // 2).select("key"), "key")
-    chosen = classes.select("key", "v").orderBy(*order).limit(sample_rows // 2).union(linked).dropDuplicates(["key"]).orderBy("key").collect()
+    near = classes.select("key", "v").join(_crowded(classes, n).orderBy(*order).limit(sample_rows // 2), "key")
+    chosen = classes.select("key", "v").orderBy(*order).limit(sample_rows // 2).union(near).dropDuplicates(["key"]).orderBy("key").collect()
     probe = unit(np.array([r.v for r in chosen], dtype=np.float64))
     keys = [r.key for r in chosen]
     shared = classes.sparkSession.sparkContext.broadcast((keys, probe))

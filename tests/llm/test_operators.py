@@ -334,6 +334,17 @@ def test_graph_dedup(spark):
     assert graphdedup.embedding_links(vectors(spark, [])).count() == 0
 
 
+def test_graph_audit_sees_rows_whose_links_were_all_lost(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24))
+    rows = [(f"k{i}", 1, v.tolist()) for i, v in enumerate(x)] + [(f"n{i}", 1, (x[i] + 0.02 * rng.normal(size=24)).tolist()) for i in range(100)]
+    classes = spark.createDataFrame(rows, "key string, weight long, v array<double>").repartition(4)
+    for lost in (0, 60):
+        links = spark.createDataFrame([(f"{side}{i}", 1) for side in "kn" for i in range(lost, 100)], "key string, others long")
+        recall = graphdedup._audit(classes, links, len(rows), sample_rows=256, min_cosine=0.95)
+        assert recall == 1.0 if not lost else 0.2 < recall < 0.6
+
+
 def test_graph_audit_says_what_it_measured(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 32))
