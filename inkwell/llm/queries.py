@@ -72,4 +72,25 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_hamming, op3_langid, op4_suffix_dedup, op5_graph_dedup, op6_bpe, op7_quality, op8_near_join, op9_pii, op10_packing, op11_runs, op12_repair, op13_chat)}
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Five words in a row of each text, all words of a shorter one; pairs of different sets that share enough of them.
+_NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
+ sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+ classes AS (SELECT g, min(doc_id) AS class_id, count(*) AS weight, len(g) AS n FROM sets WHERE len(g) > 0 GROUP BY g), grams AS (SELECT class_id, n, weight, unnest(g) AS gram FROM classes),
+ pairs AS (SELECT a.class_id AS a, b.class_id AS b, any_value(b.weight) AS weight FROM grams a JOIN grams b ON a.gram = b.gram AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id HAVING count(*) >= 0.8::DOUBLE * (any_value(a.n) + any_value(b.n) - count(*))),
+ reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), parts AS (SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a),
+ linked AS (SELECT a AS class_id, sum(weight) AS others FROM pairs GROUP BY a)
+ SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(component_id, s.doc_id) AS component_id, (coalesce(others, 0) + coalesce(weight, 1) - 1)::BIGINT AS n_links, coalesce(component_id, s.doc_id) = s.doc_id AS kept
+ FROM sets s LEFT JOIN classes c ON c.g = s.g LEFT JOIN parts USING (class_id) LEFT JOIN linked USING (class_id)"""
+#: Texts as hex digits, two a byte; the first document of every stretch of 50 bytes; and what no such stretch of an earlier one covers.
+_REPEATS = """WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents), s AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM t WHERE length(h) >= 100),
+ k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM s), f AS (SELECT x, min(doc_id) AS first FROM k GROUP BY x HAVING min(doc_id) < max(doc_id)), hit AS (SELECT doc_id, i FROM k JOIN f USING (x) WHERE doc_id > first),
+ m AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m),
+ spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, g), held AS (SELECT doc_id, g, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY g), 0) AS since FROM spans),
+ kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY g) || substr(any_value(h), 2 * max(b) + 1) AS h FROM held JOIN t USING (doc_id) GROUP BY doc_id)
+ SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)"""
+_CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+ f AS (SELECT *, '<turn>### ' || regexp_replace(role, '(\\|<turn>|</turn>|###|:)', '\\\1', 'g') || ': ' || regexp_replace(text, '(\\|<turn>|</turn>|###)', '\\\1', 'g') || '</turn>' || chr(10) AS formatted FROM c)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(formatted))::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
+ORACLES: dict[str, str] = {"op4_suffix_dedup": _REPEATS, "op8_near_join": _NEAR, "op13_chat": _CHAT}
