@@ -8,18 +8,21 @@ Edges are (doc_id, source, target). Each round removes what can't be on a cycle
   a cycle is told by its two neighbours: it is, if they are of one component.
 
 When neither is possible, smallest names are passed along the edges until they settle, and each name's own node is followed
-backwards among the nodes with that name: what is reached is a component. Rounds go on until no edge is left, each is a written
-table, and nodes taken out are put back from the last round to the first.
+backwards among the nodes with that name: what is reached is a component. Rounds go on until few edges are left, which are then
+searched graph by graph; each round is a written table, and nodes taken out are put back from the last round to the first.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Tables
 
 NODE = ["doc_id", "node"]
+#: Of all graphs together; so many are searched without further rounds.
+FEW_EDGES = 50_000
 
 
 def _ends(edges: DataFrame, side: str) -> DataFrame:
@@ -53,7 +56,10 @@ def _settled(edges: DataFrame, tables: Tables) -> DataFrame:
     names, _ = tables.write(nodes.withColumn("name", F.col("node")))
     while True:
         passed = edges.join(names.select("doc_id", F.col("node").alias("source"), "name"), ["doc_id", "source"]).groupBy("doc_id", F.col("target").alias("node")).agg(F.min("name").alias("passed"))
-        new, _ = tables.write(names.join(passed, NODE, "left").select(*NODE, F.least("name", "passed").alias("name"), (F.col("passed") < F.col("name")).alias("moved")))
+        # what reaches the node of a name reaches the nodes with that name, so names travel twice as far each time
+        behind = names.select("doc_id", F.col("node").alias("name"), F.col("name").alias("behind"))
+        least = F.least("name", "passed", "behind")
+        new, _ = tables.write(names.join(passed, NODE, "left").join(behind, ["doc_id", "name"]).select(*NODE, least.alias("name"), (least < F.col("name")).alias("moved")))
         names = new.drop("moved")
         if new.where("moved").isEmpty():
             break
@@ -68,7 +74,51 @@ def _settled(edges: DataFrame, tables: Tables) -> DataFrame:
         reached, _ = tables.write(reached.union(fresh))
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def _depth_first(after: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected components, by one depth-first search: a node is its component's first one if none behind it leads further back."""
+    low: dict[str, float] = {}
+    open_: list[str] = []
+    out: list[list[str]] = []
+    for start in after:
+        todo = [] if start in low else [(start, len(low), len(open_), iter(after[start]))]
+        if todo:
+            low[start] = len(low)
+            open_.append(start)
+        while todo:
+            node, number, at, rest = todo[-1]
+            for t in rest:
+                if t not in low:
+                    todo.append((t, len(low), len(open_), iter(after.get(t, ()))))
+                    low[t] = len(low)
+                    open_.append(t)
+                    break
+                low[node] = min(low[node], low[t])
+            else:
+                todo.pop()
+                if low[node] == number:
+                    out.append(open_[at:])
+                    del open_[at:]
+                    low.update(dict.fromkeys(out[-1], float("inf")))
+                elif todo:
+                    parent = todo[-1][0]
+                    low[parent] = min(low[parent], low[node])
+    return out
+
+
+def _searched(edges: DataFrame) -> DataFrame:
+    """Components of more than one node of few edges, a graph at a time."""
+
+    def search(key, table):
+        after: dict[str, list[str]] = {}
+        for s, t in zip(table.column("source").to_pylist(), table.column("target").to_pylist()):
+            after.setdefault(s, []).append(t)
+        rows = [(n, min(c)) for c in _depth_first(after) if len(c) > 1 for n in c]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), table.schema.field("doc_id").type), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["doc_id", "node", "component"])
+
+    return edges.groupBy("doc_id").applyInArrow(search, f"doc_id {dict(edges.dtypes)['doc_id']}, node string, component string")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None, few_edges: int = FEW_EDGES) -> DataFrame:
     """(doc_id, node, component) of the nodes that lie on a cycle; component is its smallest node.
 
     With ``nodes`` (doc_id, id), edges to or from others are left out. Null ends count as unknown.
@@ -83,7 +133,7 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     left, _ = tables.write(every.where("source != target"))
     loops = [_ends(every.where("source = target"), "source")]
     n, taken, found = left.count(), [], None
-    while n:
+    while n > few_edges:
         both, out = _shortened(left, len(taken))
         out, _ = tables.write(out)
         joined = out.select("doc_id", F.col("before").alias("source"), F.col("after").alias("target"))
@@ -97,6 +147,8 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
             after, _ = tables.write(_without(after, some))
             rest = after.count()
         left, n = after, rest
+    if n:
+        found = _searched(left) if found is None else found.union(_searched(left))
     alone = spark.createDataFrame([], f"doc_id {dict(every.dtypes)['doc_id']}, node string, component string")
     if found is not None:
         # a name that only its own node has is no cycle

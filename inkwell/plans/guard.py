@@ -70,7 +70,7 @@ def _hits(patterns, column="text"):
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, '(?i){p}') THEN '{p}' END" for p in patterns) + "], lambda x: x IS NOT NULL)"
 
 
-_PII = {"email": r"[\w.+-]+@[\w-]+\.[\w.-]+", "phone": r"\b\+?\d[\d\s().-]{7,}\d\b", "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "credit_card": r"\b(?:\d[ -]*?){13,16}\b"}
+_PII = g.PII_PATTERNS
 
 
 def _contain(a, b):

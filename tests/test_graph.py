@@ -29,13 +29,14 @@ def searched(edges):
     return out
 
 
-def components(spark, edges, nodes=None):
-    found = cycles.strong_components(spark.createDataFrame(edges, EDGE), nodes).collect()
+def components(spark, edges, nodes=None, few_edges=cycles.FEW_EDGES):
+    found = cycles.strong_components(spark.createDataFrame(edges, EDGE), nodes, few_edges).collect()
     assert len(found) == len({(r.doc_id, r.node) for r in found})
     return {(r.doc_id, r.node): r.component for r in found}
 
 
-def test_components_equal_a_search(spark):
+@pytest.mark.parametrize("few_edges", [0, 600, cycles.FEW_EDGES])
+def test_components_equal_a_search(spark, few_edges):
     """Random graphs, a chain and a ring of 1,000, and two rings with a bridge, whose node is on no cycle."""
     r, edges = random.Random(3), []
     for d in range(40):
@@ -43,7 +44,7 @@ def test_components_equal_a_search(spark):
         edges += [(d, str(r.randrange(n)), str(r.randrange(n))) for _ in range(r.choice([n // 2 + 1, n, int(n * 1.5), 3 * n]))]
     edges += [(100, f"{i:04d}", f"{i + 1:04d}") for i in range(1000)] + [(101, f"{i:04d}", f"{(i + 1) % 1000:04d}") for i in range(1000)]
     edges += [(102, f"{x}{i}", f"{x}{(i + 1) % 30}") for x in "ab" for i in range(30)] + [(102, "a3", "m"), (102, "m", "b4")]
-    got = components(spark, edges)
+    got = components(spark, edges, few_edges=few_edges)
     assert got == searched(edges)
     assert (102, "m") not in got and not any(d == 100 for d, _ in got) and sum(d == 101 for d, _ in got) == 1000
 
