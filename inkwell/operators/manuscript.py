@@ -199,19 +199,24 @@ def external_matches(paras: DataFrame, sources: DataFrame, shingle: int = 5, max
         # the words are a column of their own, so that they are split once a row, and not once a run
         return rows.select("*", F.explode(F.array(words(F.lower(text)))).alias("_words")).where(F.size("_words") >= shingle)
 
-    def runs(each: Callable[[Column], Column] = lambda run: run) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.size("_words") - shingle), lambda i: each(F.concat_ws(" ", F.slice("_words", i + 1, shingle))))
-        return F.array_distinct(every)
+    def runs() -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - shingle), lambda i: F.concat_ws(" ", F.slice("_words", i + 1, shingle))))
+
+    def hashes(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+        """keys and the different runs' hashes, made of the words' hashes, so that no run is written out."""
+        hashed = split(rows, text).select(*keys, F.explode(F.array(F.transform("_words", lambda w: F.xxhash64(w)))).alias("_hashes"))
+        every = F.transform(F.sequence(F.lit(0), F.size("_hashes") - shingle), lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(shingle)]))
+        return hashed.select(*keys, F.explode(F.array_distinct(every)).alias("hash"))
 
     passages = split(sources.select("item_id", "text"), "text").select("item_id", F.explode(F.array(runs())).alias("runs")).select("item_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     shared_by = passages.groupBy("run").agg(F.count("*").alias("c"))
     ranked = passages.join(shared_by if max_docs is None else shared_by.where(F.col("c") <= max_docs), "run")
     own = Window.partitionBy("item_id")
     ranked = ranked.withColumns({"rank": F.row_number().over(own.orderBy("c", "run")), "kept": F.count("*").over(own)})
-    rarest = ranked.where(F.col("rank") <= F.col("kept") - F.floor(above * F.col("n") - 1e-9)).select("item_id", F.xxhash64("run").alias("hash"))
+    rarest = ranked.where(F.col("rank") <= F.col("kept") - F.floor(above * F.col("n") - 1e-9)).select("item_id", F.split("run", " ").alias("w"))
+    rarest = rarest.select("item_id", F.xxhash64(*[F.xxhash64(F.get("w", F.lit(k))) for k in range(shingle)]).alias("hash"))
     whole = ranked.groupBy("item_id").agg(F.first("n").alias("n"), F.collect_list("run").alias("passage"))
-    hashed = split(paras.select("doc_id", "ordinal", "paragraph"), "paragraph").select("doc_id", "ordinal", F.explode(runs(F.xxhash64)).alias("hash"))
-    met = hashed.join(rarest, "hash").select("doc_id", "ordinal", "item_id").distinct()
+    met = hashes(paras.select("doc_id", "ordinal", "paragraph"), "paragraph", "doc_id", "ordinal").join(rarest, "hash").select("doc_id", "ordinal", "item_id").distinct()
     texts = split(met.join(paras.select("doc_id", "ordinal", "paragraph"), ["doc_id", "ordinal"]), "paragraph").select("doc_id", "ordinal", "item_id", runs().alias("runs"))
     shared = texts.join(whole, "item_id").select("doc_id", "ordinal", "item_id", (F.size(F.array_intersect("runs", "passage")) / F.col("n")).alias("containment")).where(F.col("containment") > above)
     best = Window.partitionBy("doc_id", "ordinal").orderBy(F.desc("containment"), "item_id")
