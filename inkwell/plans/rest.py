@@ -218,7 +218,12 @@ QUERIES = {
     "p7_discover_sitemap": sitemaps, "p10_scan_pages": scored_pages, "t11_submission_score": submissions, "s8_graph_store": stored_graphs, "s9_write_report": reported,
 }
 _FAMILY = "(SELECT page_id % 40 AS site_id, page_id, url, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS h FROM pages)"
+#: Pages hold links from the root only, each <a href="...">...</a>.
+_ANCHORS = """anchors AS (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS seq, unnest(h) AS href, unnest(t) AS said FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages))"""
 ORACLES = {
+    "p1_html_elements": f"WITH {_ANCHORS} SELECT page_id, seq, 'a' AS tag, replace(href, '&amp;', '&') AS href, false AS in_label, replace(said, '&amp;', '&') AS text FROM anchors",
+    "p6_discover_links": rf"""WITH {_ANCHORS}, seen AS (SELECT page_id, -1 AS seq, regexp_replace(url, '#.*$', '') AS url FROM pages UNION ALL SELECT page_id, seq, regexp_extract(url, '^https?://[^/?#]+') || regexp_replace(replace(href, '&amp;', '&'), '#.*$', '') FROM anchors),
+ firsts AS (SELECT page_id, url, min(seq) AS seq FROM seen GROUP BY 1, 2), placed AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq, url)::INT AS position, url FROM firsts) SELECT * FROM placed WHERE position <= 20""",
     "c6_chunk_fixed": _FIXED,
     "c10_chunk_documents": paragraph_sql("", CONFIG) + sized_sql("paragraph"),
     "c8_chunk_heading": heading_sql("", CONFIG),
