@@ -6,6 +6,7 @@ import re
 import pytest
 from inkwell.functions.text import words
 from inkwell.operators import cycles, elements, graph, prep, trees
+from pyspark.sql import functions as F
 
 EDGE = "doc_id long, source string, target string"
 
@@ -147,3 +148,17 @@ def test_heading_eligibility(spark):
     }
     skipped = [("c", 1, 1, "H1", "Big", 30.0, True, 0.0, 90.0), ("c", 1, 2, "H1", "Small", 12.0, True, 0.0, 80.0), ("c", 1, 3, "H1", "Middle", 20.0, True, 0.0, 70.0), ("c", 1, 4, "H1", "Small again", 12.0, True, 0.0, 60.0)]
     assert {r.seq: r.level for r in elements.heading_eligibility(spark.createDataFrame(skipped, HEAD)).collect()} == {1: 1, 2: 2, 3: 2, 4: 3}
+
+
+def test_built_edges_equal_merged_relations_without_a_join(spark):
+    """Edges of a built graph are those of merge_nodes() of all nodes and their relations, also where an id stands for several texts."""
+    texts = [(1, "Open AI Lab grows the open-ai field. OpenAI Lab is part of Science Park; science parks grow."), (1, "OPEN AI lab causes openai trouble. Open Ai lab."), (2, ""), (3, None), (4, "Newton discovered Gravity. Newton discovered Gravity. newton and gravity."), (5, "alone")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    nodes = graph.entities(docs).withColumn("pos", F.col("pos").cast("long")).unionByName(graph.concepts(docs).withColumn("pos", F.col("pos").cast("long") + (1 << 32)))
+    merged, expected = graph.merge_nodes(nodes, graph.relations(docs, nodes))
+    built = graph.build_graph(docs)
+    plan = built[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    rows = [tuple(r) for r in built[1].collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in expected.collect()} and {r[0] for r in rows} == {1, 4}
+    assert sorted(map(str, built[0].collect())) == sorted(map(str, merged.collect()))
