@@ -183,16 +183,23 @@ def _merged_names(pos: list[int], labels: list[str], ids: list[str], keys: list[
 
 
 def graph_issues(nodes: DataFrame, edges: DataFrame, allow_cycles: bool = True) -> DataFrame:
-    """doc_id, issue, subject: duplicate ids and labels, dangling ends, self-loops, empty types, nodes on cycles."""
+    """doc_id, issue, subject: duplicate ids and labels, dangling ends, self-loops, empty types, nodes on cycles.
+
+    Nodes and edges are read once each: what they say of a subject is counted in one grouping.
+    """
     spaceless = F.regexp_replace(F.lower("label"), "[ \t\n]", "")
-    ids = nodes.groupBy("doc_id", "id").count().where("count > 1").select("doc_id", F.lit("duplicate_id").alias("issue"), F.col("id").alias("subject"))
-    labels = nodes.groupBy("doc_id", spaceless.alias("l")).count().where("count > 1").select("doc_id", F.lit("duplicate_label"), "l")
-    known = nodes.select("doc_id", F.col("id").alias("end")).distinct()
-    ends = edges.select("doc_id", F.col("source").alias("end")).union(edges.select("doc_id", "target")).distinct()
-    dangling = ends.join(known, ["doc_id", "end"], "left_anti").select("doc_id", F.lit("dangling_end"), "end")
-    loops = edges.where("source = target").select("doc_id", F.lit("self_loop"), "source").distinct()
-    untyped = edges.where("coalesce(trim(relationship_type), '') = ''").select("doc_id", F.lit("empty_type"), "source").distinct()
-    out = ids.union(labels).union(dangling).union(loops).union(untyped)
+    said = lambda kind, subject, node: F.struct(F.lit(kind).alias("kind"), subject.cast("string").alias("subject"), F.lit(node).alias("node"))
+    of_nodes = nodes.select("doc_id", F.inline(F.array(said("id", F.col("id"), 1), said("label", spaceless, 1))))
+    loop, untyped = F.col("source") == F.col("target"), F.coalesce(F.trim("relationship_type"), F.lit("")) == ""
+    of_edges = edges.select("doc_id", F.inline(F.array_compact(F.array(
+        said("id", F.col("source"), 0), said("id", F.col("target"), 0), F.when(loop, said("loop", F.col("source"), 0)), F.when(untyped, said("untyped", F.col("source"), 0)),
+    ))))
+    counted = of_nodes.union(of_edges).groupBy("doc_id", "kind", "subject").agg(F.sum("node").alias("nodes"), F.count_if(F.col("node") == 0).alias("ends"))
+    kind, twice = F.col("kind"), F.col("nodes") > 1
+    # an unknown end is no node's
+    dangling = (F.col("ends") > 0) & ((F.col("nodes") == 0) | F.col("subject").isNull())
+    issues = {"duplicate_id": (kind == "id") & twice, "duplicate_label": (kind == "label") & twice, "dangling_end": (kind == "id") & dangling, "self_loop": kind == "loop", "empty_type": kind == "untyped"}
+    out = counted.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(c, issue) for issue, c in issues.items()]))).alias("issue"), "subject")
     return out if allow_cycles else out.union(strong_components(edges, nodes).select("doc_id", F.lit("cycle"), "node"))
 
 

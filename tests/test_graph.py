@@ -162,3 +162,15 @@ def test_built_edges_equal_merged_relations_without_a_join(spark):
     rows = [tuple(r) for r in built[1].collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in expected.collect()} and {r[0] for r in rows} == {1, 4}
     assert sorted(map(str, built[0].collect())) == sorted(map(str, merged.collect()))
+
+
+def test_graph_issues_read_edges_once(spark):
+    """Nodes and edges are each read once; a null end is dangling even if a node has no id."""
+    nodes = spark.createDataFrame([(1, "a", "X y"), (1, "a", "xY"), (1, None, "n"), (1, None, "m"), (2, "b", "b")], "doc_id long, id string, label string")
+    edges = spark.createDataFrame([(1, "a", "c", "R"), (1, "a", "a", " "), (1, None, "a", None), (2, "b", "a", "R")], "doc_id long, source string, target string, relationship_type string")
+    df = graph.graph_issues(nodes, edges)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("Exchange") == 1
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [
+        (1, "duplicate_id", "a"), (1, "duplicate_id", None), (1, "duplicate_label", "xy"), (1, "dangling_end", "c"), (1, "dangling_end", None), (1, "self_loop", "a"), (1, "empty_type", "a"), (1, "empty_type", None), (2, "dangling_end", "a"),
+    ]))
