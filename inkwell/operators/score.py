@@ -89,9 +89,10 @@ def dashboard_kpis(checks: DataFrame, key: str = "doc_id", pdfua_rules: list[str
     weight = by_value(F.coalesce("severity", F.lit("LOW")), SEVERITY_WEIGHT, 1)
     passed, failed, mine = F.col("status") == "PASS", F.col("status") == "FAIL", F.col("rule_id").isin(pdfua_rules or PDFUA_RULES)
     rank = F.min(F.when(failed, severity_rank(F.coalesce("severity", F.lit("LOW")))))
+    # 100 times a whole number is exact, and so is a half after the division: 23 of 40 is 57.5, where 23 / 40 * 100 is less
+    percent = lambda part, whole: F.coalesce(F.bround(F.try_divide(100 * part, whole)), F.lit(100.0)).cast("int")
     rows = checks.groupBy(key).agg(
-        F.coalesce(F.bround(F.sum(F.when(passed, weight).otherwise(0)) / F.sum(weight) * 100), F.lit(100.0)).cast("int").alias("accessibility_score"),
-        F.coalesce(F.bround(F.avg(F.when(mine, passed.cast("double"))) * 100), F.lit(100.0)).cast("int").alias("pdfua_compliance"), rank.alias("r"),
+        percent(F.sum(F.when(passed, weight).otherwise(0)), F.sum(weight)).alias("accessibility_score"), percent(F.count_if(mine & passed), F.count(F.when(mine, passed))).alias("pdfua_compliance"), rank.alias("r"),
         F.count_if((F.col("severity") == "CRITICAL") & F.col("status").isin("FAIL", "WARNING")).alias("critical_issues"),
     )
     r = F.col("r")

@@ -528,3 +528,11 @@ def test_resolved_issues_expire_by_a_timer(spark, tmp_path):
             assert {(r.rule_code, r.status, r.times_seen) for r in got} == expected
     finally:
         query.stop()
+
+
+def test_dashboard_percentages_are_exact(spark):
+    """23 of 40 are 57.5 and round to 58, 109 of 200 are 54.5 and round to 54: the quotient times 100 is off in both."""
+    rows = [(q, "HDR-001", "LOW", "PASS" if i < p else "FAIL") for p, q in ((23, 40), (109, 200)) for i in range(q)] + [(1, "X", "LOW", "PASS"), (2, "HDR-001", "LOW", None)]
+    checks = spark.createDataFrame(rows, "doc_id long, rule_id string, severity string, status string")
+    got = {r.doc_id: (r.accessibility_score, r.pdfua_compliance) for r in score.dashboard_kpis(checks).collect()}
+    assert got == {40: (58, 58), 200: (54, 54), 1: (100, 100), 2: (0, 100)}
