@@ -41,10 +41,11 @@ def chapters(s, d):
 
 
 def label_checks(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("label"), (F.col("item_id") % 20).alias("src"))
-    t = docs(s, d).select("doc_id", F.substring_index("source", "src", -1).cast("int").alias("src"), "text")
-    folded = t.join(beside(b), "src").where(F.contains(fold_for_match("text"), fold_for_match("label")))
-    return b.join(folded.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_sources"))
+    """In how many texts of its source each label stands; texts and labels are folded before they are paired, once each."""
+    b = table(s, d, "benchmark").select("item_id", fold_for_match("text").alias("label"), (F.col("item_id") % 20).alias("src"))
+    t = docs(s, d).select(F.substring_index("source", "src", -1).cast("int").alias("src"), fold_for_match("text").alias("text"))
+    found = t.join(beside(b), "src").where(F.contains("text", "label"))
+    return b.join(found.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_sources"))
 
 
 def links(s, d):

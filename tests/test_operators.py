@@ -536,3 +536,15 @@ def test_dashboard_percentages_are_exact(spark):
     checks = spark.createDataFrame(rows, "doc_id long, rule_id string, severity string, status string")
     got = {r.doc_id: (r.accessibility_score, r.pdfua_compliance) for r in score.dashboard_kpis(checks).collect()}
     assert got == {40: (58, 58), 200: (54, 54), 1: (100, 100), 2: (0, 100)}
+
+
+def test_labels_are_folded_once(spark, tmp_path):
+    """Texts are folded below the join with labels, not for every pair; both ways of writing a label are found, and its own source only."""
+    from inkwell.plans import more
+
+    spark.createDataFrame([(1, "the “Big”  apple"), (21, "a–b"), (2, "x"), (4, "none")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 'See The "big"\nAPPLE and a-B.', "src1"), (2, "the “big” apple", "src1"), (3, "x X", "src2"), (4, "a–b", "src2"), (5, None, "src1")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = more.label_checks(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(1, 2), (21, 1), (2, 1), (4, 0)}
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "Contains" in joins[0] and "translate" not in joins[0]
