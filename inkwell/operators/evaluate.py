@@ -33,13 +33,32 @@ def evaluate_chunks(chunks: DataFrame, key: str = "doc_id", target: int = 512) -
     return as_metrics(rows, key, "CHUNKING", {"average_size": 1 - F.abs(F.col("size") - target) / target, "heading_preservation": F.col("headed"), "semantic_boundaries": F.col("clean")})
 
 
-def evaluate_retrieval(hits: DataFrame, truth: DataFrame | None = None, key: str = "query_id") -> DataFrame:
-    """Hits (key, chunk_id, score) and truth (key, chunk_id) to top_k_relevance, duplicate_chunks, missing_chunks."""
-    if truth is None:
+def _truth_of_classes(hits: DataFrame, queries: DataFrame, chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(right hits (key, chunk_id), number of right chunks (key, wanted)), without the pairs of every query and chunk of a class."""
+    asked, have = queries.select(key, "class").where("class is not null").distinct(), chunks.select("chunk_id", "class").where("class is not null").distinct()
+    right = hits.select(key, "chunk_id").distinct().join(asked, key).join(have, ["chunk_id", "class"]).select(key, "chunk_id").distinct()
+    one = asked.groupBy(key).agg(F.count("*").alias("n"), F.first("class").alias("class"))
+    sizes = have.groupBy("class").agg(F.count("*").alias("wanted"))
+    # classes of one query may share chunks, so only the chunks themselves tell how many there are
+    several = asked.join(one.where("n > 1").select(key), key).join(have, "class").select(key, "chunk_id").distinct().groupBy(key).agg(F.count("*").alias("wanted"))
+    return right, one.where("n = 1").join(sizes, "class").select(key, "wanted").union(several)
+
+
+def evaluate_retrieval(hits: DataFrame, truth: DataFrame | None = None, key: str = "query_id", classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Hits (key, chunk_id, score) and truth (key, chunk_id) to top_k_relevance, duplicate_chunks, missing_chunks.
+
+    Where the right chunks of a query are those of its class, ``classes`` gives queries (key, class) and chunks (chunk_id, class)
+    in place of the pairs.
+    """
+    if truth is None and classes is None:
         marked = hits.withColumns({"good": F.lit(None).cast("int"), "wanted": F.lit(None).cast("long")})
     else:
-        expected = truth.select(key, "chunk_id").distinct()
-        marked = hits.join(expected.withColumn("good", F.lit(1)), [key, "chunk_id"], "left").join(expected.groupBy(key).agg(F.count("*").alias("wanted")), key, "left")
+        if classes is None:
+            right = truth.select(key, "chunk_id").distinct()
+            wanted = right.groupBy(key).agg(F.count("*").alias("wanted"))
+        else:
+            right, wanted = _truth_of_classes(hits, *classes, key)
+        marked = hits.join(right.withColumn("good", F.lit(1)), [key, "chunk_id"], "left").join(wanted, key, "left")
     rows = marked.groupBy(key).agg(F.count("*").alias("k"), F.sum(F.coalesce("good", F.lit(0))).alias("good"), F.max("wanted").alias("wanted"), F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), F.countDistinct("chunk_id").alias("own"), F.count("chunk_id").alias("named"))
     known = F.col("wanted").isNotNull()
     return as_metrics(rows, key, "RETRIEVAL", {

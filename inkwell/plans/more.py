@@ -31,8 +31,8 @@ def retrieval(s, d):
     v = store(s, d)
     hits = vectors.vector_top_k(asked(s, d), v).withColumnRenamed("id", "chunk_id")
     labels = table(s, d, "embeddings")
-    truth = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
-    return evaluate.evaluate_retrieval(hits, truth)
+    queries = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("class"))
+    return evaluate.evaluate_retrieval(hits, classes=(queries, labels.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("class"))))
 
 
 def chapters(s, d):

@@ -548,3 +548,18 @@ def test_labels_are_folded_once(spark, tmp_path):
     assert {tuple(r) for r in df.collect()} == {(1, 2), (21, 1), (2, 1), (4, 0)}
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert len(joins) == 1 and "Contains" in joins[0] and "translate" not in joins[0]
+
+
+def test_retrieval_by_class_equals_pairs(spark):
+    """Classes stand for the pairs of their queries and chunks, also where they overlap, are empty or null; no join makes the pairs."""
+    r = random.Random(5)
+    asked = [(q, c) for q in range(12) for c in r.sample("abcdef", r.choice([0, 1, 1, 1, 2, 3]))] + [(3, None), (3, "a"), (3, "a")]
+    have = [(i, c) for i in range(80) for c in r.sample("abcd", r.choice([0, 1, 1, 2]))] + [(5, None)]
+    hits = spark.createDataFrame([(q, r.choice([None, *range(80)]), r.random()) for q in range(12) for _ in range(5)], "query_id long, chunk_id long, score double")
+    queries, chunks = spark.createDataFrame(asked, "query_id long, class string"), spark.createDataFrame(have, "chunk_id long, class string")
+    pairs = queries.join(chunks, "class").select("query_id", "chunk_id")
+    assert sorted(map(str, evaluate.evaluate_retrieval(hits, classes=(queries, chunks)).collect())) == sorted(map(str, evaluate.evaluate_retrieval(hits, pairs).collect()))
+    each, own = spark.range(10_000).selectExpr("id AS query_id", "'a' AS class"), spark.range(10_000).selectExpr("id AS chunk_id", "'a' AS class")
+    some = spark.range(10_000).selectExpr("id AS query_id", "id AS chunk_id", "1.0D AS score")
+    got = evaluate.evaluate_retrieval(some, classes=(each, own)).where("name = 'missing_chunks'").agg({"score": "max", "*": "count"}).first()
+    assert sorted(map(float, got)) == [0.0001, 10_000.0]
