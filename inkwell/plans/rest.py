@@ -14,7 +14,7 @@ from ..operators import manuscript as m
 from ..operators import prep as p
 from ..operators import score as k
 from ..sources import files, graphs
-from ..sources.shared import shared_folder
+from ..sources.shared import Tables, shared_folder
 from ..sources.tables import table
 from .derived import ORACLES as DERIVED
 from .derived import MARKUP
@@ -119,12 +119,13 @@ _ISSUES = r"""SELECT doc_id, 'duplicate_id' AS issue, id AS subject FROM nodes G
 def stored_graphs(s, d):
     """Entities of the documents as a graph for each source, written in two versions, read from the newest."""
     path = f"{shared_folder(s)}/graphs-{uuid.uuid4().hex}"
-    nodes = graph.entities(docs(s, d)).join(docs(s, d).select("doc_id", F.col("source").alias("graph_id")), "doc_id")
+    # written once, as both versions and their edges are made of them
+    nodes, _ = Tables(s, "entities").write(graph.entities(docs(s, d)).join(docs(s, d).select("doc_id", F.col("source").alias("graph_id")), "doc_id"))
     edges = nodes.select("graph_id", F.col("id").alias("source"), F.lit(None).cast("string").alias("target"))
     graphs.write_graph(nodes, edges, path)
     graphs.write_graph(nodes.where("graph_id <> 'src1' and pos < 2"), edges.where("graph_id <> 'src1'"), path)
     graphs.delete_graph(s, path, "src2")
-    newest = [n.select("graph_id", "pos") for n in (graphs.read_graph(s, path, r.graph_id)[0] for r in graphs.list_graphs(s, path).collect())]
+    newest = [graphs.read_graph(s, path, r.graph_id)[0].select("graph_id", "pos") for r in graphs.list_graphs(s, path).collect()]
     out = newest[0]
     for rows in newest[1:]:
         out = out.union(rows)

@@ -81,9 +81,13 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> int:
     spark, name = nodes.sparkSession, uuid.uuid4().hex
     base = newest_version(spark, path)
     before = _manifest(spark, path, base)
+    written = []
     for kind, rows in zip(KINDS, (nodes, edges)):
         rows.write.partitionBy("graph_id").parquet(f"{path}/data/{name}/{kind}")
-    fresh = nodes.select(F.col("graph_id").cast("string").alias("graph_id")).union(edges.select(F.col("graph_id").cast("string"))).distinct()
+        # which graphs there are is asked of what was written, not of what nodes and edges are made of
+        stored = spark.read.schema(rows.schema).parquet(f"{path}/data/{name}/{kind}")
+        written.append(stored.select(F.col("graph_id").cast("string").alias("graph_id")))
+    fresh = written[0].union(written[1]).distinct()
     manifest = before.join(fresh, "graph_id", "left_anti").union(fresh.withColumn("folder", F.lit(name)))
     return _publish(spark, path, base, manifest, name)
 

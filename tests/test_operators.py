@@ -563,3 +563,18 @@ def test_retrieval_by_class_equals_pairs(spark):
     some = spark.range(10_000).selectExpr("id AS query_id", "id AS chunk_id", "1.0D AS score")
     got = evaluate.evaluate_retrieval(some, classes=(each, own)).where("name = 'missing_chunks'").agg({"score": "max", "*": "count"}).first()
     assert sorted(map(float, got)) == [0.0001, 10_000.0]
+
+
+def test_writing_a_graph_makes_its_rows_once(spark, tmp_path):
+    """Which graphs a version holds is asked of what was written: rows of nodes and edges are made once each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    nodes = spark.range(6).selectExpr("concat('g', id % 2) AS graph_id", "id").mapInArrow(counted, "graph_id string, id long")
+    edges = spark.range(4).selectExpr("'g2' AS graph_id", "id AS source", "id AS target").mapInArrow(counted, "graph_id string, source long, target long")
+    graphs.write_graph(nodes, edges, f"{tmp_path}/g")
+    assert made.value == 10 and [r.graph_id for r in graphs.list_graphs(spark, f"{tmp_path}/g").collect()] == ["g0", "g1", "g2"]
