@@ -472,7 +472,9 @@ def page_headings(nodes: DataFrame, parents: list[str] | None = None) -> DataFra
     """HDR-001..005 of structure elements (doc_id, seq, type, parent_type, text); the gap is between distinct levels."""
     doc = Window.partitionBy("doc_id")
     rows = nodes.withColumn("level", F.when(F.col("type").rlike("^H[1-6]$"), F.substring("type", 2, 1).cast("int")))
-    rows = rows.withColumns({"h1": F.count_if(F.col("level") == 1).over(doc), "levels": F.array_sort(F.collect_set("level").over(doc)), "n": F.row_number().over(doc.orderBy("seq"))})
+    # in order first: rows so sorted need no other sort for what is told of a whole document
+    rows = rows.withColumn("n", F.row_number().over(doc.orderBy("seq")))
+    rows = rows.withColumns({"h1": F.count_if(F.col("level") == 1).over(doc), "levels": F.array_sort(F.collect_set("level").over(doc))})
     gaps = F.exists(F.sequence(F.lit(0), F.greatest(F.size("levels") - 2, F.lit(0))), lambda i: F.coalesce(F.get("levels", i + 1) - F.get("levels", i) > 1, F.lit(False)))
     d, one, head = F.lit("document"), F.col("n") == 1, F.col("level").isNotNull()
     return found(rows, [

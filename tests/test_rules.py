@@ -177,3 +177,11 @@ def test_slide_titles_are_the_fixed_values(spark):
 def test_contrast_of_an_unknown_colour_is_unknown(spark):
     row = spark.range(1).select(contrast_ratio(F.lit("000000"), F.lit(None).cast("string")).alias("a"), contrast_ratio(F.lit("000000"), F.lit("FFFFFF")).alias("b"), banner_key(F.lit("2023 Summary 4")).alias("k")).first()
     assert row.a is None and abs(row.b - 21) < 1e-9 and row.k == "summary"
+
+
+def test_page_headings_sort_once(spark):
+    """One sort of the elements serves both windows, so that a task holds them once."""
+    nodes = spark.createDataFrame([("a", 2, "H1", "Document", "t"), ("a", 1, "H3", "Document", "t"), ("b", 1, "P", "Sect", "")], "doc_id string, seq int, type string, parent_type string, text string")
+    df = rules.page_headings(nodes)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert {(r.doc_id, r.rule_id) for r in df.collect()} == {("a", "HDR-003"), ("b", "HDR-001"), ("b", "HDR-002")}
