@@ -30,6 +30,15 @@ def beside(table: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def dealt(table: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """A table dealt out by a key to partitions of about ``most`` rows, which are counted.
+
+    For rows that shrink so much in a shuffle that its bytes tell nothing of the memory they take: partitions of so many are not
+    put together again. Rows of one value of the key stay together.
+    """
+    return table.repartition(max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // most)), key)
+
+
 class Tables:
     """Tables of one job. A table that was written needs nothing of what it was made from, so a lost executor costs no round."""
 
