@@ -601,9 +601,8 @@ def report(results: DataFrame, checks: DataFrame, org, project) -> tuple[DataFra
     results, _ = tables.write(results)  # read twice below, and made of every element table
     scope = resolve_checks(checks, org, project, "project_wins")
     catalog = scope.select(F.col("check_code").alias("rule_id"), F.col("agent").alias("analyzer"), F.lit(True).alias("enabled"), "category", "auto_fixable", "internal_check").dropDuplicates(["rule_id"])
-    executed, states = executed_checks_coverage(results, catalog)
-    about = results.select("doc_id", "rule_id", "severity", "affected_count")
-    rows = executed.join(about, ["doc_id", "rule_id"], "left").join(catalog.select("rule_id", "category", "auto_fixable", "internal_check"), "rule_id")
+    executed, states = executed_checks_coverage(results, catalog, also=["severity", "affected_count"])
+    rows = executed.join(F.broadcast(catalog.select("rule_id", "category", "auto_fixable", "internal_check")), "rule_id")  # at most MAX_RULES rules
     rows = rows.select("doc_id", "analyzer", "rule_id", "category", F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), "status", F.coalesce("affected_count", F.lit(0)).cast("long").alias("affected_count"), "auto_fixable", "internal_check")
     rows, _ = tables.write(rows)
     one = validation_summary(rows).join(retained_score(rows)[0].withColumnRenamed("overall", "retained"), "doc_id").join(weighted_score(rows), "doc_id").join(dashboard_kpis(rows), "doc_id")
