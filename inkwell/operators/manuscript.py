@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ MIN_PARAGRAPH = 50
 FLAG_ABOVE = 0.75
 #: Paragraphs of a document that are compared with as many others in one group.
 BLOCK = 256
+#: What counts as white space. Splitting at one of them, and not at a pattern, compiles none for each of many short texts.
+SPACE = " \t\n\v\f\r"
 #: Fixed values
 TERM_GROUPS = [["ai system", "ml engine", "artificial intelligence"], ["model", "algorithm", "system"]]
 GENERIC_PHRASES = ["in today's world", "it is important to note", "this highlights"]
@@ -35,7 +37,7 @@ def paragraphs(corpus: DataFrame, min_chars: int = MIN_PARAGRAPH) -> DataFrame:
 
 def sized_paragraphs(corpus: DataFrame, min_chars: int = MIN_PARAGRAPH) -> DataFrame:
     """paragraphs() with n, how many its document has."""
-    lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda p: F.length(p) > min_chars)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda p: F.btrim(p, F.lit(SPACE))), lambda p: F.length(p) > min_chars)
     # a column of its own, so that it is worked out once a row
     split = corpus.select("doc_id", F.explode(F.array(lines)).alias("lines"))
     return split.select("doc_id", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "paragraph")).select("doc_id", (F.col("at") + 1).alias("ordinal"), "paragraph", "n")
@@ -85,10 +87,16 @@ def _in_blocks(paras: DataFrame, work: Callable, schema: str) -> DataFrame:
     return keyed.repartition("doc_id", "i", "j").sortWithinPartitions("doc_id", "i", "j", "side", "ordinal").mapInArrow(stream, schema)
 
 
+@lru_cache(64)
+def _corner(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of n, which documents of one size share."""
+    return np.triu_indices(n, 1)
+
+
 def _similarities(sides: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, similarity) of a block's pairs, or of those between two blocks."""
     n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    a, b = np.triu_indices(n, 1) if not sides.any() else (x.ravel() for x in np.meshgrid(np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), indexing="ij"))
+    a, b = _corner(n) if not sides.any() else (x.ravel() for x in np.meshgrid(np.flatnonzero(sides == 0), np.flatnonzero(sides == 1), indexing="ij"))
     both = np.zeros((n, n), dtype=np.float32)
     order = np.argsort(numbers, kind="stable")
     owner, numbers = owner[order], numbers[order]
@@ -151,6 +159,46 @@ def _by_document(corpus: DataFrame, paras: DataFrame, pairs: DataFrame) -> DataF
     return corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text")).join(counted, "doc_id", "left").join(summed, "doc_id", "left").fillna(filled)
 
 
+def _plain_words(c: Column) -> Column:
+    """words() of a text whose white space is only spaces."""
+    return F.array_remove(F.split(c, " "), "")
+
+
+def text_totals(corpus: DataFrame) -> DataFrame:
+    """What _by_document() tells, straight from the texts: doc_id, has_text, n, pair_sum, n_pairs, n_flagged.
+
+    The word sets of a document of up to ``BLOCK`` paragraphs stay in its row, which is not shuffled; a larger one goes through
+    pair_totals().
+    """
+    held = corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), F.explode(F.array(F.split(F.regexp_replace("text", r"[\t\x0B\f\r]", " "), "\n"))).alias("lines"))
+    lines = F.filter("lines", lambda p: (F.length(p) > MIN_PARAGRAPH) & (F.length(F.btrim(p)) > MIN_PARAGRAPH))
+    held = held.select("doc_id", "has_text", F.explode(F.array(lines)).alias("lines")).select("doc_id", "has_text", F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n"), "lines")
+    sets = F.when(F.col("n").between(2, BLOCK), F.transform("lines", lambda p: F.array_distinct(_plain_words(F.lower(p))))).alias("sets")
+    kind = dict(corpus.dtypes)["doc_id"]
+
+    def stream(batches):
+        for batch in batches:
+            held = batch.column("sets")
+            documents = held.offsets.to_numpy()
+            sets = held.values
+            words = sets.offsets.to_numpy()
+            numbers = sets.values.slice(words[0], words[-1] - words[0]).dictionary_encode().indices.to_numpy() if len(words) > 1 else np.zeros(0, np.int32)
+            sums = np.zeros(len(held)), np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+            for k in np.flatnonzero(np.diff(documents)):
+                at = words[documents[k] : documents[k + 1] + 1]
+                own = np.unique(numbers[at[0] - words[0] : at[-1] - words[0]], return_inverse=True)[1]
+                sizes = np.diff(at)
+                _, _, similarity = _similarities(np.zeros(len(sizes), np.int32), sizes, own)
+                sums[0][k], sums[1][k], sums[2][k] = similarity.sum(), len(similarity), (similarity > FLAG_ABOVE).sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "has_text", "n")), *(pa.array(x) for x in sums)], names=["doc_id", "has_text", "n", "pair_sum", "n_pairs", "n_flagged"])
+
+    rows = held.select("doc_id", "has_text", "n", sets).mapInArrow(stream, f"doc_id {kind}, has_text boolean, n long, pair_sum double, n_pairs long, n_flagged long")
+    # a text of no more characters has no more paragraphs
+    large = sized_paragraphs(corpus.where(F.length("text") > BLOCK * MIN_PARAGRAPH)).where(F.col("n") > BLOCK)
+    sums = ["pair_sum", "n_pairs", "n_flagged"]
+    return rows.join(pair_totals(large).select("doc_id", *[F.col(c).alias(f"large_{c}") for c in sums]), "doc_id", "left").select("doc_id", "has_text", "n", *[F.coalesce(f"large_{c}", c).alias(c) for c in sums])
+
+
 def _originality_score() -> Column:
     mean = (F.col("pair_sum") + F.col("external")) / (F.col("n_pairs") + F.col("n"))
     return F.when(~F.col("has_text"), 0.0).when(F.col("n") < 2, 1.0).otherwise(py_round(1 - mean, 2))
@@ -235,14 +283,16 @@ def ai_authorship(corpus: DataFrame) -> DataFrame:
 
     Signals: population deviation of sentence lengths below 5, lexical diversity below 0.5, repetition above 0.5.
     """
-    sentences = F.filter(F.split("text", "[.!?]"), lambda s: F.length(strip(s)) > 0)
-    rows = corpus.select("doc_id", F.transform(sentences, word_count).alias("lengths"), words("text").alias("words"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"))
-    n = F.size("lengths")
+    flat = corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), F.explode(F.array(F.regexp_replace("text", r"[\t\n\x0B\f\r]", " "))).alias("flat"))
+    # a sentence without words is none
+    lengths = F.filter(F.transform(F.split("flat", "[.!?]"), lambda s: F.size(_plain_words(s))), lambda n: n > 0)
+    rows = flat.select("doc_id", "has_text", F.explode(F.array(lengths)).alias("lengths"), _plain_words(F.col("flat")).alias("words"))
+    n = F.size("lengths").cast("long")
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     squares = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
-    # n^2 * variance is a whole number, so the comparison with 5 is exact
+    # n^2 * variance is a whole number, so the comparison with 5 is exact; 25 n^2 outgrows an int at 9268 sentences
     low_variance = (n <= 1) | ((n * squares - total * total) < 25 * n * n)
-    rows = rows.select("doc_id", "has_text", n.alias("sentences"), low_variance.alias("even"), F.size("words").alias("total"), F.size(F.array_distinct("words")).alias("unique"))
+    rows = rows.select("doc_id", "has_text", F.size("lengths").alias("sentences"), low_variance.alias("even"), F.size("words").alias("total"), F.size(F.array_distinct("words")).alias("unique"))
     diversity = F.when(F.col("total") > 0, F.col("unique") / F.col("total")).otherwise(0.0)
     even, poor, repeated = F.col("even"), diversity < 0.5, (1 - diversity) > 0.5
     score = F.when(even, 0.3).otherwise(0.0) + F.when(poor, 0.3).otherwise(0.0) + F.when(repeated, 0.4).otherwise(0.0)
@@ -275,14 +325,18 @@ def sections(corpus: DataFrame) -> DataFrame:
 
 
 def editorial(corpus: DataFrame) -> DataFrame:
-    """doc_id, readiness_status, n_issues, issues, strengths."""
+    """doc_id, readiness_status, n_issues, issues, strengths.
+
+    A text without a marker is one general section, so that only the lines of others are looked at.
+    """
     def of(name: str, value: str) -> Column:
         return F.max(F.when(F.col("section") == name, F.col(value)))
 
-    facts = sections(corpus).groupBy("doc_id").agg(F.count("*").alias("n"), of("Introduction", "words").alias("intro"), of("Conclusion", "words").alias("end"), of("Conclusion", "in_conclusion").alias("said"))
-    low = F.lower("text")
-    generic = sum((occurrences(low, p) for p in GENERIC_PHRASES), F.lit(0))
-    rows = corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), (F.coalesce(generic, F.lit(0)) > 3).alias("generic")).join(facts, "doc_id", "left")
+    marked = corpus.where(F.contains(F.lower("text"), F.lit("introduction")) | F.contains(F.lower("text"), F.lit("conclusion")))
+    facts = sections(marked).groupBy("doc_id").agg(F.count("*").alias("n"), of("Introduction", "words").alias("intro"), of("Conclusion", "words").alias("end"), of("Conclusion", "in_conclusion").alias("said"))
+    held = corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), F.explode(F.array(F.lower("text"))).alias("low"))
+    generic = sum((F.when(F.contains("low", F.lit(p)), occurrences(F.col("low"), p)).otherwise(0.0) for p in GENERIC_PHRASES), F.lit(0.0))
+    rows = held.select("doc_id", "has_text", (generic > 3).alias("generic")).join(facts, "doc_id", "left").withColumn("n", F.coalesce("n", F.when(F.col("has_text"), 1)))
     weak_end = ~F.col("said") & (F.col("end") < 50)
     issues = compacted(
         F.when(F.col("intro") < 50, F.lit("Weak introduction")), F.when(F.col("end").isNotNull() & weak_end, F.lit("Weak conclusion")),
@@ -310,10 +364,11 @@ def structure(corpus: DataFrame, required: list[str], order_mode: str = "referen
     ``reference``: the found sections are tested in the template's own order, so that without repeated names the order is
     always right; ``position``: their places in the text must ascend.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
+    # a column of its own, so that it is worked out once a row, and not for every name
+    held = corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), F.explode(F.array(F.lower(F.coalesce("text", F.lit(""))))).alias("low"))
     names = F.array(*[F.lit(s) for s in required])
-    found = F.filter(names, lambda s: F.contains(low, F.lower(s)))
-    rows = corpus.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("has_text"), found.alias("found"), F.transform(found, lambda s: F.instr(low, F.lower(s))).alias("places"))
+    found = compacted(*[F.when(F.contains("low", F.lower(F.lit(s))), F.lit(s)) for s in required])
+    rows = held.select("doc_id", "has_text", found.alias("found"), F.transform(found, lambda s: F.instr("low", F.lower(s))).alias("places"))
     places = F.transform("found", lambda s: F.array_position(names, s)) if order_mode == "reference" else F.col("places")
     ascending = F.get(F.transform(F.array(places), lambda p: (F.size(p) <= 1) | F.forall(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: F.coalesce(F.get(p, i) > F.get(p, i - 1), F.lit(True)))), F.lit(0))
     complete = F.size("found") / len(required) * 100
@@ -348,7 +403,11 @@ def submission_score(*parts: DataFrame) -> DataFrame:
 
 def manuscript_report(corpus: DataFrame, required: list[str], metric: str = "jaccard", order_mode: str = "reference") -> DataFrame:
     """One row per document with the results of all engines; the pairs are compared once for both scores made of them."""
-    paras = sized_paragraphs(corpus)
-    facts = _by_document(corpus, paras, pair_totals(paras, metric)).withColumn("external", F.lit(0.0))
+    if metric == "jaccard":
+        facts = text_totals(corpus)
+    else:
+        paras = sized_paragraphs(corpus)
+        facts = _by_document(corpus, paras, pair_totals(paras, metric))
+    facts = facts.withColumn("external", F.lit(0.0))
     compared = facts.select("doc_id", _originality_score().alias("originality_score"), _redundancy_score().alias("redundancy_score"))
     return submission_score(compared, ai_authorship(corpus), editorial(corpus), structure(corpus, required, order_mode))

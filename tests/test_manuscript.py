@@ -76,3 +76,38 @@ def test_external_matches_equal_all_passages(spark, above, max_docs):
     expected = {(d, o): best for d, o, t in rows if (best := contained(t, known, above, max_docs))}
     assert {(x.doc_id, x.ordinal): (round(-x.containment, 9), x.item_id) for x in got.collect()} == {k: (round(c, 9), i) for k, (c, i) in expected.items()}
     assert expected
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_totals_of_texts_equal_those_of_paragraphs(spark, monkeypatch, block):
+    monkeypatch.setattr(m, "BLOCK", block)
+    odd = [(90, None), (91, ""), (92, "short"), (93, "\n".join(["\t " + "wide gaps \t in \v a line that repeats" * 3 + " \r", " " * 80, "gaps in a wide line, and \u00c4\u00d6\u00dc \u4e2d\u6587" * 3])), (94, "one paragraph of more than fifty characters, and no other one")]
+    corpus = spark.createDataFrame([(d, "\n".join(ps)) for d, ps in manuscripts(block).items()] + odd, "doc_id long, text string").repartition(3)
+    paras = m.sized_paragraphs(corpus)
+    listed = lambda df: [(r.doc_id, r.has_text, r.n, round(r.pair_sum, 9), r.n_pairs, r.n_flagged) for r in df.orderBy("doc_id").collect()]
+    assert listed(m.text_totals(corpus)) == listed(m._by_document(corpus, paras, m.pair_totals(paras)))
+    assert m.manuscript_report(corpus, ["The"]).where("doc_id = 93").first().redundancy_score == round(listed(m.text_totals(corpus))[-2][3], 2)
+
+
+def test_word_sets_stay_with_their_document(spark):
+    """Only the few texts that may hold over BLOCK paragraphs are shuffled as sets."""
+    plan = m.text_totals(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("RepartitionByExpression")
+    assert len(below) == 2 and f"> {m.BLOCK * m.MIN_PARAGRAPH}" in below[1]
+
+
+def test_authorship_of_many_sentences(spark):
+    """25 n^2 of 10,000 sentences is no int."""
+    rows = m.ai_authorship(spark.createDataFrame([(1, "One two. " * 10_000), (2, " . ! \t ? a\tb.\nc  d")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.sentences, r.ai_likelihood_score) for r in rows] == [(10_000, 1.0), (2, 0.3)]
+
+
+def test_lines_are_looked_at_where_a_marker_is(spark):
+    corpus = spark.createDataFrame([(1, None), (2, ""), (3, "no marker"), (4, "a\nINTRODUCTION\n" + "w " * 60 + "\nConclusion: in conclusion"), (5, "introduction")], "doc_id long, text string")
+    got = {r.doc_id: (r.readiness_status, r.issues, r.strengths) for r in m.editorial(corpus).collect()}
+    assert got == {
+        1: ("Unknown", "", ""), 2: ("Unknown", "", ""), 3: ("Ready for Copyediting", "Poor structure", "Content shows some specificity"),
+        4: ("Ready for Copyediting", "", "Introduction provides context; Conclusion summarizes key ideas; Content shows some specificity"),
+        5: ("Needs Structural Editing", "Weak introduction; Poor structure", "Content shows some specificity"),
+    }
+    assert "introduction" in m.editorial(corpus)._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1].split("Filter")[-1]
