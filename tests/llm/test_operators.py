@@ -308,6 +308,20 @@ def test_suffix_dedup_settles_hot_strings_before_the_shuffle(spark, monkeypatch)
     assert (lane[:400] == 0).sum() == 2 and len(set(lane[:400].tolist())) == 399 and not lane[400:].any()
 
 
+@pytest.mark.parametrize("most", [8, 3])
+def test_suffix_dedup_of_slices(spark, monkeypatch, most):
+    """Rounds of a large input are done for one slice of names after the other, so that their shuffle files don't lie side by side."""
+    r, passages = random.Random(6), [prose(i, 20) for i in range(9)]
+    rows = [(i, " ".join(r.choice([prose(100 + i, 9), r.choice(passages)[r.randrange(30) :]]) for _ in range(6))) for i in range(40)]
+    docs, met = documents(spark, rows).repartition(3), []
+    monkeypatch.setattr(suffix, "MARKS_A_SLICE", 50)
+    monkeypatch.setattr(suffix, "SLICES", most)
+    round_1 = suffix._shared_marks
+    monkeypatch.setattr(suffix, "_shared_marks", lambda marks: met.append({x.name for x in marks.select("name").collect()}) or round_1(marks))
+    assert sorted(map(tuple, suffix.repeat_digests(docs).collect())) == sorted(brute_repeats(rows, 50))
+    assert len(met) == most and max(map(len, met)) < 2 * len(set().union(*met)) / most and sum(map(len, met)) == len(set().union(*met))
+
+
 # --- embedding graph ------------------------------------------------------------------------------------------------
 
 
