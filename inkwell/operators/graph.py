@@ -32,7 +32,9 @@ PHRASES = [
 WORD_CHARACTER = re.compile("[A-Za-z0-9_]")
 #: Rows that a task holds before it hands them on.
 EDGES_A_BATCH = 50_000
-PROPER_NOUNS = r"(?<![\p{L}\p{N}_])([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)(?![\p{L}\p{N}_])"
+#: Every word ends at a boundary, so that nothing is taken back: Java's groups that may take back recurse for each of their words,
+#: and thousands of capitalised words in a row end the JVM with a StackOverflowError.
+PROPER_NOUNS = r"(?<![\p{L}\p{N}_])([A-Z][a-zA-Z]*+(?![\p{L}\p{N}_])(?:\s++[A-Z][a-zA-Z]*+(?![\p{L}\p{N}_]))*+)"
 
 
 def _stopwords() -> Column:
@@ -118,12 +120,14 @@ def _followed(rows: DataFrame, named: Callable = _labels_as_names, match: str =
 
 
 def _document_edges(said: list[str], labels: list[str], names: list[str], match: str) -> set[tuple]:
+    if len(labels) < 2:
+        return set()
     index = ahocorasick.Automaton()
     for k, label in enumerate(labels):
         index.add_word(label, k)
     index.make_automaton()
     edges = set()
-    for sentence in said if labels else []:
+    for sentence in said:
         places: dict[int, int] = {}
         for last, k in index.iter(sentence):
             at = last + 1 - len(labels[k])

@@ -174,3 +174,16 @@ def test_graph_issues_read_edges_once(spark):
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [
         (1, "duplicate_id", "a"), (1, "duplicate_id", None), (1, "duplicate_label", "xy"), (1, "dangling_end", "c"), (1, "dangling_end", None), (1, "self_loop", "a"), (1, "empty_type", "a"), (1, "empty_type", None), (2, "dangling_end", "a"),
     ]))
+
+
+def test_entities_of_a_long_run_of_capitalised_words(spark):
+    """A pattern that may give words back recurses for each of them and ends the JVM, so only short texts are matched by the plain one."""
+    r = random.Random(3)
+    plain = r"(?<![\p{L}\p{N}_])([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)(?![\p{L}\p{N}_])"
+    short = spark.createDataFrame([("".join(r.choice(["A", "B", "a", "b", "\u00e9", "\u00c9", "_", "1", " ", " ", "\n", "."]) for _ in range(r.randrange(40))),) for _ in range(2000)], "text string")
+    found = [F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias(n) for n, p in (("plain", plain), ("new", graph.PROPER_NOUNS))]
+    assert short.select("text", *found).where("plain <> new").count() == 0
+    run = " ".join(f"Word{chr(97 + i % 26)}" for i in range(20_000))
+    corpus = spark.createDataFrame([(1, run), (2, f"Tree {run}1 depends on Root.")], "doc_id long, text string")
+    assert [(x.doc_id, len(x.label)) for x in graph.entities(corpus).orderBy("doc_id", "pos").collect()] == [(1, len(run)), (2, len(run) + 5 - 6), (2, 4)]
+    assert {(x.doc_id, len(x.source), x.target, x.relationship_type) for x in graph.build_graph(corpus)[1].collect()} == {(2, len(run) - 1, "depends", "WORDF"), (2, 7, "root", "RELATED_TO")}
