@@ -51,11 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each one's result is written to the shared folder and read by the next."""
+    """All stages on documents; each one's result is written to the shared folder, read by the next and then removed."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.keep(docs)
+            if i:
+                scratch.drop(before)
     return docs

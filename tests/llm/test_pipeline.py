@@ -1,5 +1,6 @@
 """The pipeline against its stages done by hand on a small corpus."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -48,3 +49,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_only_the_last_kept_stage_stays_on_disk(spark, monkeypatch):
+    made = []
+
+    class Watched(corpus_pipeline.Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self.root.removeprefix("file://"))
+
+    monkeypatch.setattr(corpus_pipeline, "Scratch", Watched)
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert os.listdir(made[0]) == [str(len(corpus_pipeline.STAGES) - 2)]
